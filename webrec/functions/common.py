@@ -64,14 +64,27 @@ def contains_any(c: Column, words: Sequence[str]) -> Column:
     return c.rlike(either(words))
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once per row, for expressions that
+    read it dozens of times (they would otherwise outgrow generated code)."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def weighted_contains(c: Column, weights: Sequence[tuple[str, int]]) -> Column:
+    """Sum of the weights of the words that occur as a substring."""
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(n).alias("n")) for w, n in weights])
+    return let(c, lambda x: F.aggregate(
+        table, F.lit(0), lambda acc, e: acc + F.when(x.contains(e["w"]), e["n"]).otherwise(0)))
+
+
 def count_contains(c: Column, words: Sequence[str]) -> Column:
     """How many of the words occur as a substring."""
-    return reduce(lambda a, b: a + b, [c.contains(w).cast("int") for w in words], F.lit(0))
+    return weighted_contains(c, [(w, 1) for w in words])
 
 
 def matched_words(c: Column, words: Sequence[str]) -> Column:
     """Array of the words that occur, in list order."""
-    return F.array_compact(F.array(*[F.when(c.contains(w), F.lit(w)) for w in words]))
+    return let(c, lambda x: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: x.contains(w)))
 
 
 def matched_labels(pairs: Sequence[tuple[str, Column]]) -> Column:

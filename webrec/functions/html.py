@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webrec import lexicons as L
 from webrec.functions.common import (
-    all_matches, any_of, blank_to_null, col, contains_any, cut, filled, first_match, first_of, squeeze, text,
+    all_matches, any_of, blank_to_null, col, contains_any, cut, filled, first_match, first_of, let, squeeze, text,
 )
 from webrec.functions.urls import absolute_url, url_netloc
 
@@ -124,13 +124,17 @@ def directory_company_site(html: Column | str, page_url: Column | str, deny=L.DI
 
 
 # -- meta tags ----------------------------------------------------------------
-def meta_content(html: Column | str, key: str) -> Column:
+def _meta_raw(html: Column | str, key: str) -> Column:
     """content of <meta name|property=key>, either attribute order."""
     h = text(html)
     k = key.replace(":", "[:]")
     a = first_match(h, rf"(?is)<meta\b[^>]*?(?:name|property)\s*=\s*[\"']{k}[\"'][^>]*?content\s*=\s*[\"']([^\"']*)")
     b = first_match(h, rf"(?is)<meta\b[^>]*?content\s*=\s*[\"']([^\"']*)[\"'][^>]*?(?:name|property)\s*=\s*[\"']{k}[\"']")
-    return blank_to_null(F.trim(unescape(F.coalesce(a, b))))
+    return F.coalesce(a, b)
+
+
+def meta_content(html: Column | str, key: str) -> Column:
+    return blank_to_null(F.trim(unescape(_meta_raw(html, key))))
 
 
 def html_name(html: Column | str, json_ld_name: Column | None = None) -> Column:
@@ -167,16 +171,23 @@ def html_company_name(html: Column | str, url: Column | str, selected: Column |
     """Selector hits (h1 and title natively, class selectors passed in as
     ``selected``), then the title without suffix, meta tags, host label."""
     h = text(html)
+    raw = F.array(
+        tag_inner(h, "h1"), tag_inner(h, "title"), _meta_raw(h, "og:site_name"),
+        _meta_raw(h, "twitter:site"), _meta_raw(h, "application-name"),
+        *([selected] if selected is not None else []),
+    )
 
-    def sized(c: Column) -> Column:
-        return clean_company_name(F.when(F.length(c).between(3, 100), c))
+    def choose(t):
+        # one pass cleans all candidates; then the order decides
+        fits = F.transform(t, lambda x: F.when(F.length(x).between(3, 100), clean_company_name(x)))
+        metas = F.transform(F.slice(t, 3, 3), lambda x: clean_company_name(x))
+        meta = F.get(F.filter(metas, lambda x: F.length(x).between(3, 80)), F.lit(0))
+        at = lambda i: F.get(fits, F.lit(i))
+        return F.coalesce(
+            *([at(5)] if selected is not None else []),
+            at(0), at(1), title_company_name(F.get(t, F.lit(1))), meta, host_company_name(url))
 
-    metas = [clean_company_name(meta_content(h, k)) for k in ("og:site_name", "twitter:site", "application-name")]
-    return F.coalesce(
-        *([sized(selected)] if selected is not None else []),
-        sized(tag_text(h, "h1")), sized(tag_text(h, "title")), title_company_name(tag_text(h, "title")),
-        *[F.when(F.length(m).between(3, 80), m) for m in metas], host_company_name(url),
-    )
+    return let(F.transform(raw, lambda x: _tags_to_text(x)), choose)
 
 
 def html_description(html: Column | str, limit: int = 400) -> Column:
@@ -279,7 +290,7 @@ def html_opening_hours(html: Column | str, spec: Column) -> Column:
     start = F.greatest(F.lit(1), at - 100)
     window = F.substring(t, start, at + 400 - start)
     days = F.filter(
-        F.transform(F.split(window, "\n"), F.trim),
+        F.transform(F.split(window, "\n"), lambda x: F.trim(x)),
         lambda x: (x != "") & contains_any(F.lower(x), L.DAY_PREFIXES),
     )
     text_hours = F.when(F.size(spots) > 0, blank_to_null(F.array_join(F.slice(days, 1, 7), "; ")))

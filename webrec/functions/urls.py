@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webrec import lexicons as L
-from webrec.functions.common import any_of, blank_to_null, contains_any, col, in_domains, text
+from webrec.functions.common import any_of, blank_to_null, contains_any, col, in_domains, text, weighted_contains
 
 _NETLOC = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -155,7 +155,7 @@ def filter_official_url(url, *, search=L.SEARCH_ENGINE_DOMAINS, bad_parts=L.OFFI
 
 def official_urls(urls: Column) -> Column:
     """Array form: trim, keep what passes, distinct in order."""
-    return F.array_distinct(F.filter(F.transform(urls, F.trim), filter_official_url))
+    return F.array_distinct(F.filter(F.transform(urls, lambda x: F.trim(x)), filter_official_url))
 
 
 def filter_website_valid(url, *, skip=L.WEBSITE_SKIP_DOMAINS) -> Column:
@@ -235,9 +235,7 @@ def score_business_url(url) -> Column:
 
 def score_topic_url(url, weights: Mapping[str, int] = L.TOPIC_WEIGHTS, *, simple: bool = False, domains: Sequence[str] = L.TOPIC_DOMAINS) -> Column:
     low = F.lower(text(url))
-    total = F.lit(0)
-    for word, weight in weights.items():
-        total = total + _points(low.contains(word), weight)
+    total = weighted_contains(low, list(weights.items()))
     if simple:
         return total
     host = F.coalesce(url_netloc(url), F.lit(""))

@@ -139,7 +139,34 @@ SELECT event_id, ts, event_type AS source, value,
 FROM {events}
 """
 
-VIEWS = {"urls": URLS, "companies": COMPANIES, "articles": ARTICLES, "crawl": CRAWL}
+# company web pages: the directory's companies, marked up
+COMPANY_PAGES = """
+SELECT id AS page_id, 'https://yard' || CAST(id AS STRING) || '.com/contact' AS url, name, n4,
+ '<html><head><title>' || coalesce(name, '') || ' | Home of scrap</title>'
+ || CASE WHEN id % 4 = 0 THEN '<meta name="description" content="Yard ' || CAST(id AS STRING) || ' buys copper &amp; brass.">' ELSE '' END
+ || CASE id % 5
+   WHEN 0 THEN '<script type="application/ld+json">{"@type":["LocalBusiness"],"name":"LD Yard ' || CAST(id AS STRING) || '","telephone":"713-868-' || n4
+     || '","address":{"streetAddress":"1 Main St","addressLocality":"' || coalesce(city, '') || '","addressRegion":"TX","postalCode":"77008"},"openingHoursSpecification":[{"dayOfWeek":["https://schema.org/Monday","https://schema.org/Tuesday"],"opens":"08:00","closes":"17:00"},{"dayOfWeek":"Friday","opens":"09:00","closes":"12:00"},{"dayOfWeek":"Sunday"}]}</script>'
+   WHEN 1 THEN '<script type="application/ld+json">{broken</script><script type="application/ld+json">[{"@type":"Article","name":"No"},{"@type":"Organization","name":"Org ' || CAST(id AS STRING)
+     || '","email":"org' || CAST(id AS STRING) || '@ld.org","address":{"addressCountry":{"name":"Canada"}}}]</script>'
+   WHEN 3 THEN '<script type="application/ld+json">{"@type":"Article","name":"Nope","publisher":{"contactPoint":{"telephone":"713-868-' || n4 || '"}}}</script>'
+   ELSE '' END
+ || '</head><body><h1>' || coalesce(name, '') || '</h1>'
+ || CASE WHEN id % 5 = 2 THEN '<div itemprop="address"><span>Houston</span>, TX 77008</div><p>Opening hours</p><p>Mon-Fri 8-5</p><p>Sat 9-1</p>' ELSE '' END
+ || CASE WHEN id % 3 = 0 THEN '<table><tr><th>Material</th><th>Price</th></tr><tr><td>Copper</td><td>$' || CAST(id % 9 + 1 AS STRING) || '.50/lb</td></tr><tr><td>Plastic</td><td>$1/lb</td></tr></table>'
+    ELSE '<p>We pay $2 per lb for brass. Plastic is free.</p>' END
+ || CASE WHEN id % 2 = 0 THEN '<p>Call <a href="tel:+1-713-' || CAST(200 + id % 700 AS STRING) || '-' || n4 || '">us</a></p>' ELSE '' END
+ || CASE WHEN id % 6 = 1 THEN '<a href="mailto:Info' || CAST(id AS STRING) || '@yard.org?subject=hi">mail</a>' ELSE '' END
+ || '<a href="https://facebook.com/yard' || CAST(id AS STRING) || '">fb</a><a href="https://wa.me/1' || CAST(id AS STRING) || '">wa</a><a href="/about">About</a><a href="https://bigscrap' || CAST(id AS STRING) || '.org/">visit</a>'
+ || CASE WHEN id % 7 = 0 THEN '<div class="phone">713.681.' || n4 || '</div>' ELSE '' END
+ || '</body></html>' AS html
+FROM (SELECT *, lpad(CAST(1000 + id * 37 % 8999 AS STRING), 4, '0') AS n4 FROM (""" + COMPANIES + """) c) d
+"""
+
+# braces of the markup doubled, as both engines' templates want
+COMPANY_PAGES = COMPANY_PAGES.replace("{", "{{").replace("}", "}}").replace("{{customer}}", "{customer}")
+
+VIEWS = {"company_pages": COMPANY_PAGES, "urls": URLS, "companies": COMPANIES, "articles": ARTICLES, "crawl": CRAWL}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,3 +40,26 @@ def path(u: str) -> str:
 
 def querystr(u: str) -> str:
     return f"CASE WHEN contains({u}, '?') THEN split_part({u}[strpos({u}, '?') + 1:], '#', 1) ELSE '' END"
+
+
+def distinct(l: str) -> str:
+    """Distinct elements in order of first appearance."""
+    return f"list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+
+
+def plain(x: str) -> str:
+    """Markup to text: tags to space, whitespace squeezed, names decoded."""
+    t = f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        t = f"replace({t}, '{name}', '{char}')"
+    return t
+
+
+def without(html: str, tags: str) -> str:
+    """Comments and whole elements out."""
+    t = f"regexp_replace({html}, '<!--.*?-->', ' ', 'gs')"
+    return f"regexp_replace({t}, '<(?:{tags})\\b.*?</(?:{tags})\\s*>', ' ', 'gsi')"
+
+
+def inner(html: str, tag: str) -> str:
+    return f"regexp_extract({html}, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)"
