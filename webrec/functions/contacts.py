@@ -178,16 +178,16 @@ def phone_candidates(html: Column | str) -> Column:
         hits = F.concat(*[_joined_groups(t, p) for p in CANDIDATE_PATTERNS])
         return F.get(F.filter(hits, validate_phone_strict), F.lit(0))
 
-    mined = F.regexp_replace(visible, r"[^\d\s\-().]+", " ")
-    everything = F.concat(
+    mine = r"(\d{3}[\s\-().]*\d{3}[\s\-().]*\d{4})"
+    everything = let(visible, lambda seen: F.concat(
         _as_candidates(all_matches(h, r"(?is)<a\b[^>]*href\s*=\s*[\"']tel:([^\"']*)", 1), 95, "tel_link"),
         _as_candidates(F.array(F.coalesce(json_ld_deep_phone(h), microdata)), 90, "structured_data"),
         _as_candidates(all_matches(h, r"(?is)\s[\w-]*(?:phone|tel)[\w-]*\s*=\s*[\"']([^\"']*)", 1), 85, "data_attribute"),
         _as_candidates(all_matches(scripts, r"(?i)(?:tele)?phone[\"'\s]*[:=][\"'\s]*(\d{3}[-.\s]*\d{3}[-.\s]*\d{4})", 1), 80, "javascript_var"),
         _as_candidates(F.transform(classed, first_valid), 75, "css_class"),
-        *[_as_candidates(_joined_groups(visible, p), 70, f"html_pattern_{i}") for i, p in enumerate(CANDIDATE_PATTERNS, 1)],
-        _as_candidates(all_matches(mined, r"(\d{3}[\s\-().]*\d{3}[\s\-().]*\d{4})", 1), 60, "text_mining"),
-    )
+        *[_as_candidates(_joined_groups(seen, p), 70, f"html_pattern_{i}") for i, p in enumerate(CANDIDATE_PATTERNS, 1)],
+        _as_candidates(all_matches(F.regexp_replace(seen, r"[^\d\s\-().]+", " "), mine, 1), 60, "text_mining"),
+    ))
     # methods are listed by falling confidence, so the first entry of a phone
     # is its best one
     return let(everything, lambda cs: F.transform(
@@ -198,8 +198,11 @@ def phone_candidates(html: Column | str) -> Column:
 
 def best_phone(candidates: Column) -> Column:
     """Highest confidence; the first such entry."""
-    top = F.array_max(F.transform(candidates, lambda c: c["confidence"]))
-    return F.get(F.filter(candidates, lambda c: c["confidence"] == top), F.lit(0))
+    def pick(cs):
+        top = F.array_max(F.transform(cs, lambda c: c["confidence"]))
+        return F.get(F.filter(cs, lambda c: c["confidence"] == top), F.lit(0))
+
+    return let(candidates, pick)
 
 
 def had_fake_area(phone: Column | str, fake: Sequence[str] = L.FAKE_AREA_CODES) -> Column:
@@ -234,7 +237,7 @@ def normalize_day_names(hours: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Collapse whitespace, drop characters outside words and -.,()&@#."""
-    return strip(F.regexp_replace(squeeze(text(c)), r"(?U)[^\w\s\-.,()&@#]", ""))
+    return strip(F.regexp_replace(squeeze(text(c)), r"[^\p{L}\p{N}_\s\-.,()&@#]", ""))
 
 
 def valid_city(city: Column | str) -> Column:
@@ -271,7 +274,7 @@ def parse_us_address(body: Column | str) -> Column:
     zips = all_matches(t, r"\b\d{5}(?:-\d{4})?\b")
 
     def before(z):
-        at = F.locate(z, t)
+        at = F.instr(t, z)
         start = F.greatest(F.lit(1), at - 50)
         window = F.trim(F.substring(t, start, at - start))
         return F.struct(
@@ -369,3 +372,65 @@ def classify_text_field(c: Column | str) -> Column:
 
 def json_ld_blocks(html: Column | str) -> Column:
     return all_matches(text(html), JSON_LD, 1)
+
+
+# -- record shaping -----------------------------------------------------------
+def clean_contact_record(df, *, zip_col: str = "zip_code", country: str = "country", fake_zips: Sequence[str] = L.FAKE_ZIPS):
+    """Phones, e-mails (arrays), website, hours and ZIP in clean form. Made-up
+    area codes and ZIPs become null and are flagged, not replaced."""
+    five = zip5(zip_col, country)
+    us = F.lower(text(country)).isin("united states", "usa", "us")
+    fake = F.coalesce(us & five.isin(*fake_zips), F.lit(False))
+    return df.withColumns({
+        "had_fake_phone": F.coalesce(F.exists("phones", lambda p: had_fake_area(p)), F.lit(False)),
+        "had_fake_zip": fake,
+        "phones": clean_phones(F.col("phones")),
+        "emails": clean_emails(F.col("emails")),
+        "website": F.when(filled("website") & ~F.col("website").rlike("^https?://"), F.concat(F.lit("https://"), "website")).otherwise(F.col("website")),
+        "hours": normalize_day_names("hours"),
+        zip_col: F.when(~fake, five),
+    })
+
+
+def split_primary_secondary(values: str, prefix: str) -> list[Column]:
+    return [F.get(F.col(values), F.lit(i)).alias(f"{prefix}_{n}") for i, n in enumerate(("primary", "secondary"))]
+
+
+def group_fields_to_records(df, groups: Sequence[str], row_id: str):
+    """The i-th items of all groups make one record; each item fills the field
+    its text looks like, a later one wins. Records need a name or a phone."""
+    zipped = df.select(row_id, F.posexplode(F.arrays_zip(*groups)).alias("pos", "z"))
+    items = [F.col("z")[g] for g in groups]
+
+    def field(kind):
+        out = F.lit(None).cast("string")
+        for i in items:
+            out = F.when(classify_text_field(i) == kind, strip(i)).otherwise(out)
+        return out.alias(kind)
+
+    rows = zipped.select(row_id, "pos", *[field(k) for k in ("name", "phone", "address", "website")])
+    return rows.where(filled("name") | filled("phone"))
+
+
+def flatten_record(df, sep: str = ", "):
+    """Struct fields to ``column_field``, arrays to text."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind == "struct":
+            out += [F.col(f.name)[s].alias(f"{f.name}_{s}") for s in f.dataType.names]
+        elif kind == "array":
+            out.append(F.array_join(F.transform(f.name, lambda x: x.cast("string")), sep).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+# fixed values: field -> table column
+CSV_COLUMNS = {"state": "state_region"}
+
+
+def format_us_csv_fields(df, json_fields: Sequence[str] = ("working_hours", "services_offered"), names=CSV_COLUMNS):
+    """Rename to table columns; nested hours and services become JSON text."""
+    as_json = {c: F.to_json(c) for c in json_fields if c in df.columns}
+    return df.withColumns(as_json).withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})

@@ -25,16 +25,16 @@ ENTITIES = [
 def unescape(c: Column) -> Column:
     """Decode numeric and the common named character references."""
     def numeric(t: Column, pattern: str, base: int) -> Column:
-        refs = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
-        def code(ref):
-            digits = F.regexp_extract(ref, pattern, 1)
-            return F.lpad(F.conv(digits, base, 16), 8, "0")
-        return F.aggregate(
-            refs, t,
-            lambda acc, ref: F.replace(acc, ref, F.decode(F.unhex(code(ref)), "UTF-32")),
-        )
-
-    out = F.when(c.contains("&#"), numeric(numeric(c, r"&#(\d{1,6});", 10), r"&#[xX]([0-9A-Fa-f]{1,5});", 16)).otherwise(c)
+        def decode(x):
+            refs = F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))
+            def step(acc, ref):
+                code = F.lpad(F.conv(F.regexp_extract(ref, pattern, 1), base, 16), 8, "0")
+                return F.replace(acc, ref, F.decode(F.unhex(code), "UTF-32"))
+            return F.aggregate(refs, x, step)
+        return let(t, decode)
+
+    out = let(c, lambda x: F.when(
+        x.contains("&#"), numeric(numeric(x, r"&#(\d{1,6});", 10), r"&#[xX]([0-9A-Fa-f]{1,5});", 16)).otherwise(x))
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
@@ -235,26 +235,23 @@ def parse_json_ld(html: Column | str, types: Sequence[str] = L.JSON_LD_TYPES) ->
         many = F.try_variant_get(v, "$['@type']", "array<string>")
         return F.lower(F.coalesce(F.array_join(many, ","), _variant_text(v, "$['@type']"), F.lit("")))
 
-    good = F.filter(json_ld_items(html), lambda v: contains_any(type_of(v), types))
-
-    def first(path):
-        vals = F.filter(F.transform(good, lambda v: _variant_text(v, path)), lambda x: x.isNotNull())
-        return F.get(vals, F.lit(0))
-
-    def first_variant(path, kind):
-        vals = F.filter(F.transform(good, lambda v: F.try_variant_get(v, path, kind)), lambda x: x.isNotNull())
-        return F.get(vals, F.lit(0))
+    def build(good):
+        def first(path, kind="string"):
+            vals = F.filter(F.transform(good, lambda v: F.try_variant_get(v, path, kind)), lambda x: x.isNotNull())
+            return F.get(vals, F.lit(0))
+
+        return F.struct(
+            *[first(f"$.{f}").alias(f) for f in _FIELDS],
+            *[first(f"$.address.{f}").alias(f) for f in _ADDRESS],
+            F.coalesce(
+                first("$.address.addressCountry.name"), first("$.address.addressCountry['@id']"), first("$.address.addressCountry")
+            ).alias("addressCountry"),
+            F.coalesce(first("$.sameAs", "array<string>"), F.array(first("$.sameAs"))).alias("sameAs"),
+            first("$.openingHoursSpecification", "array<variant>").alias("hours"),
+        )
 
-    country = F.coalesce(
-        first("$.address.addressCountry.name"), first("$.address.addressCountry['@id']"), first("$.address.addressCountry")
-    )
-    return F.struct(
-        *[first(f"$.{f}").alias(f) for f in _FIELDS],
-        *[first(f"$.address.{f}").alias(f) for f in _ADDRESS],
-        country.alias("addressCountry"),
-        F.coalesce(first_variant("$.sameAs", "array<string>"), F.array(first("$.sameAs"))).alias("sameAs"),
-        first_variant("$.openingHoursSpecification", "array<variant>").alias("hours"),
-    )
+    # built inside one lambda, so the blocks are parsed once for all fields
+    return let(F.filter(json_ld_items(html), lambda v: contains_any(type_of(v), types)), build)
 
 
 def json_ld_hours(spec: Column) -> Column:
@@ -283,18 +280,17 @@ def page_lines(html: Column | str) -> Column:
 def html_opening_hours(html: Column | str, spec: Column) -> Column:
     """JSON-LD hours, else up to seven lines naming a day around the earliest
     hours label."""
-    t = page_lines(html)
-    low = F.lower(t)
-    spots = F.filter(F.array(*[F.instr(low, w) for w in L.HOURS_LABELS]), lambda i: i > 0)
-    at = F.array_min(spots)
-    start = F.greatest(F.lit(1), at - 100)
-    window = F.substring(t, start, at + 400 - start)
-    days = F.filter(
-        F.transform(F.split(window, "\n"), lambda x: F.trim(x)),
-        lambda x: (x != "") & contains_any(F.lower(x), L.DAY_PREFIXES),
-    )
-    text_hours = F.when(F.size(spots) > 0, blank_to_null(F.array_join(F.slice(days, 1, 7), "; ")))
-    return F.coalesce(json_ld_hours(spec), text_hours)
+    def around_label(t):
+        spots = F.filter(F.array(*[F.instr(F.lower(t), w) for w in L.HOURS_LABELS]), lambda i: i > 0)
+        def lines(at):
+            start = F.greatest(F.lit(1), at - 100)
+            days = F.filter(
+                F.transform(F.split(F.substring(t, start, at + 400 - start), "\n"), lambda x: F.trim(x)),
+                lambda x: (x != "") & contains_any(F.lower(x), L.DAY_PREFIXES))
+            return blank_to_null(F.array_join(F.slice(days, 1, 7), "; "))
+        return let(F.array_min(spots), lines)
+
+    return F.coalesce(json_ld_hours(spec), let(page_lines(html), around_label))
 
 
 DEEP_PHONE = r"\"(?:telephone|phone)\"\s*:\s*\"([^\"]*)\""
@@ -326,21 +322,25 @@ CITY_LINE = r"(.+?),\s*([A-Za-z .'\-]+)\s*(?:([A-Z]{2}))?\s*(\d{4,6})?"
 def html_address(html: Column | str, ld: Column, fallback_country: str = "") -> Column:
     """Struct street, city, region, postal, country: JSON-LD, else the first
     itemprop=address block split by a simple pattern, else the fallback."""
-    has_ld = any_of([filled(ld[f]) for f in [*_ADDRESS, "addressCountry"]])
     full = _tags_to_text(F.regexp_extract(text(html), ITEMPROP_ADDRESS, 2))
-    m = [F.trim(F.regexp_extract(full, CITY_LINE, i)) for i in (1, 2, 3, 4)]
-    use = ~has_ld & (full != "")
-
-    def pick(f, alt):
-        return blank_to_null(F.when(has_ld, ld[f]).when(use, alt))
-
-    return F.struct(
-        pick("streetAddress", full).alias("street"),
-        pick("addressLocality", m[0]).alias("city"),
-        pick("addressRegion", F.coalesce(blank_to_null(m[2]), m[1])).alias("region"),
-        pick("postalCode", m[3]).alias("postal"),
-        first_of(ld["addressCountry"], F.lit(fallback_country)).alias("country"),
-    )
+
+    def build(v):
+        d, line = v["ld"], v["line"]
+        has_ld = any_of([filled(d[f]) for f in [*_ADDRESS, "addressCountry"]])
+        m = [F.trim(F.regexp_extract(line, CITY_LINE, i)) for i in (1, 2, 3, 4)]
+
+        def pick(f, alt):
+            return blank_to_null(F.when(has_ld, d[f]).when(line != "", alt))
+
+        return F.struct(
+            pick("streetAddress", line).alias("street"),
+            pick("addressLocality", m[0]).alias("city"),
+            pick("addressRegion", F.coalesce(blank_to_null(m[2]), m[1])).alias("region"),
+            pick("postalCode", m[3]).alias("postal"),
+            first_of(d["addressCountry"], F.lit(fallback_country)).alias("country"),
+        )
+
+    return let(F.struct(ld.alias("ld"), full.alias("line")), build)
 
 
 def html_price_rows(html: Column | str, materials: Sequence[str] = L.MATERIAL_KEYWORDS, patterns: Sequence[str] = L.PRICE_PATTERNS) -> Column:

@@ -96,33 +96,37 @@ def extract_article(pages: DataFrame, min_chars: int = L.MIN_ARTICLE_LENGTH, lan
     """Article rows from pages by native expressions; kept iff there is a title
     and enough text. The html column ends here."""
     lang = F.lit(language) if language else F.nullif(F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
-    out = pages.select(
-        "page_id", "url", url_netloc("url").alias("source"), lang.alias("language"),
+    body = F.struct(
         F.coalesce(H.tag_text(F.col("html"), "h1"), H.tag_text(F.col("html"), "title")).alias("title"),
         H.html_main_text("html", min_chars).alias("content"),
-        H.meta_content("html", "description").alias("summary"),
     )
-    return out.where(filled("title") & (F.length("content") >= min_chars)).select(
-        "*", F.lit(False).alias("is_processed"), F.lit(False).alias("is_published"))
+    # a filter after the projection would be pushed below it and repeat the
+    # text work; inside the generator each page is worked on once
+    good = F.filter(F.array(body), lambda x: filled(x["title"]) & (F.length(x["content"]) >= min_chars))
+    return pages.select(
+        "page_id", "url", url_netloc("url").alias("source"), lang.alias("language"),
+        H.meta_content("html", "description").alias("summary"), F.inline(good),
+    ).select("*", F.lit(False).alias("is_processed"), F.lit(False).alias("is_published"))
 
 
 def extract_company(pages: DataFrame, fallback_country: str = "") -> DataFrame:
     """Company rows from pages, kept iff a phone or an e-mail is there."""
-    base = pages.withColumn("_ld", H.parse_json_ld("html")).withColumn("_social", H.social_links("html", "url"))
-    addr = H.html_address("html", F.col("_ld"), fallback_country)
-    out = base.select(
-        "page_id", F.col("url").alias("website"),
+    contacts = F.struct(C.extract_phones("html", 5).alias("phones"), C.extract_emails("html", 5).alias("emails"))
+    good = F.filter(F.array(contacts), lambda x: filled_array(x["phones"]) | filled_array(x["emails"]))
+    # pages without a contact end here, before the rest of the work
+    kept = pages.select("page_id", "url", "html", F.inline(good))
+    kept = kept.withColumn("_ld", H.parse_json_ld("html")).withColumn("_social", H.social_links("html", "url"))
+    out = kept.select(
+        "page_id", F.col("url").alias("website"), "phones", "emails",
         H.html_name("html", F.col("_ld.name")).alias("name"),
-        addr.alias("_a"),
-        C.extract_phones("html", 5).alias("phones"), C.extract_emails("html", 5).alias("emails"),
+        H.html_address("html", F.col("_ld"), fallback_country).alias("_a"),
         H.whatsapp_links(F.col("_social")).alias("whatsapp"), F.col("_social").alias("social_links"),
         H.html_opening_hours("html", F.col("_ld.hours")).alias("opening_hours"),
         materials_string("html").alias("materials"),
         H.html_price_rows("html").alias("_rows"), extract_inline_prices("html").alias("_inline"),
         H.html_description("html").alias("description"),
     )
-    kept = out.where(filled_array("phones") | filled_array("emails"))
-    return kept.select(
+    return out.select(
         "page_id", "website", "name", F.col("_a.street").alias("street_address"), F.col("_a.city").alias("city"),
         F.col("_a.region").alias("region"), F.col("_a.postal").alias("postal_code"), F.col("_a.country").alias("country"),
         "phones", "emails", "whatsapp", "social_links", "opening_hours", "materials",

@@ -160,7 +160,7 @@ SELECT id AS page_id, 'https://yard' || CAST(id AS STRING) || '.com/contact' AS
  || '<a href="https://facebook.com/yard' || CAST(id AS STRING) || '">fb</a><a href="https://wa.me/1' || CAST(id AS STRING) || '">wa</a><a href="/about">About</a><a href="https://bigscrap' || CAST(id AS STRING) || '.org/">visit</a>'
  || CASE WHEN id % 7 = 0 THEN '<div class="phone">713.681.' || n4 || '</div>' ELSE '' END
  || '</body></html>' AS html
-FROM (SELECT *, lpad(CAST(1000 + id * 37 % 8999 AS STRING), 4, '0') AS n4 FROM (""" + COMPANIES + """) c) d
+FROM (SELECT id, city, split_part(name, ' ', 1) || ' Yard' AS name, lpad(CAST(1000 + id * 37 % 8999 AS STRING), 4, '0') AS n4 FROM (""" + COMPANIES + """) c) d
 """
 
 # braces of the markup doubled, as both engines' templates want
