@@ -143,3 +143,11 @@ def greedy_keys_name_or_site(name="name", website="website") -> list[Column]:
 def greedy_keys_contact_or_name(phone="phone", email="email", name="name") -> list[Column]:
     """A blank phone and e-mail pair is a key like any other."""
     return [F.concat_ws("|", text(phone), text(email)), F.substring(F.lower(text(name)), 1, 50)]
+
+
+def dedup_phone_candidates(candidates: DataFrame, page: str = "page_id", *carry: str) -> DataFrame:
+    """Per page and phone the row of highest confidence, the first such one.
+    An aggregate, so repeated mentions are combined before the shuffle."""
+    cols = carry or tuple(c for c in candidates.columns if c not in (page, "phone"))
+    best = F.min_by(F.struct(*cols), F.struct(-F.col("confidence"), F.col("pos")))
+    return candidates.groupBy(page, "phone").agg(best.alias("_b")).select(page, "phone", "_b.*")

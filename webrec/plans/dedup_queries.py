@@ -88,14 +88,17 @@ query("dedup_greedy_name_or_site", _greedy_sql(f"nullif({LOWN}, '')", "nullif(lo
 query("dedup_greedy_contact_or_name", _greedy_sql("coalesce(phone, '') || '|' || coalesce(email, '')", "substr(lower(coalesce(name, '')), 1, 50)", CO))(
     lambda spark, sf_dir: D.dedup_greedy(_co(spark, sf_dir), D.greedy_keys_contact_or_name(), "id").select("id")
 )
+_CONF = "CASE pos % 3 WHEN 0 THEN 70 WHEN 1 THEN 95 ELSE 60 END"
 query(
     "dedup_phone_candidates",
-    """SELECT doc_id, phone, CAST(min(i) AS BIGINT) AS first_pos, CAST(count(*) AS BIGINT) AS mentions FROM (SELECT doc_id, '(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] AS phone, i FROM (
-       SELECT doc_id, unnest(range(len(l))) AS i, right(regexp_replace(unnest(l), '[^0-9]', '', 'g'), 10) AS d FROM (SELECT doc_id, regexp_extract_all(text, '\\(\\d{3}\\) \\d{3}-\\d{4}') AS l FROM documents))) GROUP BY ALL""",
+    f"""SELECT doc_id, phone, CAST(max(confidence) AS BIGINT) AS confidence, CAST(arg_min(pos, pos - confidence * 1000000) AS BIGINT) AS pos FROM (
+       SELECT doc_id, '(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] AS phone, pos, {_CONF} AS confidence FROM (
+       SELECT doc_id, pos, right(regexp_replace(raw, '[^0-9]', '', 'g'), 10) AS d FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM (
+       SELECT doc_id, regexp_extract_all(text || text, '\\(\\d{{3}}\\) \\d{{3}}-\\d{{4}}') AS l FROM documents)))) GROUP BY ALL""",
 )(
-    lambda spark, sf_dir: table(spark, sf_dir, "documents")
-    .select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\(\d{3}\) \d{3}-\d{4}"), F.lit(0))).alias("pos", "raw"))
-    .select("doc_id", "pos", C.normalize_phone_us("raw", "null").alias("phone"))
-    .groupBy("doc_id", "phone").agg(F.min("pos").cast("bigint").alias("first_pos"), F.count("*").alias("mentions"))
+    lambda spark, sf_dir: D.dedup_phone_candidates(
+        table(spark, sf_dir, "documents")
+        .select("doc_id", F.posexplode(F.regexp_extract_all(F.concat("text", "text"), F.lit(r"\(\d{3}\) \d{3}-\d{4}"), F.lit(0))).alias("pos", "raw"))
+        .select("doc_id", F.col("pos").cast("bigint").alias("pos"), C.normalize_phone_us("raw", "null").alias("phone"), F.expr(f"CAST({_CONF} AS BIGINT)").alias("confidence")),
+        "doc_id")
 )
-
