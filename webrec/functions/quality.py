@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webrec import lexicons as L
 from webrec.functions.common import (
-    blank_to_null, col, contains_any, count_contains, filled, filled_array, labels_text, matched_labels, text,
+    blank_to_null, col, contains_any, count_contains, filled, filled_array, labels_text, let, matched_labels, text,
 )
 
 
@@ -135,7 +135,7 @@ def quality_score(name="name", phone="phone", website="website", email="email",
 
 
 def verification_status(score: Column) -> Column:
-    return F.when(score >= 80, "verified").when(score >= 60, "partial").otherwise("basic")
+    return let(score, lambda x: F.when(x >= 80, "verified").when(x >= 60, "partial").otherwise("basic"))
 
 
 def goal_attainment(percent: Column, target: float = 85.0, acceptable: float = 60.0) -> Column:
@@ -161,8 +161,8 @@ def operational_capability(services: Column, hours: Column | str, metal_count: C
         "pickup_service": _yes(s.contains("pickup")), "container_rental": _yes(container),
         "demolition_service": _yes(demolition), "processing_capabilities": _yes(processing), "certified_scales": _yes(s.contains("scale")),
         "operation_schedule": F.when(h == "", "Unknown").when(contains_any(h, ["24", "monday", "weekday"]), "Full Time").otherwise("Limited Hours"),
-        "facility_size": F.when(points >= 5, "Large Industrial").when(points >= 3, "Medium Commercial").otherwise("Small Local"),
-        "employee_estimate": F.when(points >= 5, "20+ employees").when(points >= 3, "5-20 employees").otherwise("1-5 employees"),
+        "facility_size": let(points, lambda x: F.when(x >= 5, "Large Industrial").when(x >= 3, "Medium Commercial").otherwise("Small Local")),
+        "employee_estimate": let(points, lambda x: F.when(x >= 5, "20+ employees").when(x >= 3, "5-20 employees").otherwise("1-5 employees")),
     }
 
 
@@ -197,8 +197,8 @@ def business_profile(metals: Column, city, state, website, phone, email, service
     signs = one(filled(website)) + one(filled(phone)) + one(filled(email)) + one(filled_array(services)) + one(priced)
     c = F.lower(text(city))
     points = (
-        F.when(completeness > 70, 3).when(completeness > 50, 2).when(completeness > 30, 1).otherwise(0)
-        + F.when(quality >= 4, 2).when(quality >= 2, 1).otherwise(0) + one(filled(website)) + one(priced)
+        let(completeness, lambda x: F.when(x > 70, 3).when(x > 50, 2).when(x > 30, 1).otherwise(0))
+        + let(quality, lambda x: F.when(x >= 4, 2).when(x >= 2, 1).otherwise(0)) + one(filled(website)) + one(priced)
     )
     yes = lambda k: flags[k] == "Yes"
     advantages = labels_text([
@@ -208,9 +208,9 @@ def business_profile(metals: Column, city, state, website, phone, email, service
     return {
         "primary_metal_types": F.when(n > 0, F.array_join(F.slice(metals, 1, 3), ", ")).otherwise("Unknown"),
         "all_metal_types_count": n, "specialization_score": spec,
-        "business_size_estimate": F.when(signs >= 4, "Large").when(signs >= 2, "Medium").otherwise("Small"),
+        "business_size_estimate": let(signs, lambda x: F.when(x >= 4, "Large").when(x >= 2, "Medium").otherwise("Small")),
         "market_tier": F.when(contains_any(c, L.MAJOR_METROS), "Tier 1 (Major Metro)").when(col(state).isin(*L.MAJOR_STATES), "Tier 2 (Major State)").otherwise("Tier 3 (Regional)"),
-        "outreach_priority": F.when(points >= 6, "High").when(points >= 4, "Medium").otherwise("Low"),
+        "outreach_priority": let(points, lambda x: F.when(x >= 6, "High").when(x >= 4, "Medium").otherwise("Low")),
         "competitive_advantage": F.coalesce(blank_to_null(advantages), F.lit("Standard Operations")),
     }
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webrec import lexicons as L
-from webrec.functions.common import any_of, blank_to_null, contains_any, col, in_domains, text, weighted_contains
+from webrec.functions.common import any_of, blank_to_null, contains_any, col, in_domains, let, text, weighted_contains
 
 _NETLOC = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -110,31 +110,41 @@ def resolve_news_redirect(url: Column | str, aggregator: str = "news.google.com"
 
 
 # -- predicates ---------------------------------------------------------------
+def _parts(url, rule) -> Column:
+    """``rule`` on the parts of a URL, each taken out once per row."""
+    u = text(url)
+    parts = F.struct(
+        u.alias("url"), F.lower(u).alias("low"), F.coalesce(url_netloc(u), F.lit("")).alias("host"),
+        F.lower(url_path(u)).alias("path"), F.lower(url_query(u)).alias("query"))
+    return let(parts, rule)
+
+
 def filter_allowed_url(url, *, deny=L.BLACKLIST_DOMAINS, search=L.SEARCH_ENGINE_DOMAINS, bad_parts=L.ALLOWED_URL_BAD_PARTS) -> Column:
-    u, host = text(url), url_netloc(url)
-    ok = ~in_domains(host, deny) & ~in_domains(host, search) & u.startswith("http") & ~contains_any(F.lower(u), bad_parts)
-    return F.coalesce(ok, F.lit(False))
+    def rule(p):
+        return (
+            (p["host"] != "") & ~in_domains(p["host"], [*deny, *search])
+            & p["url"].startswith("http") & ~contains_any(p["low"], bad_parts))
+    return _parts(url, rule)
 
 
 def filter_allowed_business_url(url, *, directories=L.BUSINESS_DIRECTORIES, deny=L.BUSINESS_URL_DENY, search=L.SEARCH_ENGINE_DOMAINS, bad_parts=L.BUSINESS_URL_BAD_PARTS) -> Column:
-    u, host = text(url), url_netloc(url)
-    return (
-        F.when(host.isNull(), False)
-        .when(in_domains(host, directories), True)
-        .when(in_domains(host, deny) | in_domains(host, search), False)
-        .otherwise(u.startswith("http") & ~contains_any(F.lower(u), bad_parts))
-    )
+    def rule(p):
+        return (
+            F.when(p["host"] == "", False)
+            .when(in_domains(p["host"], directories), True)
+            .when(in_domains(p["host"], [*deny, *search]), False)
+            .otherwise(p["url"].startswith("http") & ~contains_any(p["low"], bad_parts)))
+    return _parts(url, rule)
 
 
 def filter_business_website(url, *, deny=L.SITE_DENY_SUBSTRINGS, directories=L.SITE_DIRECTORY_DOMAINS, bad_paths=L.SITE_DIRECTORY_PATHS, words=L.SITE_BUSINESS_WORDS) -> Column:
-    low = F.lower(text(url))
-    host, path = F.coalesce(url_netloc(low), F.lit("")), url_path(low)
-    directory = contains_any(host, directories)
-    return (
-        F.when(contains_any(host, deny), False)
-        .when(~directory & contains_any(path, bad_paths), False)
-        .otherwise(contains_any(host, words) | contains_any(path, words) | directory)
-    )
+    def rule(p):
+        directory = contains_any(p["host"], directories)
+        return (
+            F.when(contains_any(p["host"], deny), False)
+            .when(~directory & contains_any(p["path"], bad_paths), False)
+            .otherwise(contains_any(p["host"], words) | contains_any(p["path"], words) | directory))
+    return _parts(url, rule)
 
 
 def filter_topic_token_url(url, *, deny=L.BLACKLIST_DOMAINS, tokens=L.TOPIC_URL_TOKENS) -> Column:
@@ -169,24 +179,23 @@ def classify_directory_page(url, page_text, *, domains=L.DIRECTORY_PAGE_DOMAINS,
 
 
 def filter_article_url(url, *, paywalled=L.PAYWALLED_DOMAINS, bad_paths=L.ARTICLE_BAD_PATHS, bad_queries=L.ARTICLE_BAD_QUERIES, good_paths=L.ARTICLE_GOOD_PATHS) -> Column:
-    u = text(url)
-    host, path, query = F.coalesce(url_netloc(u), F.lit("")), F.lower(url_path(u)), F.lower(url_query(u))
-    bad = contains_any(host, paywalled) | contains_any(path, bad_paths) | contains_any(query, bad_queries)
-    several = path.rlike(r"[^/]+/+[^/]+")
-    return ~bad & (contains_any(path, good_paths) | path.rlike(r"\d") | several)
+    def rule(p):
+        bad = contains_any(p["host"], paywalled) | contains_any(p["path"], bad_paths) | contains_any(p["query"], bad_queries)
+        several = p["path"].rlike(r"[^/]+/+[^/]+")
+        return ~bad & (contains_any(p["path"], good_paths) | p["path"].rlike(r"\d") | several)
+    return _parts(url, rule)
 
 
 def filter_article_like_url(url, *, exclude=L.ARTICLE_LIKE_EXCLUDE, include=L.ARTICLE_LIKE_INCLUDE) -> Column:
-    u = text(url)
-    path, query = F.lower(url_path(u)), F.lower(url_query(u))
-    bad = contains_any(path, exclude) | contains_any(query, exclude)
-    return (F.length(u) >= 10) & ~bad & (contains_any(path, include) | path.rlike(r"\d[^/]*$"))
+    def rule(p):
+        bad = contains_any(p["path"], exclude) | contains_any(p["query"], exclude)
+        return (F.length(p["url"]) >= 10) & ~bad & (contains_any(p["path"], include) | p["path"].rlike(r"\d[^/]*$"))
+    return _parts(url, rule)
 
 
 def filter_article_url_permissive(url, *, paywalled=L.PAYWALLED_DOMAINS, bad_paths=L.ARTICLE_PERMISSIVE_BAD_PATHS, bad_queries=L.ARTICLE_PERMISSIVE_BAD_QUERIES) -> Column:
-    u = text(url)
-    host, path, query = F.coalesce(url_netloc(u), F.lit("")), F.lower(url_path(u)), F.lower(url_query(u))
-    return ~(contains_any(host, paywalled) | contains_any(path, bad_paths) | contains_any(query, bad_queries))
+    return _parts(url, lambda p: ~(
+        contains_any(p["host"], paywalled) | contains_any(p["path"], bad_paths) | contains_any(p["query"], bad_queries)))
 
 
 def filter_news_link(href, anchor, *, exclude=L.NEWS_LINK_EXCLUDE, patterns=L.NEWS_LINK_PATTERNS, terms=L.NEWS_LINK_TERMS) -> Column:
