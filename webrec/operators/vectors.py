@@ -58,7 +58,7 @@ def vector_theme_topk(corpus: DataFrame, themes: Mapping[str, Sequence[float]],
     within the limit has only nearer rows before it, so its place among all
     rows and among the near ones is the same."""
     near = _distances(corpus, themes, vector, [row_id, *keep], max_distance)
-    top = top_per_key(near, ["theme"], [F.asc("distance"), F.asc(row_id)], min(k, 2 * k))
+    top = top_per_key(near, ["theme"], [F.asc("distance"), F.asc(row_id)], k)
     return top.withColumn("similarity", 1 - F.col("distance") / 2)
 
 
