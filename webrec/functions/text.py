@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from webrec import lexicons as L
 from webrec.functions.common import (
-    all_matches, blank_to_null, col, contains_any, cut, filled, first_match, labels_text, let,
-    matched_labels, matched_words, squeeze, strip, text, weighted_contains,
+    all_matches, any_of, blank_to_null, col, contains_any, cut, filled, first_match, labels_text, let,
+    matched_labels, matched_words, squeeze, strip, text, text_has_any, weighted_contains,
 )
 
 
@@ -18,7 +18,7 @@ from webrec.functions.common import (
 def lexicon_match(body: Column | str, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """Categories with any keyword in the text, in lexicon order."""
     low = F.lower(text(body))
-    return let(low, lambda x: matched_labels([(c, contains_any(x, [k.lower() for k in ks])) for c, ks in lexicon.items()]))
+    return let(low, lambda x: matched_labels([(c, any_of([x.contains(k.lower()) for k in ks])) for c, ks in lexicon.items()]))
 
 
 def _count(hay: Column, needle: Column) -> Column:
@@ -69,12 +69,12 @@ def intersect_keywords(body: Column | str, words: Sequence[str]) -> Column:
 def filter_relevant_article(title: Column | str, content: Column | str, keywords: Sequence[str], least: int = 1) -> Column:
     low = F.lower(F.concat_ws(" ", text(title), text(content)))
     if least == 1:
-        return contains_any(low, [k.lower() for k in keywords])
+        return text_has_any(low, [k.lower() for k in keywords])
     return weighted_contains(low, [(k.lower(), 1) for k in keywords]) >= least
 
 
 def keyword_search(title: Column | str, content: Column | str, words: Sequence[str]) -> Column:
-    return contains_any(F.lower(F.concat_ws(" ", text(title), text(content))), [w.lower() for w in words])
+    return text_has_any(F.lower(F.concat_ws(" ", text(title), text(content))), [w.lower() for w in words])
 
 
 def categorize_article(
@@ -299,7 +299,7 @@ def article_tags_export(categories, source, content, rules=EXPORT_TAG_RULES) ->
     return F.array_join(F.array_distinct(F.concat(
         split_categories(categories),
         F.when(filled(source), F.array(F.concat(F.lit("source:"), col(source)))).otherwise(F.array().cast("array<string>")),
-        *[_when_list(contains_any(low, words), tags) for words, tags in rules],
+        *[_when_list(text_has_any(low, words), tags) for words, tags in rules],
     )), ", ")
 
 

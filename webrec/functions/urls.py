@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webrec import lexicons as L
-from webrec.functions.common import any_of, blank_to_null, contains_any, col, in_domains, let, text, weighted_contains
+from webrec.functions.common import any_of, blank_to_null, contains_any, col, in_domains, let, text, text_has_any, weighted_contains
 
 _NETLOC = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -175,7 +175,7 @@ def filter_website_valid(url, *, skip=L.WEBSITE_SKIP_DOMAINS) -> Column:
 
 def classify_directory_page(url, page_text, *, domains=L.DIRECTORY_PAGE_DOMAINS, phrases=L.DIRECTORY_PAGE_PHRASES) -> Column:
     host = F.coalesce(url_netloc(F.lower(text(url))), F.lit(""))
-    return contains_any(host, domains) | contains_any(F.lower(text(page_text)), phrases)
+    return contains_any(host, domains) | text_has_any(F.lower(text(page_text)), phrases)
 
 
 def filter_article_url(url, *, paywalled=L.PAYWALLED_DOMAINS, bad_paths=L.ARTICLE_BAD_PATHS, bad_queries=L.ARTICLE_BAD_QUERIES, good_paths=L.ARTICLE_GOOD_PATHS) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webrec.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -169,8 +171,13 @@ COMPANY_PAGES = COMPANY_PAGES.replace("{", "{{").replace("}", "}}").replace("{{c
 VIEWS = {"company_pages": COMPANY_PAGES, "urls": URLS, "companies": COMPANIES, "articles": ARTICLES, "crawl": CRAWL}
 
 
+# tables whose rows cost real work each, and the key that spreads them
+HEAVY = {"documents": "doc_id", "pages": "page_id", "customer": "c_custkey", "embeddings": "vec_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, HEAVY[name]) if name in HEAVY else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
