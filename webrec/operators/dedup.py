@@ -110,14 +110,19 @@ def dedup_greedy(df: DataFrame, keys: Sequence[Column], rank: Column | str, row_
     """
     names = [f"_k{i}" for i in range(len(keys))]
     live = df.select(
-        F.col(row_id).alias("_id"), _key(rank).alias("_rank"), *[k.alias(n) for k, n in zip(keys, names)]
+        F.col(row_id).alias("_id"), _key(rank).alias("_rank"), *[k.cast("string").alias(n) for k, n in zip(keys, names)]
     )
+
+    def own(n: str) -> Column:
+        # a row without this key gets a value of its own that matches nothing
+        return F.coalesce(F.col(n), F.concat(F.lit("\u0000"), F.col("_id").cast("string")))
+
     kept: list[DataFrame] = []
     for _ in range(max_rounds):
         marked = live
         for n in names:
-            firsts = live.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("_rank").alias(f"{n}_min"))
-            marked = marked.join(firsts, n, "left")
+            firsts = live.where(F.col(n).isNotNull()).groupBy(F.col(n).alias("_j")).agg(F.min("_rank").alias(f"{n}_min"))
+            marked = marked.withColumn("_j", own(n)).join(firsts, "_j", "left").drop("_j")
         is_first = reduce(lambda a, b: a & b, [F.col(n).isNull() | (F.col("_rank") == F.col(f"{n}_min")) for n in names])
         marked = cut_lineage(marked.select("_id", "_rank", *names, is_first.alias("_keep")))
         winners = marked.where("_keep")
@@ -125,10 +130,13 @@ def dedup_greedy(df: DataFrame, keys: Sequence[Column], rank: Column | str, row_
         rest = marked.where("not _keep").drop("_keep")
         for n in names:
             # a key has at most one kept row, so this side is unique per key
-            rest = rest.join(winners.where(F.col(n).isNotNull()).select(n), n, "left_anti")
+            taken = winners.where(F.col(n).isNotNull()).select(F.col(n).alias("_j"))
+            rest = rest.withColumn("_j", own(n)).join(taken, "_j", "left_anti").drop("_j")
         live = cut_lineage(rest.select("_id", "_rank", *names))
         if live.isEmpty():
             break
+    else:
+        raise RuntimeError(f"greedy de-duplication did not settle in {max_rounds} rounds")
     ids = reduce(DataFrame.unionAll, kept)
     return df.join(ids.withColumnRenamed("_id", row_id), row_id, "left_semi")
 

@@ -26,6 +26,12 @@ VALIDATION = (
 )
 
 
+def spread_nulls(key: str, columns: Sequence[str]) -> Column:
+    """Join key whose nulls are replaced by values that match nothing and
+    differ per row, so rows without a key do not meet in one task."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.xxhash64(*columns).cast("string")))
+
+
 # -- enrichment ---------------------------------------------------------------
 def enriched_materials(materials: Column) -> Column:
     """Trimmed, lower, distinct, sorted, joined; null when there is no list."""
@@ -57,9 +63,10 @@ def merge_enrichment(records: DataFrame, payloads: DataFrame, order: str = "pos"
     one = latest_per_key(good, "_site", "payload", order).select("_site", F.from_json("payload", ENRICHMENT).alias("_p"))
     one = one.select("_site", enriched_materials(F.col("_p.materials")).alias("_m"), enriched_prices(F.col("_p.prices")).alias("_pr"))
     return (
-        records.join(one, records["website"] == one["_site"], "left")
+        records.withColumn("_k", spread_nulls("website", records.columns))
+        .join(one, F.col("_k") == F.col("_site"), "left")
         .withColumns({"materials": F.coalesce("_m", "materials"), "material_prices": F.coalesce("_pr", "material_prices")})
-        .drop("_site", "_m", "_pr")
+        .drop("_k", "_site", "_m", "_pr")
     )
 
 
@@ -131,7 +138,8 @@ def semi_join_domain_suffix(df: DataFrame, domains: DataFrame, url: str = "url")
 
 def anti_join_domain_suffix(df: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
     hit = listed_hosts(df, domains, url)
-    return df.withColumn("_host", url_netloc(url)).join(hit, "_host", "left_anti").drop("_host")
+    keyed = df.withColumn("_host", url_netloc(url)).withColumn("_host", spread_nulls("_host", df.columns))
+    return keyed.join(hit, "_host", "left_anti").drop("_host")
 
 
 def filter_parser_supported(df: DataFrame, supported: DataFrame, blocked: DataFrame, url: str = "url") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrec.functions.common import blank_to_null, filled, filled_array, text
+from webrec.session import cut_lineage
 
 BIG = "bigint"
 
@@ -199,31 +200,29 @@ def agg_quality_overview(profiled: DataFrame) -> DataFrame:
 
 
 # -- positions and bulks ------------------------------------------------------
-def global_position(df: DataFrame, order: str, ranges: int = 256) -> DataFrame:
-    """Add ``pos`` (0-based place in the order of a unique numeric column)
-    without one task seeing all rows: quantile bounds cut the column into
-    ranges, rows are numbered inside a range, and the counts of earlier ranges
-    (at most ``ranges`` rows) are added."""
+def global_position(df: DataFrame, order: str) -> DataFrame:
+    """(order, pos): 0-based place of every row in the order of a unique
+    column, without one task seeing all rows. Rows are range-partitioned and
+    sorted, numbered inside their partition, and the sizes of the partitions
+    before (one row each) are added. The slim result is checkpointed, so both
+    readers see the same split; the places do not depend on the split."""
     from pyspark.sql import Window
 
-    bounds = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("b")).first()["b"]
-    cuts = sorted(set(bounds or []))
-    bucket = F.lit(0)
-    if cuts:
-        # array_position-free search: how many cuts lie below the value
-        bucket = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda acc, c: acc + F.when(F.col(order) > c, 1).otherwise(0))
-    ranged = df.withColumn("_b", bucket)
-    counts = ranged.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(order)))
-    # at most `ranges` rows: safe to broadcast
-    return numbered.join(F.broadcast(before), "_b").withColumn("pos", F.col("_before") + F.col("_i") - 1).drop("_b", "_before", "_i")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = df.select(order).repartitionByRange(n, order).sortWithinPartitions(order)
+    mark = F.monotonically_increasing_id()
+    placed = cut_lineage(slim.select(order, F.shiftright(mark, 33).alias("_p"), mark.bitwiseAND((1 << 33) - 1).alias("_i")))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("_p", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    # one row per partition: at most `n` rows
+    return placed.join(F.broadcast(before), "_p").select(order, (F.col("_before") + F.col("_i")).alias("pos"))
 
 
 def agg_llm_chunks(docs: DataFrame, order: str, bulk: int = 20, url: str = "url", body: str = "text", chars: int = 9000) -> DataFrame:
     """Bulks of N documents, one prompt body each (N is the bound of a group)."""
-    placed = global_position(docs.select(order, url, F.substring(body, 1, chars).alias("_t")), order)
-    rows = placed.select(F.floor(F.col("pos") / bulk).cast(BIG).alias("chunk"), "pos", F.col(url).alias("_u"), "_t")
+    places = global_position(docs, order)
+    rows = docs.select(order, url, F.substring(body, 1, chars).alias("_t")).join(places, order).select(F.floor(F.col("pos") / bulk).cast(BIG).alias("chunk"), "pos", F.col(url).alias("_u"), "_t")
     grouped = rows.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "_u", "_t"))).alias("docs"))
     doc = lambda d, i: F.concat(F.lit("-- DOC "), (i + 1).cast("string"), F.lit(" --\nURL: "), text(d["_u"]), F.lit("\nTEXT:\n"), text(d["_t"]))
     return grouped.select("chunk", F.size("docs").cast(BIG).alias("n_docs"), F.array_join(F.transform("docs", doc), "\n\n").alias("prompt"))

@@ -1,7 +1,8 @@
 """Vector search over an embedding column.
 
-Query vectors are few (themes), so they travel as literals after a size check;
-the corpus is scanned once, distances are plain expressions, and top-k per
+Query vectors are few (themes), so they travel inside the task code after a
+size check; the corpus is scanned once. Distances are a matrix product per
+Arrow batch, several times faster than a lambda per element, and top-k per
 query is cut on the map side before anything is shuffled.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,31 +28,38 @@ def query_vectors(df: DataFrame, key: str, vector: str, limit: int = MAX_QUERIES
     return {r[0]: [float(x) for x in r[1]] for r in sorted(rows, key=lambda r: r[0])}
 
 
-def _array(v: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+def _matrix(batch: pd.Series) -> np.ndarray:
+    return np.stack(batch.to_numpy()).astype("float64")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+def squared_l2(vector: Column, queries: Sequence[Sequence[float]]) -> Column:
+    """Array of squared distances to each query."""
+    q = np.asarray(queries, dtype="float64")
 
+    @F.pandas_udf("array<double>")
+    def distances(batch: pd.Series) -> pd.Series:
+        m = _matrix(batch)
+        d = (m * m).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (m @ q.T)
+        return pd.Series(list(np.maximum(d, 0.0)))
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
+    return distances(vector)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    na = F.sqrt(dot(a, F.transform(a, lambda x: x.cast("double"))))
-    nb = F.sqrt(dot(b, b))
-    return dot(a, b) / (na * nb)
+def cosine(vector: Column, query: Sequence[float]) -> Column:
+    q = np.asarray(query, dtype="float64")
+    q = q / np.linalg.norm(q)
 
+    @F.pandas_udf("double")
+    def similarity(batch: pd.Series) -> pd.Series:
+        m = _matrix(batch)
+        return pd.Series(m @ q / np.linalg.norm(m, axis=1))
 
-def _distances(corpus: DataFrame, queries: Mapping[str, Sequence[float]], vector: str, keep: Sequence[str], below: float | None) -> DataFrame:
-    table = F.array(*[F.struct(F.lit(k).alias("theme"), _array(v).alias("q")) for k, v in queries.items()])
-    near = F.transform(table, lambda t: F.struct(t["theme"].alias("theme"), squared_l2(F.col(vector), t["q"]).alias("distance")))
-    if below is not None:
-        near = F.filter(near, lambda n: n["distance"] < below)
-    return corpus.select(*keep, F.inline(near))
+    return similarity(vector)
+
+
+def indexed(corpus: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
+    """Rows that have a vector of the right length."""
+    return corpus.where(F.size(vector) == dim)
 
 
 def vector_theme_topk(corpus: DataFrame, themes: Mapping[str, Sequence[float]], k: int = 5, max_distance: float = 1.2, vector: str = "embedding", row_id: str = "vec_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -57,22 +67,26 @@ def vector_theme_topk(corpus: DataFrame, themes: Mapping[str, Sequence[float]],
     k; similarity = 1 - d/2. Farther rows are dropped before the ranking: a row
     within the limit has only nearer rows before it, so its place among all
     rows and among the near ones is the same."""
-    near = _distances(corpus, themes, vector, [row_id, *keep], max_distance)
-    top = top_per_key(near, ["theme"], [F.asc("distance"), F.asc(row_id)], k)
+    names = sorted(themes)
+    rows = indexed(corpus, len(themes[names[0]]), vector)
+    near = F.transform(squared_l2(F.col(vector), [themes[n] for n in names]), lambda d, i: F.struct(i.alias("i"), d.alias("distance")))
+    # filtered inside the generator: the distances are made once
+    hits = rows.select(row_id, *keep, F.inline(F.filter(near, lambda n: n["distance"] < max_distance)))
+    named = hits.withColumn("theme", F.get(F.array(*[F.lit(n) for n in names]), F.col("i"))).drop("i")
+    top = top_per_key(named, ["theme"], [F.asc("distance"), F.asc(row_id)], k)
     return top.withColumn("similarity", 1 - F.col("distance") / 2)
 
 
 def vector_similar(corpus: DataFrame, query: Sequence[float], k: int = 5, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
     """Top-k of one query, no threshold."""
-    d = squared_l2(F.col(vector), _array(query))
-    return corpus.select(row_id, d.alias("distance")).orderBy("distance", row_id).limit(k)
+    d = F.get(squared_l2(F.col(vector), [query]), F.lit(0))
+    return indexed(corpus, len(query), vector).select(row_id, d.alias("distance")).orderBy("distance", row_id).limit(k)
 
 
 def cosine_filter(rows: DataFrame, query: Sequence[float], more_than: float = 0.3, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
-    """Rows with cosine above the limit, best first. The similarity is made in
-    a generator, so the filter does not compute it a second time."""
-    sim = F.filter(F.array(cosine(F.col(vector), _array(query))), lambda s: s > more_than)
-    return rows.select(*[c for c in rows.columns if c != vector], F.explode(sim).alias("similarity")).orderBy(F.desc("similarity"), row_id)
+    """Rows with cosine above the limit, best first."""
+    scored = indexed(rows, len(query), vector).withColumn("similarity", cosine(F.col(vector), query))
+    return scored.where(F.col("similarity") > more_than).drop(vector).orderBy(F.desc("similarity"), row_id)
 
 
 def vector_upsert(index: DataFrame, new: DataFrame, row_id: str = "vec_id") -> DataFrame:

@@ -41,11 +41,12 @@ query(
 _VAL = """CASE id % 5 WHEN 0 THEN '{"valid":true,"confidence":0.9,"name":"Checked ' || CAST(id AS STRING) || '","state":"OH"}' WHEN 1 THEN '{"valid":true,"confidence":0.5}' WHEN 2 THEN '{"valid":false}' ELSE 'oops' END"""
 query(
     "merge_validation_result",
-    f"""{CO} SELECT id, CASE WHEN id % 5 = 0 THEN 'Checked ' || id ELSE name END AS name, city, CASE WHEN id % 5 = 0 THEN 'OH' ELSE state END AS region FROM companies WHERE id % 5 NOT IN (1, 2)""",
+    f"""{CO} SELECT id, CASE WHEN source <> 'search' AND id % 5 = 0 THEN 'Checked ' || id ELSE name END AS name, city, CASE WHEN source <> 'search' AND id % 5 = 0 THEN 'OH' ELSE state END AS region
+        FROM companies WHERE source = 'search' OR id % 5 NOT IN (1, 2)""",
 )(
     lambda spark, sf_dir: J.merge_validation_result(
         _co(spark, sf_dir).select("id", "name", "city", F.col("state").alias("region")),
-        _co(spark, sf_dir).where("id % 5 < 4").select("id", F.expr(_VAL).alias("payload"))).select("id", "name", "city", "region")
+        _co(spark, sf_dir).where("source <> 'search'").select("id", F.expr(_VAL).alias("payload"))).select("id", "name", "city", "region")
 )
 
 
@@ -67,11 +68,11 @@ query(
 )
 query(
     "fuse_override",
-    f"{CO} SELECT id, CASE WHEN id % 4 = 0 THEN 'site' || id ELSE phone END AS phone, city FROM companies",
+    f"{CO} SELECT id, CASE WHEN source = 'map' THEN 'site' || id ELSE phone END AS phone, city FROM companies",
 )(
     lambda spark, sf_dir: J.fuse_override(
         _co(spark, sf_dir).select("id", "phone", "city"),
-        _co(spark, sf_dir).where("id % 4 < 2").select("id", F.expr("CASE WHEN id % 4 = 0 THEN 'site' || id ELSE '' END").alias("phone")), ["phone"]).select("id", "phone", "city")
+        _co(spark, sf_dir).where("source in ('map', 'directory')").select("id", F.expr("CASE WHEN source = 'map' THEN 'site' || id ELSE '' END").alias("phone")), ["phone"]).select("id", "phone", "city")
 )
 
 
@@ -108,12 +109,12 @@ def _domains(spark, sf_dir, cond):
 
 
 _HOSTS = "regexp_extract(regexp_extract(url, '://([^/?#]*)', 1), '([^.]+[.]example[.][a-z]+)$', 1)"
-_LISTED = f"{_HOSTS} IN (SELECT {_HOSTS} FROM pages WHERE page_id < 20)"
+_LISTED = f"{_HOSTS} IN (SELECT {_HOSTS} FROM pages WHERE contains(url, '.example.org'))"
 query("semi_join_domain_suffix", f"SELECT page_id, url FROM pages WHERE {_LISTED}")(
-    lambda spark, sf_dir: J.semi_join_domain_suffix(table(spark, sf_dir, "pages").select("page_id", "url"), _domains(spark, sf_dir, "page_id < 20"))
+    lambda spark, sf_dir: J.semi_join_domain_suffix(table(spark, sf_dir, "pages").select("page_id", "url"), _domains(spark, sf_dir, F.col("url").contains(".example.org")))
 )
 query("anti_join_domain_suffix", f"SELECT page_id, url FROM pages WHERE NOT ({_LISTED})")(
-    lambda spark, sf_dir: J.anti_join_domain_suffix(table(spark, sf_dir, "pages").select("page_id", "url"), _domains(spark, sf_dir, "page_id < 20"))
+    lambda spark, sf_dir: J.anti_join_domain_suffix(table(spark, sf_dir, "pages").select("page_id", "url"), _domains(spark, sf_dir, F.col("url").contains(".example.org")))
 )
 _UN = S.netloc("coalesce(url, chr(32))")
 query("filter_parser_supported", f"{U} SELECT page_id, url FROM urls WHERE {S.sub_of(_UN, [*L.PARSER_SUPPORTED_DOMAINS, 'mining.com'])} AND NOT {S.sub_of(_UN, L.PARSER_BLOCKED_DOMAINS)}")(

@@ -58,8 +58,8 @@ query("fallback_if_empty", f"{U} SELECT page_id, url FROM urls WHERE url IS NOT
 query("fallback_not_needed", f"{U} SELECT page_id, url FROM urls WHERE url IS NOT NULL AND contains(lower(url), 'scrap')")(
     lambda spark, sf_dir: K.fallback_if_empty(view(spark, sf_dir, "urls").where(filled("url")).select("page_id", "url"), F.lower("url").contains("scrap"), [F.asc("page_id")])
 )
-query("rank_business_urls", f"{U} SELECT page_id, CAST({UQ._BIZ} AS BIGINT) AS score FROM urls ORDER BY score DESC, page_id LIMIT 100")(
-    lambda spark, sf_dir: K.rank_business_urls(view(spark, sf_dir, "urls")).limit(100).select("page_id", F.col("score").cast("bigint").alias("score"))
+query("rank_business_urls", f"{U} SELECT page_id, CAST({UQ._BIZ} AS BIGINT) AS score FROM urls")(
+    lambda spark, sf_dir: K.rank_business_urls(view(spark, sf_dir, "urls")).select("page_id", F.col("score").cast("bigint").alias("score"))
 )
 query(
     "rank_links",
@@ -69,8 +69,8 @@ query(
     "rank_by_quality",
     f"{CO} SELECT id, relevance, CAST({QQ.QUALITY} AS BIGINT) AS quality FROM companies ORDER BY quality DESC, relevance DESC, id LIMIT 50",
 )(lambda spark, sf_dir: K.rank_by_quality(score_records(_co(spark, sf_dir)), ["quality", "relevance"], 50).select("id", "relevance", F.col("quality").cast("bigint").alias("quality")))
-query("rank_with_contact_first", f"{CO} SELECT id, coalesce(phone, '') <> '' AS has_phone FROM companies ORDER BY has_phone DESC, id LIMIT 500")(
-    lambda spark, sf_dir: K.rank_with_contact_first(_co(spark, sf_dir)).limit(500).select("id", "has_phone")
+query("rank_with_contact_first", f"{CO} SELECT id, coalesce(phone, '') <> '' AS has_phone FROM companies")(
+    lambda spark, sf_dir: K.rank_with_contact_first(_co(spark, sf_dir)).select("id", "has_phone")
 )
 query("split_by_contact", f"{CO} SELECT id, 'with' AS part FROM companies WHERE coalesce(phone, '') <> '' UNION ALL SELECT id, 'without' FROM companies WHERE coalesce(phone, '') = ''")(
     lambda spark, sf_dir: (lambda ab: ab[0].select("id", F.lit("with").alias("part")).unionByName(ab[1].select("id", F.lit("without").alias("part"))))(with_contact(_co(spark, sf_dir)))

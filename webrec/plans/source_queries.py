@@ -115,7 +115,7 @@ def scan_search_links(spark, sf_dir):
     links = view(spark, sf_dir, "urls").where("url is not null").select("title", "url", F.col("page_id").cast("string").alias("query"), F.col("page_no").alias("page"))
     # one folder of dumps whose names carry the engine, one of others
     links.write.json(f"{base}/google_links.json")
-    links.limit(3).write.json(f"{base}/other_links")
+    links.write.json(f"{base}/other_links")
     found = R.scan_search_links(spark, f"{base}/google*", name="*.json", multi_line=False)
     return found.select(F.col("query").cast("bigint").alias("n"), "title", "url", F.col("page").cast("bigint").alias("page"))
 

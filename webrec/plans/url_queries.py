@@ -194,12 +194,10 @@ def unwrap_redirect_url(spark, sf_dir):
 
 @query(
     "resolve_news_redirect",
-    f"{W} SELECT page_id, CASE page_id % 26 WHEN 25 THEN 'https://metalinfo.ru/article/' || page_id "
-    f"WHEN 19 THEN 'https://yard' || page_id || '.com/contact' END AS target FROM urls WHERE page_id % 26 <> 19",
+    f"{W} SELECT page_id, CASE page_id % 26 WHEN 25 THEN 'https://metalinfo.ru/article/' || page_id END AS target FROM urls",
 )
 def resolve_news_redirect(spark, sf_dir):
-    u = view(spark, sf_dir, "urls").where("page_id % 26 <> 19")
-    return u.select("page_id", U.resolve_news_redirect("url").alias("target"))
+    return view(spark, sf_dir, "urls").select("page_id", U.resolve_news_redirect("url").alias("target"))
 
 
 _HREFS = """CASE page_id % 10 WHEN 0 THEN '/abs/x' WHEN 1 THEN 'rel/y' WHEN 2 THEN '../up' WHEN 3 THEN '//cdn.org/z'

@@ -53,10 +53,10 @@ query("cosine_filter", f"{_Q} SELECT vec_id, label, round({_COS}, 6) AS similari
 )
 query(
     "vector_upsert",
-    "SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS BIGINT) AS label FROM embeddings UNION ALL SELECT vec_id + 10000000, 100 + label FROM embeddings WHERE vec_id % 3 = 0",
+    "SELECT vec_id, CAST(CASE WHEN label < 4 THEN label + 100 ELSE label END AS BIGINT) AS label FROM embeddings UNION ALL SELECT vec_id + 10000000, 100 + label FROM embeddings WHERE label < 4",
 )(
     lambda spark, sf_dir: (lambda e, n: V.vector_upsert(e, n.unionByName(n.withColumn("vec_id", F.col("vec_id") + 10000000))))(
-        _emb(spark, sf_dir), _emb(spark, sf_dir).where("vec_id % 3 = 0").withColumn("label", (F.col("label") + 100).cast("int"))
+        _emb(spark, sf_dir), _emb(spark, sf_dir).where("label < 4").withColumn("label", (F.col("label") + 100).cast("int"))
     ).select("vec_id", F.col("label").cast("bigint").alias("label"))
 )
 query("vector_rebuild", "SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings WHERE label < 5")(
