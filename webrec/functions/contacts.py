@@ -14,15 +14,25 @@ from webrec.functions.common import (
 from webrec.functions.html import JSON_LD, json_ld_deep_phone
 
 
+# The patterns below are tried at the start of a run of their characters only
+# (or where the last hit ended): inside a run no later start can do better, and
+# a long run (encoded data in a page) would cost its length squared.
+_LOCAL = r"[A-Za-z0-9._%+\-]"
+_EMAIL_TAIL = r"@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+_EMAIL_RUN = rf"(?:\G|(?<!{_LOCAL}))(?={_LOCAL}++@)"
+EMAIL_AT_BOUNDARY = rf"{_EMAIL_RUN}{_LOCAL}*?\b({_LOCAL}+{_EMAIL_TAIL})\b"
+EMAIL_ANYWHERE = rf"{_EMAIL_RUN}({_LOCAL}+{_EMAIL_TAIL})"
+
+
 # -- e-mails ------------------------------------------------------------------
 def extract_emails(body: Column | str, limit: int = 5) -> Column:
     """Distinct in order of appearance."""
-    return F.slice(F.array_distinct(all_matches(text(body), L.EMAIL_PATTERN)), 1, limit)
+    return F.slice(F.array_distinct(all_matches(text(body), EMAIL_AT_BOUNDARY, 1)), 1, limit)
 
 
 def extract_business_emails(body: Column | str, spam=L.EMAIL_SPAM_WORDS, limit: int = 3) -> Column:
     """Lower case, without no-reply and sample addresses."""
-    found = F.transform(all_matches(text(body), L.EMAIL_PATTERN), F.lower)
+    found = F.transform(all_matches(text(body), EMAIL_AT_BOUNDARY, 1), F.lower)
     return F.slice(F.array_distinct(F.filter(found, lambda e: ~contains_any(e, spam))), 1, limit)
 
 
@@ -42,7 +52,7 @@ def validate_email(email: Column | str, *, exclude: Sequence[str] = L.EMAIL_EXCL
 
 
 def extract_email_first(body: Column | str, skip=L.EMAIL_FIRST_SKIP) -> Column:
-    found = F.transform(all_matches(text(body), r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"), F.lower)
+    found = F.transform(all_matches(text(body), EMAIL_ANYWHERE, 1), F.lower)
     return F.get(F.filter(found, lambda e: ~contains_any(e, skip)), F.lit(0))
 
 
@@ -250,9 +260,16 @@ def valid_city(city: Column | str) -> Column:
 
 
 _CITY = r"([A-Za-z][A-Za-z\s\-.]{2,25}?)"
-ADDRESS_FULL = rf"(?i)(\d+\s+[A-Za-z0-9\s\-.]+?\b(?:{L.STREET_SUFFIXES})\b\.?)\s*,?\s*{_CITY}\s*,\s*([A-Z]{{2}})\s*(\d{{5}}(?:-\d{{4}})?)"
+_STREET_CHAR = r"[A-Za-z0-9\s\-.]"
+# a street reaches over any later number of its run, so only the first number
+# of a run is tried
+_STREET = (
+    rf"(?:\G|(?<!{_STREET_CHAR}))(?>{_STREET_CHAR}*?(?=\d+\s+{_STREET_CHAR}))"
+    rf"(\d+\s+{_STREET_CHAR}+?\b(?:{L.STREET_SUFFIXES})\b\.?)\s*,?\s*"
+)
+ADDRESS_FULL = rf"(?i){_STREET}{_CITY}\s*,\s*([A-Z]{{2}})\s*(\d{{5}}(?:-\d{{4}})?)"
 ADDRESS_CITY = rf"(?i){_CITY}\s*,\s*([A-Z]{{2}})\s*(\d{{5}}(?:-\d{{4}})?)"
-ADDRESS_NO_ZIP = rf"(?i)(\d+\s+[A-Za-z0-9\s\-.]+?\b(?:{L.STREET_SUFFIXES})\b\.?)\s*,?\s*{_CITY}\s*,?\s*\b([A-Z]{{2}})\b"
+ADDRESS_NO_ZIP = rf"(?i){_STREET}{_CITY}\s*,?\s*\b([A-Z]{{2}})\b"
 ADDRESS_TAIL = rf"{_CITY}\s*,?\s*([A-Z]{{2}})\s*$"
 
 
@@ -263,12 +280,14 @@ def parse_us_address(body: Column | str) -> Column:
     t = text(body)
 
     def tries(pattern, groups):
-        zipped = F.arrays_zip(*[all_matches(t, pattern, i).alias(g) for g, i in groups.items()])
-        get = lambda z, g: F.trim(z[g]) if g in groups else F.lit(None).cast("string")
-        shaped = F.transform(zipped, lambda z: F.struct(
-            get(z, "street").alias("street"), get(z, "city").alias("city"),
-            F.upper(get(z, "state")).alias("state"), get(z, "postal").alias("postal"),
-            F.lit("United States").alias("country")))
+        # one pass over the text; the groups come from the short hits
+        def shape(hit):
+            get = lambda g: F.trim(F.regexp_extract(hit, pattern, groups[g])) if g in groups else F.lit(None).cast("string")
+            return F.struct(
+                get("street").alias("street"), get("city").alias("city"), F.upper(get("state")).alias("state"),
+                get("postal").alias("postal"), F.lit("United States").alias("country"))
+
+        shaped = F.transform(all_matches(t, pattern), shape)
         return F.filter(shaped, lambda s: valid_city(s["city"]) & s["state"].isin(*L.US_STATES))
 
     zips = all_matches(t, r"\b\d{5}(?:-\d{4})?\b")
@@ -355,7 +374,13 @@ def working_hours_map(body: Column | str) -> Column:
 
 
 def hours_text(body: Column | str, limit: int = 100) -> Column:
-    return cut(F.coalesce(*[first_match(text(body), "(?is)" + p, 0) for p in L.HOURS_TEXT_PATTERNS]), limit)
+    def leftmost(p: str) -> str:
+        # parts in order, each at its first place: if that fails from the first
+        # start it fails from all, so one anchored attempt decides
+        head, *rest = p.split(".*?")
+        return rf"(?is)\A(?>.*?(?={head}))({head}" + "".join(f"(?>.*?{x})" for x in rest) + ")"
+
+    return cut(F.coalesce(*[first_match(text(body), leftmost(p)) for p in L.HOURS_TEXT_PATTERNS]), limit)
 
 
 def classify_text_field(c: Column | str) -> Column:

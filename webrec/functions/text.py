@@ -125,7 +125,9 @@ def extract_price_struct(body: Column | str, patterns=L.PRICE_STRUCT_PATTERNS) -
     t = text(body)
 
     def one(p, m, v, u):
-        parts = F.arrays_zip(*[all_matches(t, "(?i)" + p, g).alias(n) for n, g in (("m", m), ("v", v), ("u", u)) if g])
+        # a leading word starts at its run, see the e-mail patterns
+        start = r"(?:\G|(?<!\w))" if p.startswith(r"(\w+)") else ""
+        parts = F.arrays_zip(*[all_matches(t, "(?i)" + start + p, g).alias(n) for n, g in (("m", m), ("v", v), ("u", u)) if g])
         pick = lambda z, n, g: F.lower(z[n]) if g else F.lit(None).cast("string")
         return F.transform(parts, lambda z: F.struct(
             pick(z, "m", m).alias("metal"), z["v"].try_cast("decimal(12,4)").alias("price"), pick(z, "u", u).alias("unit")))

@@ -181,7 +181,7 @@ def classify_directory_page(url, page_text, *, domains=L.DIRECTORY_PAGE_DOMAINS,
 def filter_article_url(url, *, paywalled=L.PAYWALLED_DOMAINS, bad_paths=L.ARTICLE_BAD_PATHS, bad_queries=L.ARTICLE_BAD_QUERIES, good_paths=L.ARTICLE_GOOD_PATHS) -> Column:
     def rule(p):
         bad = contains_any(p["host"], paywalled) | contains_any(p["path"], bad_paths) | contains_any(p["query"], bad_queries)
-        several = p["path"].rlike(r"[^/]+/+[^/]+")
+        several = p["path"].rlike(r"(?<![^/])[^/]++/++[^/]")
         return ~bad & (contains_any(p["path"], good_paths) | p["path"].rlike(r"\d") | several)
     return _parts(url, rule)
 

@@ -469,7 +469,6 @@ SOCIAL_PATTERNS = {
 }
 
 # ---- fixed values: contacts ------------------------------------------------
-EMAIL_PATTERN = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 EMAIL_FULL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}$"
 EMAIL_SPAM_WORDS = ["noreply", "donotreply", "no-reply", "example.com"]
 EMAIL_EXCLUDE_SUBSTRINGS = [

@@ -32,8 +32,9 @@ def html_links(pages: DataFrame, *keep: str) -> DataFrame:
 def html_serp_items(pages: DataFrame, block: str = "li.b_algo", link: str = "h2 a", snippet_chars: int = 400) -> DataFrame:
     """Result blocks of a saved search page: title, url, snippet."""
     hits = pages.select("page_id", F.posexplode(html_select("html", block)).alias("pos", "hit"))
-    inner = hits.select("page_id", "pos", cut(F.col("hit.text"), snippet_chars).alias("snippet"), F.get(html_select("hit.html", link), F.lit(0)).alias("a"))
-    return inner.select("page_id", "pos", F.col("a.text").alias("title"), F.col("a.attrs")["href"].alias("url"), "snippet").where(F.col("url").startswith("http"))
+    links = F.filter(F.slice(html_select("hit.html", link), 1, 1), lambda a: a["attrs"]["href"].startswith("http"))
+    item = F.transform(links, lambda a: F.struct(a["text"].alias("title"), a["attrs"]["href"].alias("url")))
+    return hits.select("page_id", "pos", F.inline(item), cut(F.col("hit.text"), snippet_chars).alias("snippet"))
 
 
 # fixed values: selectors of listing pages by site
@@ -51,17 +52,18 @@ def html_listing_cards(pages: DataFrame, site: str = "default", selectors=None)
     """Repeated listing blocks as rows; blocks without a name are dropped."""
     s = dict((selectors or LISTING_SELECTORS)[site])
     cards = pages.select("page_id", "url", F.posexplode(html_select("html", s.pop("card"))).alias("pos", "card"))
-    parts = cards.select("page_id", "url", "pos", html_select_all(F.col("card.html"), s).alias("p"), F.col("card.html").alias("card_html"))
-    rating_text = F.concat_ws(" ", first_text(F.col("p.rating")), F.get(F.col("p.rating"), F.lit(0))["attrs"]["aria-label"])
+    named = F.filter(F.array(html_select_all(F.col("card.html"), s)), lambda p: filled(first_text(p["name"])))
+    parts = cards.select("page_id", "pos", F.inline(named))
+    rating_text = F.concat_ws(" ", first_text(F.col("rating")), F.get(F.col("rating"), F.lit(0))["attrs"]["aria-label"])
     return parts.select(
         "page_id", "pos",
-        C.clean_text(first_text(F.col("p.name"))).alias("name"),
-        C.clean_text(first_text(F.col("p.address"))).alias("address"),
-        F.get(C.extract_phones(first_text(F.col("p.phone"))), F.lit(0)).alias("phone"),
+        C.clean_text(first_text(F.col("name"))).alias("name"),
+        C.clean_text(first_text(F.col("address"))).alias("address"),
+        F.get(C.extract_phones(first_text(F.col("phone"))), F.lit(0)).alias("phone"),
         F.regexp_extract(F.lower(rating_text), r"(\d+\.?\d*)\s*star", 1).try_cast("double").alias("rating"),
-        F.transform(F.col("p.categories"), lambda h: h["text"]).alias("categories"),
-        first_text(F.col("p.price")).alias("price_range"),
-    ).where(filled("name"))
+        F.transform("categories", lambda h: h["text"]).alias("categories"),
+        first_text(F.col("price")).alias("price_range"),
+    )
 
 
 # fixed values: selectors of article metadata

@@ -85,8 +85,11 @@ def vector_similar(corpus: DataFrame, query: Sequence[float], k: int = 5, vector
 
 def cosine_filter(rows: DataFrame, query: Sequence[float], more_than: float = 0.3, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
     """Rows with cosine above the limit, best first."""
-    scored = indexed(rows, len(query), vector).withColumn("similarity", cosine(F.col(vector), query))
-    return scored.where(F.col("similarity") > more_than).drop(vector).orderBy(F.desc("similarity"), row_id)
+    # filtered inside the generator: a filter behind it would be pushed down
+    # and run the similarity twice
+    hit = F.filter(F.array(cosine(F.col(vector), query)), lambda s: s > more_than)
+    scored = indexed(rows, len(query), vector).select(*[c for c in rows.columns if c != vector], F.explode(hit).alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), row_id)
 
 
 def vector_upsert(index: DataFrame, new: DataFrame, row_id: str = "vec_id") -> DataFrame:
