@@ -33,11 +33,14 @@ def unescape(c: Column) -> Column:
             return F.aggregate(refs, x, step)
         return let(t, decode)
 
-    out = let(c, lambda x: F.when(
-        x.contains("&#"), numeric(numeric(x, r"&#(\d{1,6});", 10), r"&#[xX]([0-9A-Fa-f]{1,5});", 16)).otherwise(x))
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    def named(x):
+        out = F.when(x.contains("&#"), numeric(numeric(x, r"&#(\d{1,6});", 10), r"&#[xX]([0-9A-Fa-f]{1,5});", 16)).otherwise(x)
+        for name, char in ENTITIES:
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+    # most strings have no reference at all
+    return let(c, lambda x: F.when(x.contains("&"), named(x)).otherwise(x))
 
 
 def _drop_tags(html: Column, tags: Sequence[str]) -> Column:
@@ -272,8 +275,8 @@ def json_ld_hours(spec: Column) -> Column:
 
 def page_lines(html: Column | str) -> Column:
     """Text nodes, one per line."""
-    t = F.regexp_replace(_drop_tags(text(html), ["script", "style"]), r"<[^>]*>", "\n")
-    lines = F.transform(F.split(t, "\n"), lambda x: unescape(squeeze(x)))
+    t = unescape(F.regexp_replace(_drop_tags(text(html), ["script", "style"]), r"<[^>]*>", "\n"))
+    lines = F.transform(F.split(t, "\n"), lambda x: squeeze(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

@@ -114,7 +114,8 @@ def extract_inline_prices(body: Column | str, materials=L.MATERIAL_KEYWORDS, pat
         # contexts are looked at, not consumed, so close mentions keep theirs
         around = rf"(?is)(?=(?:{p}))(?<=(\A.{{0,59}}|.{{60}}))({p})(?=(.{{0,60}}))"
         parts = F.arrays_zip(*[all_matches(t, around, g).alias(n) for g, n in ((1, "l"), (2, "m"), (3, "r"))])
-        spans = F.transform(parts, lambda z: F.concat(z["l"], z["m"], z["r"]))
+        # one plain search first: most pages name no price
+        spans = F.when(t.rlike("(?i)" + p), F.transform(parts, lambda z: F.concat(z["l"], z["m"], z["r"]))).otherwise(F.array().cast("array<string>"))
         return F.transform(F.filter(spans, lambda s: contains_any(F.lower(s), materials)), squeeze)
 
     return F.slice(F.concat(*[one(p) for p in patterns]), 1, limit)

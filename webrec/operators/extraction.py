@@ -125,14 +125,14 @@ def extract_company(pages: DataFrame, fallback_country: str = "") -> DataFrame:
         H.whatsapp_links(F.col("_social")).alias("whatsapp"), F.col("_social").alias("social_links"),
         H.html_opening_hours("html", F.col("_ld.hours")).alias("opening_hours"),
         materials_string("html").alias("materials"),
-        H.html_price_rows("html").alias("_rows"), extract_inline_prices("html").alias("_inline"),
+        H.html_price_rows("html").alias("_rows"), "html",
         H.html_description("html").alias("description"),
     )
     return out.select(
         "page_id", "website", "name", F.col("_a.street").alias("street_address"), F.col("_a.city").alias("city"),
         F.col("_a.region").alias("region"), F.col("_a.postal").alias("postal_code"), F.col("_a.country").alias("country"),
         "phones", "emails", "whatsapp", "social_links", "opening_hours", "materials",
-        F.slice(F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(F.col("_inline")), 1, 20).alias("material_prices"),
+        F.slice(F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(extract_inline_prices("html")), 1, 20).alias("material_prices"),
         "description",
     )
 

@@ -170,8 +170,7 @@ query(
 )
 query(
     "simple_address_parts",
-    f"""{CO} SELECT id, CASE id % 5 WHEN 0 THEN '77086' WHEN 1 THEN '77008-1234' WHEN 2 THEN '77008' WHEN 3 THEN CASE WHEN length(CAST(id AS VARCHAR)) = 5 THEN CAST(id AS VARCHAR) END WHEN 4 THEN '12345' END AS postal_code,
-        CASE id % 5 WHEN 4 THEN 'ZZ' ELSE 'TX' END AS state FROM companies""",
+    f"{CO}, a AS (SELECT id, {_ADDR} AS t FROM companies) SELECT id, nullif(regexp_extract(t, '\\b[0-9]{{5}}(?:-[0-9]{{4}})?\\b'), '') AS postal_code, CASE id % 5 WHEN 4 THEN 'ZZ' ELSE 'TX' END AS state FROM a",
 )(
     lambda spark, sf_dir: _companies(spark, sf_dir).select("id", C.simple_address_parts(F.expr(_ADDR)).alias("a")).select("id", "a.*")
 )

@@ -178,8 +178,8 @@ def _tasks(spark, sf_dir):
 
 query(
     "tag_search_metadata",
-    f"""{CO} SELECT id, s_suppkey AS task_id, 'maps' AS source, 'term ' || (s_suppkey % 5) AS term, s_name AS location, TIMESTAMP '2024-01-01' + CAST(s_suppkey % 1000 AS INT) * INTERVAL 1 MINUTE AS started_at
-        FROM companies JOIN supplier ON s_suppkey = id % 100""",
+    f"""{CO} SELECT id, id % 100 AS task_id, CASE WHEN s_suppkey IS NOT NULL THEN 'maps' END AS source, 'term ' || (s_suppkey % 5) AS term, s_name AS location,
+        TIMESTAMP '2024-01-01' + CAST(s_suppkey % 1000 AS INT) * INTERVAL 1 MINUTE AS started_at FROM companies LEFT JOIN supplier ON s_suppkey = id % 100""",
 )(
     lambda spark, sf_dir: J.tag_search_metadata(_co(spark, sf_dir).select("id", (F.col("id") % 100).alias("task_id")), _tasks(spark, sf_dir))
 )
