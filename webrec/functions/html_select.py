@@ -85,7 +85,7 @@ class _Tree(HTMLParser):
         self.at.kids.append(data)
 
 
-def _compile(selector: str):
+def compile_selector(selector: str):
     """Alternatives, each a list of compound steps (lists of tests)."""
     out = []
     for alternative in selector.split(","):
@@ -128,7 +128,7 @@ def _matches(node: _Node, steps) -> bool:
     return i < 0
 
 
-def select(html: str, compiled: Mapping[str, list]) -> dict:
+def select_html(html: str, compiled: Mapping[str, list]) -> dict:
     tree = _Tree()
     tree.feed(html)
     tree.close()
@@ -151,8 +151,8 @@ def html_select_all(html: Column | str, selectors: Mapping[str, str]) -> Column:
 
     @F.pandas_udf(schema)
     def run(pages: pd.Series) -> pd.DataFrame:
-        compiled = {n: _compile(s) for n, s in wanted.items()}
-        rows = [select(p or "", compiled) for p in pages]
+        compiled = {n: compile_selector(s) for n, s in wanted.items()}
+        rows = [select_html(p or "", compiled) for p in pages]
         return pd.DataFrame({n: [r[n] for r in rows] for n in names})
 
     return run(col(html))

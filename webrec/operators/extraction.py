@@ -12,7 +12,7 @@ from webrec import lexicons as L
 from webrec.functions import contacts as C
 from webrec.functions import html as H
 from webrec.functions.common import cut, filled, filled_array, in_domains, let
-from webrec.functions.html_select import first_text, html_select, html_select_all
+from webrec.functions.html_select import compile_selector, first_text, html_select, html_select_all, select_html
 from webrec.functions.text import extract_inline_prices, materials_string
 from webrec.functions.urls import absolute_url, url_host, url_netloc
 
@@ -170,12 +170,12 @@ def run_extractors(pages: DataFrame, fields: list[str], default: str | None = No
 
 def register_links_udtf(spark, name: str = "html_links") -> None:
     """Table function form for SQL: ``FROM pages, LATERAL html_links(html)``."""
+    wanted = compile_selector("a[href]")
+
     @F.udtf(returnType="pos int, href string, anchor string")
     class Links:
         def eval(self, html: str):
-            from webrec.functions.html_select import _compile, select
-
-            for i, hit in enumerate(select(html or "", {"a": _compile("a[href]")})["a"]):
+            for i, hit in enumerate(select_html(html or "", {"a": wanted})["a"]):
                 yield i, hit["attrs"]["href"], hit["text"]
 
     spark.udtf.register(name, Links)
