@@ -60,6 +60,14 @@ def html_to_text(html: Column | str, drop: Sequence[str] = L.DROP_TAGS) -> Colum
     return _tags_to_text(_drop_tags(text(html), drop))
 
 
+def elements(html: Column, tag: str, group: int = 0) -> Column:
+    """All flat elements of a tag, whole (0) or inner (1). The text behind the
+    last end tag is cut off first: open tags there match nothing, and trying
+    each of them to the end of the page costs its length squared."""
+    upto = F.regexp_extract(html, rf"(?is)^.*</{tag}\s*>", 0)
+    return all_matches(upto, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", group)
+
+
 def tag_inner(html: Column, tag: str) -> Column:
     """Inner HTML of the first such element."""
     return first_match(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>")
@@ -82,10 +90,9 @@ def html_tag_texts(html: Column | str, tags: Sequence[str] = L.CONTENT_TAGS) ->
     h = F.regexp_replace(text(html), r"(?s)<!--.*?-->", " ")
     parts = []
     for tag in tags:
-        inner = all_matches(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
-        texts = F.transform(inner, _tags_to_text)
+        texts = F.transform(elements(h, tag, 1), lambda x: _tags_to_text(x))
         if tag == "a":
-            whole = all_matches(h, r"(?is)<a\b[^>]*>.*?</a\s*>", 0)
+            whole = elements(h, "a")
             def one(a):
                 t = _tags_to_text(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a\s*>$", ""))
                 href = F.regexp_extract(a, r"(?is)^<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)", 1)
@@ -349,10 +356,10 @@ def html_address(html: Column | str, ld: Column, fallback_country: str = "") ->
 def html_price_rows(html: Column | str, materials: Sequence[str] = L.MATERIAL_KEYWORDS, patterns: Sequence[str] = L.PRICE_PATTERNS) -> Column:
     """Rows of price tables that hold a material and a price."""
     tables = F.filter(
-        all_matches(text(html), r"(?is)<table\b.*?</table\s*>", 0),
+        elements(text(html), "table"),
         lambda t: contains_any(F.lower(_tags_to_text(t)), ["price", "rate"]),
     )
-    rows = F.flatten(F.transform(tables, lambda t: F.regexp_extract_all(t, F.lit(r"(?is)<tr\b.*?</tr\s*>"), F.lit(0))))
+    rows = F.flatten(F.transform(tables, lambda t: elements(t, "tr")))
 
     def cells(r):
         inner = F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1))
