@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.harness import compare, duck
+from webrec.plans import all_oracles, all_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,11 @@ def test_query(name, spark, sf_dir, con):
     assert compare(QUERIES[name](spark, sf_dir), con, ORACLES[name]) is None
 
 
+def test_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["host", "pages", "total_chars", "page_id", "url", "score"]
