@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrec.session import cut_lineage
+from webrec.session import cut_lineage, scratch
 
-__all__ = ["cut_lineage", "id_text", "map_slices"]
+__all__ = ["by_word", "cut_lineage", "id_text", "map_slices", "raw", "stored"]
 
 SLICE = 512
 
@@ -40,6 +40,18 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: for wide or many rows, where
+    columns compress and later passes read few of them. Deleted at the end of
+    the session."""
+    spark = df.sparkSession
+    path = scratch(spark, "rows")
+    df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.parquet(path)
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes, without decoding."""
     return batch.column(name).cast(pa.binary()).to_pylist()
