@@ -71,7 +71,7 @@ def test_encode_decode(spark, library):
 def test_memo_bound():
     memo = bpe.Memo(len, 3)
     assert [memo[x] for x in ("a", "bb", "ccc", "dddd", "a", "y" * 99)] == [1, 2, 3, 4, 1, 99]
-    assert len(memo) <= 3 and "y" * 99 not in memo
+    assert len(memo) <= 3 and len(memo.elder) <= 3 and "y" * 99 not in memo
 
 
 @settings(max_examples=300, deadline=None)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from webrec.llm.base import id_text, map_slices
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-MEMO_WORDS = 200_000
+MEMO_WORDS = 250_000
 MEMO_CHARS = 64
 #: Controls that Python's split takes for white space and the pattern does not.
 NOT_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -127,18 +127,24 @@ def tokens(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """What ``make`` says of each token, kept for at most ``limit`` tokens."""
+    """What ``make`` says of each token. At ``limit`` tokens these become the
+    elder half, and what is asked again is taken over from there: frequent
+    tokens stay, and twice ``limit`` are held at most."""
 
     def __init__(self, make: Callable, limit: int = MEMO_WORDS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.elder = make, limit, {}
 
     def __missing__(self, token: str):
-        value = self.make(token)
-        if len(token) <= MEMO_CHARS:
-            if len(self) >= self.limit:
-                self.clear()
-            self[token] = value
+        value = self.elder.get(token)
+        if value is None:
+            value = self.make(token)
+            if len(token) > MEMO_CHARS:
+                return value
+        if len(self) >= self.limit:
+            self.elder = dict(self)
+            self.clear()
+        self[token] = value
         return value
 
 
