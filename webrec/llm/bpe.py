@@ -27,7 +27,6 @@ import hashlib
 import heapq
 import json
 import re
-import struct
 import unicodedata
 from collections.abc import Callable
 
@@ -148,18 +147,6 @@ class Memo(dict):
         return value
 
 
-def id_bytes(path: str = WORD_BPE) -> Callable[[str], bytes]:
-    """Encoder of texts into little-endian unsigned 32-bit ids."""
-    bpe = WordBpe(path)
-
-    def packed(token: str) -> bytes:
-        ids = bpe.token(token)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    memo = Memo(packed)
-    return lambda text: b"".join(map(memo.__getitem__, tokens(text)))
-
-
 def encode(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>`` per row. A null or blank text has no ids;
     repeated rows stay; other columns are not read."""

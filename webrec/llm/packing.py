@@ -24,15 +24,16 @@ import bisect
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from webrec.llm.base import SLICE, cut_lineage, id_text
-from webrec.llm.bpe import WORD_BPE, id_bytes
+from webrec.llm.bpe import WORD_BPE, Memo, WordBpe, byte_symbols, tokens
 
 CAPACITY = 2048
 SLACK = 1 / 32
@@ -43,6 +44,31 @@ PLACED = f"{PIECE}, sequence_id long, offset long"
 FIELDS = [f.split()[0] for f in PLACED.split(", ")]
 
 
+class LibraryBpe(WordBpe):
+    """The same texts and words, merged by the tokenizers library."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path).model
+        self.symbols = dict(enumerate(byte_symbols()))
+
+    def word(self, word: str) -> list[int]:
+        shown = word.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.library.tokenize(shown)]
+
+
+def id_bytes(path: str = WORD_BPE) -> Callable[[str], bytes]:
+    """Encoder of texts into little-endian unsigned 32-bit ids."""
+    bpe = LibraryBpe(path)
+
+    def packed(token: str) -> bytes:
+        ids = bpe.token(token)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    memo = Memo(packed)
+    return lambda text: b"".join(map(memo.__getitem__, tokens(text)))
+
+
 def cut(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[int]:
     """Lengths of the pieces of a document of n tokens, in order."""
     out = [capacity] * (n // capacity)
