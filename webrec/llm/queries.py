@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webrec.llm import bpe, chat, exact, langid, line_quality, packing, secrets, simhash, substring
+from webrec.llm import bpe, chat, exact, langid, line_quality, main_text, packing, secrets, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op9_line_quality(spark, sf_dir):
     return line_quality.line_quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark, sf_dir):
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -110,5 +114,11 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
 FROM base
 """.replace("{max_docs}", str(line_quality.MAX_DOCS))
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_simhash, op3_secret_scan, op4_exact_dedup, op5_chat_format, op7_bpe, op8_language_id, op9_line_quality, op10_repeated_passages)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_harmonic_packing, op2_simhash, op3_secret_scan, op4_exact_dedup, op5_chat_format, op6_main_text, op7_bpe, op8_language_id, op9_line_quality,
+        op10_repeated_passages,
+    )
+}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_line_quality": OP9_SQL}
