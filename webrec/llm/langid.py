@@ -149,18 +149,29 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def tagger(model: Model | None, margin: float = MARGIN, dim: int = DIM):
+    """Function from texts to their languages, scores and ambiguity."""
+
+    def tag(texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        names, scores, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+        real = [k for k, t in enumerate(texts) if model and t and has_letter(t)]
+        if real:
+            x = np.stack([features(texts[k].encode("utf-8"), dim) for k in real])
+            for k, best, score, doubt in zip(real, *model.predict(x, margin)):
+                names[k], scores[k], unsure[k] = model.languages[best], float(score), bool(doubt)
+        return names, scores, unsure
+
+    return tag
+
+
 def predict(docs: DataFrame, model: Model | None, margin: float = MARGIN, dim: int = DIM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``doc_id, lang_pred, score, ambiguous``."""
 
     def make():
+        tag = tagger(model, margin, dim)
+
         def work(batch):
-            texts = batch.column("text").to_pylist()
-            names, scores, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            real = [k for k, t in enumerate(texts) if model and has_letter(t)]
-            if real:
-                x = np.stack([features(texts[k].encode("utf-8"), dim) for k in real])
-                for k, best, score, doubt in zip(real, *model.predict(x, margin)):
-                    names[k], scores[k], unsure[k] = model.languages[best], float(score), bool(doubt)
+            names, scores, unsure = tag(batch.column("text").to_pylist())
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names), pa.array(scores, pa.float64()), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"]
             )
