@@ -39,7 +39,10 @@ from webrec.llm.base import id_text, map_slices
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 MEMO_WORDS = 250_000
+WORD_MEMO = 200_000
 MEMO_CHARS = 64
+#: One of these behind letters is a word of its own.
+MARKS = frozenset(".,;:!?)")
 #: Controls that Python's split takes for white space and the pattern does not.
 NOT_SPACE = re.compile(r"[\x1c-\x1f]")
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -55,6 +58,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+def normal(text: str) -> str:
+    """NFC and lower case, letter by letter: a final sigma is no special case."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+
+
 class WordBpe:
     def __init__(self, path: str = WORD_BPE):
         with open(path, encoding="utf-8") as f:
@@ -73,6 +84,7 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.known = Memo(self.word, WORD_MEMO)
 
     def word(self, word: str) -> list[int]:
         """Ids of one word of the pattern, already normalised."""
@@ -101,16 +113,21 @@ class WordBpe:
 
     def token(self, token: str) -> list[int]:
         """Ids of a stretch without white space."""
+        if token.isalpha():
+            word = normal(token)
+            if word.isalpha():
+                return [*self.known[word]]
+        elif token[-1] in MARKS and (body := token[:-1]).isalpha():
+            word = normal(body)
+            if word.isalpha():
+                return [*self.known[word], *self.known[token[-1]]]
         ids: list[int] = []
         for part in self.split_special.split(token) if "<|" in token else (token,):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                part = unicodedata.normalize("NFC", part)
-                # letter by letter: a final sigma is no special case here
-                part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-                for w in WORD.findall(part):
-                    ids.extend(self.word(w))
+                for w in WORD.findall(normal(part)):
+                    ids.extend(self.known[w])
         return ids
 
     def encode(self, text: str) -> list[int]:
