@@ -165,7 +165,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     done, todo, collided = None, prints, False
     while True:
         groups = todo.groupBy(*mark).agg(F.count("*").alias("group_size"), F.max(F.struct("id_key", "row_id", "text_sha256")).alias("top"))
-        rows = todo.join(groups.select(*mark, "group_size", "top"), mark)
+        # stored, so that the join is between two plain shuffles and a large group may be split
+        rows = todo.join(cut_lineage(groups.select(*mark, "group_size", "top")), mark)
         alone = rows.filter("group_size = 1").withColumn("same", F.lit(True))
         members = rows.filter("group_size > 1")
         # the texts of the members, once per id and fingerprint
