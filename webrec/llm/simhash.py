@@ -201,4 +201,5 @@ def near_duplicates(
     owner = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.select("fp", "root").join(owner, "root").select("fp", "component_id")
     whole = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # stored, so that the join is between two plain shuffles and a large group of copies may be split
+    return prints.join(cut_lineage(whole), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
