@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webrec.llm.base import id_text, map_slices
+from webrec.llm.bpe import Memo
 
 # fixed values: the base patterns
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -162,18 +163,6 @@ def viterbi(s: np.ndarray, moves: np.ndarray, before: bool, after: bool) -> list
     return tags[::-1]
 
 
-def decode(s: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Tags of a whole text, the same as Viterbi over all of it."""
-    tags = np.zeros(len(s), np.int8)
-    sure = s[:, 0] - np.maximum(s[:, 1], s[:, 2]) > 2 * (moves.max() - moves.min())
-    open_ = np.flatnonzero(~sure)
-    if len(open_):
-        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-            a, b = int(run[0]), int(run[-1]) + 1
-            tags[a:b] = viterbi(s[a:b], moves, a > 0, b < len(s))
-    return tags
-
-
 def tagged_spans(text: str, tags: np.ndarray) -> list[tuple[int, int]]:
     """Start and end of the tagged secrets, without punctuation at the ends."""
     spans: list[list[int]] = []
@@ -324,50 +313,81 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 # --- scanning -----------------------------------------------------------------
 
 
-class Tagger(dict):
+def margin(shares: np.ndarray) -> np.ndarray:
+    """How far outside is ahead in a share of the scores. The margin of a sum
+    is at least the sum of its shares' margins."""
+    return shares[..., 0] - np.maximum(shares[..., 1], shares[..., 2])
+
+
+class Tagger(Memo):
     """Tags texts. Keeps, for a bounded number of distinct words, the numbers
-    of their tokens' rows; plain words of one make share a row."""
+    of their tokens' rows; plain words of one make share a row. Scores are made
+    only where the margins do not settle a token by themselves."""
 
     def __init__(self, field: Field):
-        super().__init__()
+        super().__init__(self.numbers, MEMO_WORDS)
         self.field = field
         self.reset()
 
     def reset(self) -> None:
         self.clear()
+        self.elder = {}
         self.by_key: dict[object, int] = {}
-        self.rows, self.count = np.empty((1024, 11), np.float32), 0
+        self.count, self.rows = 0, np.empty((1024, 11), np.float32)
+        self.margins, self.flags = np.empty((3, 1024)), np.empty(1024, np.uint8)
 
     def number(self, token: str) -> int:
         """Row of a token. All features of a plain word follow from its
         length, case, alphabet and, if long, number of different letters."""
         body = token.strip(".-/+")
         key: object = token
-        if body.isalpha() and body.isascii() and token.lower() not in HINTS:
-            if body.islower() or (body[0].isupper() and (len(body) == 1 or body[1:].islower())):
-                key = (len(token) + 1).bit_length(), body.islower(), len(body) == 1, len(body) > 10 and min(24, len(set(body))), len(body) >= 16, body != token and ("/" in body or "+" in body)
+        if body.isalpha() and token.lower() not in HINTS:
+            head, rest = body[0], body[1:]
+            if (head.islower() or head.isupper()) and (not rest or (rest.islower() if body.isascii() else all(map(str.islower, rest)))):
+                long = len(body) > 10 and min(24, len(set(body)))
+                key = (len(token) + 1).bit_length(), head.islower(), not rest, body.isascii(), long, len(body) >= 16
         at = self.by_key.get(key)
         if at is None:
-            if self.count == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            self.rows[self.count] = self.field.row(token)
-            at = self.by_key[key] = self.count
+            at = self.count
+            if at == len(self.rows):
+                self.rows, self.flags = np.concatenate([self.rows] * 2), np.concatenate([self.flags] * 2)
+                self.margins = np.concatenate([self.margins] * 2, 1)
+            row = self.rows[at] = self.field.row(token)
+            self.margins[:, at] = margin(row[:9].reshape(3, 3).astype(float))
+            self.flags[at] = row[9] + 2 * row[10]
+            self.by_key[key] = at
             self.count += 1
         return at
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        got = tuple(map(self.number, TOKEN.findall(word)))
-        if len(word) <= 64:
-            self[word] = got
-        return got
+    def numbers(self, word: str) -> tuple[int, ...]:
+        return tuple(map(self.number, TOKEN.findall(word)))
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        if len(self) > MEMO_WORDS or self.count > MEMO_WORDS:
+    def tags(self, text: str) -> np.ndarray:
+        """Tags of a whole text, the same as Viterbi over all of it."""
+        if self.count > MEMO_WORDS:
             self.reset()
-        numbers = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
-        if not len(numbers):
-            return []
-        tags = decode(scores(self.rows[numbers], self.field), self.field.moves)
+        n = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
+        tags = np.zeros(len(n), np.int8)
+        if not len(n):
+            return tags
+        flags, moves = self.flags[n], self.field.moves
+        file = file_features(len(n), np.count_nonzero(flags & 1), np.count_nonzero(flags & 2)) @ self.field.file
+        ahead = self.margins[1][n] + float(margin(file))
+        ahead[1:] += self.margins[0][n[:-1]]
+        ahead[:-1] += self.margins[2][n[1:]]
+        # a little more than the bound, for the rounding of the scores
+        unsure = np.flatnonzero(ahead <= 2 * float(moves.max() - moves.min()) + 1e-3)
+        for run in np.split(unsure, np.flatnonzero(np.diff(unsure) > 1) + 1) if len(unsure) else ():
+            a, b = int(run[0]), int(run[-1]) + 1
+            s = self.rows[n[a:b], 3:6] + file
+            lo, hi = max(a, 1), min(b, len(n) - 1)
+            s[lo - a :] += self.rows[n[lo - 1 : b - 1], 0:3]
+            s[: hi - a] += self.rows[n[a + 1 : hi + 1], 6:9]
+            tags[a:b] = viterbi(s, moves, a > 0, b < len(n))
+        return tags
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        tags = self.tags(text)
         return tagged_spans(text, tags) if tags.any() else []
 
 
