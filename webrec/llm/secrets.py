@@ -42,7 +42,7 @@ KINDS = ("assign", "access", "hex", "crf")
 SAMPLE = 300
 WINDOW = 12
 ROUNDS = 120
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 OUTSIDE, BEGIN, INSIDE = range(3)
 
 TOKEN = re.compile(r"[\w+/.\-]+|[^\s\w+/.\-]+")
@@ -51,6 +51,7 @@ HINTS = (
     "password", "passwd", "pwd", "pass", "secret", "token", "key", "api_key", "apikey", "api", "access", "auth", "authorization", "bearer", "basic",
     "private", "credential", "credentials", "login", "session", "id", "is", "my", "the", "=", ":", ":=", "=>", '"', "'", '="', '":', "='", "://", "@", ",", "(", ")", "`",
 )
+HINT_ID = {w: k for k, w in enumerate(HINTS)}
 HEXES, MASKED = frozenset(string.hexdigits), bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 
 
@@ -89,8 +90,8 @@ def shape(token: str) -> list[int]:
         if len(body) >= 16 and turns > 4:
             on.append(42)
     word = token.lower()
-    if word in HINTS:
-        on.append(SHAPES + HINTS.index(word))
+    if word in HINT_ID:
+        on.append(SHAPES + HINT_ID[word])
     return on
 
 
@@ -339,13 +340,16 @@ class Tagger(Memo):
     def number(self, token: str) -> int:
         """Row of a token. All features of a plain word follow from its
         length, case, alphabet and, if long, number of different letters."""
-        body = token.strip(".-/+")
+        body = token if token.isalpha() else token.strip(".-/+")
         key: object = token
-        if body.isalpha() and token.lower() not in HINTS:
-            head, rest = body[0], body[1:]
-            if (head.islower() or head.isupper()) and (not rest or (rest.islower() if body.isascii() else all(map(str.islower, rest)))):
-                long = len(body) > 10 and min(24, len(set(body)))
-                key = (len(token) + 1).bit_length(), head.islower(), not rest, body.isascii(), long, len(body) >= 16
+        if body.isalpha() and token.lower() not in HINT_ID:
+            head, rest, plain = body[0], body[1:], body.isascii()
+            if (head.islower() or head.isupper()) and (not rest or (rest.islower() if plain else all(map(str.islower, rest)))):
+                n = len(body)
+                if n <= 10:
+                    key = (len(token) + 1).bit_length(), head.islower(), n > 1, plain
+                else:
+                    key = (len(token) + 1).bit_length(), head.islower(), plain, min(24, len(set(body))), n >= 16
         at = self.by_key.get(key)
         if at is None:
             at = self.count
@@ -360,6 +364,8 @@ class Tagger(Memo):
         return at
 
     def numbers(self, word: str) -> tuple[int, ...]:
+        if word.isalpha():  # one token
+            return (self.number(word),)
         return tuple(map(self.number, TOKEN.findall(word)))
 
     def tags(self, text: str) -> np.ndarray:
