@@ -122,5 +122,11 @@ def first_of(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
-def cut(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+def cut(c: Column, n: int | None) -> Column:
+    """The first n characters; all of them without n."""
+    return c if n is None else F.substring(c, 1, n)
+
+
+def at_most(items: Column, n: int | None) -> Column:
+    """The first n elements; all of them without n."""
+    return items if n is None else F.slice(items, 1, n)

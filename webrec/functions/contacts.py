@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webrec import lexicons as L
 from webrec.functions.common import (
-    all_matches, blank_to_null, col, contains_any, cut, filled, first_match, first_of, let, squeeze, strip, text,
+    all_matches, at_most, blank_to_null, col, contains_any, cut, filled, first_match, first_of, let, squeeze, strip, text,
 )
 from webrec.functions.html import JSON_LD, json_ld_deep_phone
 
@@ -25,15 +25,15 @@ EMAIL_ANYWHERE = rf"{_EMAIL_RUN}({_LOCAL}+{_EMAIL_TAIL})"
 
 
 # -- e-mails ------------------------------------------------------------------
-def extract_emails(body: Column | str, limit: int = 5) -> Column:
+def extract_emails(body: Column | str, limit: int | None = None) -> Column:
     """Distinct in order of appearance."""
-    return F.slice(F.array_distinct(all_matches(text(body), EMAIL_AT_BOUNDARY, 1)), 1, limit)
+    return at_most(F.array_distinct(all_matches(text(body), EMAIL_AT_BOUNDARY, 1)), limit)
 
 
-def extract_business_emails(body: Column | str, spam=L.EMAIL_SPAM_WORDS, limit: int = 3) -> Column:
+def extract_business_emails(body: Column | str, spam=L.EMAIL_SPAM_WORDS, limit: int | None = None) -> Column:
     """Lower case, without no-reply and sample addresses."""
     found = F.transform(all_matches(text(body), EMAIL_AT_BOUNDARY, 1), F.lower)
-    return F.slice(F.array_distinct(F.filter(found, lambda e: ~contains_any(e, spam))), 1, limit)
+    return at_most(F.array_distinct(F.filter(found, lambda e: ~contains_any(e, spam))), limit)
 
 
 def extract_mailto(html: Column | str) -> Column:
@@ -121,11 +121,11 @@ def validate_phone_strict(phone: Column | str) -> Column:
     return F.coalesce(let(us_digits(phone), check), F.lit(False))
 
 
-def extract_phones(body: Column | str, limit: int = 3) -> Column:
+def extract_phones(body: Column | str, limit: int | None = None) -> Column:
     """US numbers in the text as ``(AAA) EEE-NNNN``, distinct."""
     found = F.concat(*[all_matches(text(body), p) for p in US_PHONE_PATTERNS])
     tens = F.filter(F.transform(found, us_digits), lambda d: d.isNotNull())
-    return F.slice(F.array_distinct(F.transform(tens, _us_format)), 1, limit)
+    return at_most(F.array_distinct(F.transform(tens, _us_format)), limit)
 
 
 def extract_phone_first(body: Column | str) -> Column:
@@ -219,15 +219,15 @@ def had_fake_area(phone: Column | str, fake: Sequence[str] = L.FAKE_AREA_CODES)
     return F.coalesce(F.substring(us_digits(phone), 1, 3).isin(*fake), F.lit(False))
 
 
-def clean_phones(phones: Column, limit: int = 3) -> Column:
+def clean_phones(phones: Column, limit: int | None = None) -> Column:
     """Formatted; numbers with a made-up area code out; others as they are."""
     kept = F.filter(F.transform(phones, lambda x: F.trim(x)), lambda p: (p != "") & ~had_fake_area(p))
-    return F.slice(F.transform(kept, lambda p: normalize_phone_us(p, "keep")), 1, limit)
+    return at_most(F.transform(kept, lambda p: normalize_phone_us(p, "keep")), limit)
 
 
-def clean_emails(emails: Column, limit: int = 3) -> Column:
+def clean_emails(emails: Column, limit: int | None = None) -> Column:
     lows = F.transform(emails, lambda e: F.lower(F.trim(e)))
-    return F.slice(F.filter(lows, lambda e: e.rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")), 1, limit)
+    return at_most(F.filter(lows, lambda e: e.rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")), limit)
 
 
 def zip5(zip_code: Column | str, country: Column | str) -> Column:
@@ -373,7 +373,7 @@ def working_hours_map(body: Column | str) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 
 
-def hours_text(body: Column | str, limit: int = 100) -> Column:
+def hours_text(body: Column | str, limit: int | None = None) -> Column:
     def leftmost(p: str) -> str:
         # parts in order, each at its first place: if that fails from the first
         # start it fails from all, so one anchored attempt decides

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webrec import lexicons as L
 from webrec.functions.common import (
-    all_matches, any_of, blank_to_null, col, contains_any, cut, filled, first_match, first_of, let, squeeze, text,
+    all_matches, any_of, at_most, blank_to_null, col, contains_any, cut, filled, first_match, first_of, let, squeeze, text,
 )
 from webrec.functions.urls import absolute_url, url_netloc
 
@@ -112,14 +112,14 @@ def link_array(html: Column | str) -> Column:
     return F.transform(pairs, lambda p: F.struct(unescape(p["href"]).alias("href"), _tags_to_text(p["anchor"]).alias("anchor")))
 
 
-def social_links(html: Column | str, base: Column | str, providers=L.SOCIAL_PROVIDERS, limit: int = 10) -> Column:
+def social_links(html: Column | str, base: Column | str, providers=L.SOCIAL_PROVIDERS, limit: int | None = None) -> Column:
     """Distinct resolved links to social providers, first ones in page order."""
     full = F.transform(link_array(html), lambda x: absolute_url(base, x["href"]))
-    return F.slice(F.array_distinct(F.filter(full, lambda u: contains_any(u, providers))), 1, limit)
+    return at_most(F.array_distinct(F.filter(full, lambda u: contains_any(u, providers))), limit)
 
 
-def whatsapp_links(links: Column, limit: int = 5) -> Column:
-    return F.slice(F.filter(links, lambda u: contains_any(u, ["wa.me", "whatsapp.com"])), 1, limit)
+def whatsapp_links(links: Column, limit: int | None = None) -> Column:
+    return at_most(F.filter(links, lambda u: contains_any(u, ["wa.me", "whatsapp.com"])), limit)
 
 
 def directory_company_site(html: Column | str, page_url: Column | str, deny=L.DIRECTORY_LINK_DENY, words=L.DIRECTORY_LINK_WORDS) -> Column:
@@ -200,8 +200,8 @@ def html_company_name(html: Column | str, url: Column | str, selected: Column |
     return let(F.transform(raw, lambda x: _tags_to_text(x)), choose)
 
 
-def html_description(html: Column | str, limit: int = 400) -> Column:
-    """Meta description, else the start of the page text."""
+def html_description(html: Column | str, limit: int | None = None) -> Column:
+    """Meta description, else the page text; its start where a limit is given."""
     return F.coalesce(blank_to_null(cut(meta_content(html, "description"), limit)), cut(html_to_text(html, ["script", "style"]), limit))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webrec import lexicons as L
 from webrec.functions.common import (
-    all_matches, any_of, blank_to_null, col, contains_any, cut, filled, first_match, labels_text, let,
+    all_matches, any_of, at_most, blank_to_null, col, contains_any, cut, filled, first_match, labels_text, let,
     matched_labels, matched_words, squeeze, strip, text, text_has_any, weighted_contains,
 )
 
@@ -105,7 +105,7 @@ def materials_string(body: Column | str, words: Sequence[str] = L.MATERIAL_KEYWO
     return F.array_join(F.array_sort(matched_words(F.lower(text(body)), words)), ", ")
 
 
-def extract_inline_prices(body: Column | str, materials=L.MATERIAL_KEYWORDS, patterns=L.PRICE_PATTERNS, limit: int = 20) -> Column:
+def extract_inline_prices(body: Column | str, materials=L.MATERIAL_KEYWORDS, patterns=L.PRICE_PATTERNS, limit: int | None = None) -> Column:
     """Price mentions with up to 60 characters around, where those name a
     material; pattern by pattern in order of appearance."""
     t = text(body)
@@ -118,7 +118,7 @@ def extract_inline_prices(body: Column | str, materials=L.MATERIAL_KEYWORDS, pat
         spans = F.when(t.rlike("(?i)" + p), F.transform(parts, lambda z: F.concat(z["l"], z["m"], z["r"]))).otherwise(F.array().cast("array<string>"))
         return F.transform(F.filter(spans, lambda s: contains_any(F.lower(s), materials)), squeeze)
 
-    return F.slice(F.concat(*[one(p) for p in patterns]), 1, limit)
+    return at_most(F.concat(*[one(p) for p in patterns]), limit)
 
 
 def extract_price_struct(body: Column | str, patterns=L.PRICE_STRUCT_PATTERNS) -> Column:
@@ -137,14 +137,16 @@ def extract_price_struct(body: Column | str, patterns=L.PRICE_STRUCT_PATTERNS) -
 
 
 # -- attributes ---------------------------------------------------------------
-def services_from_text(body: Column | str, services=L.SERVICES, phrases=L.SERVICE_PHRASES, limit: int = 100) -> Column:
-    """Known services plus short phrases after service words, distinct."""
+def services_from_text(body: Column | str, services=L.SERVICES, phrases=L.SERVICE_PHRASES, limit: int | None = None) -> Column:
+    """Known services plus phrases after service words, distinct; with a limit
+    only phrases shorter than that."""
     t = text(body)
+    short = (lambda found: found) if limit is None else (lambda found: F.filter(found, lambda x: F.length(x) < limit))
     found = [matched_words(F.lower(t), services)]
     for p in phrases:
         group = 1 if "([^.]+)" in p else 0
         found.append(F.transform(
-            F.filter(all_matches(t, "(?i)" + p, group), lambda x: F.length(x) < limit), strip))
+            short(all_matches(t, "(?i)" + p, group)), strip))
     return F.array_distinct(F.concat(*found))
 
 
@@ -157,8 +159,8 @@ def payment_groups(body: Column | str, groups=L.PAYMENT_GROUPS, default: str = "
     return F.coalesce(blank_to_null(labels_text([(n, contains_any(low, ws)) for n, ws in groups])), F.lit(default))
 
 
-def certifications(body: Column | str, patterns=L.CERTIFICATION_PATTERNS, limit: int = 5) -> Column:
-    return F.slice(F.concat(*[all_matches(text(body), "(?i)" + p) for p in patterns]), 1, limit)
+def certifications(body: Column | str, patterns=L.CERTIFICATION_PATTERNS, limit: int | None = None) -> Column:
+    return at_most(F.concat(*[all_matches(text(body), "(?i)" + p) for p in patterns]), limit)
 
 
 def certification_flags(body: Column | str, groups=L.CERTIFICATION_FLAGS, default: str = "Standard Compliance") -> Column:
@@ -175,12 +177,12 @@ def established_year(body: Column | str, first: int = 1950, last: int = 2024) ->
     return F.array_min(F.filter(years, lambda y: y.between(first, last)))
 
 
-def languages_spoken(body: Column | str, patterns=L.LANGUAGE_PATTERNS, limit: int = 3) -> Column:
-    return F.slice(F.concat(*[all_matches(text(body), "(?i)" + p, g) for p, g in patterns]), 1, limit)
+def languages_spoken(body: Column | str, patterns=L.LANGUAGE_PATTERNS, limit: int | None = None) -> Column:
+    return at_most(F.concat(*[all_matches(text(body), "(?i)" + p, g) for p, g in patterns]), limit)
 
 
-def additional_info(body: Column | str, patterns=L.ADDITIONAL_INFO_PATTERNS, limit: int = 3) -> Column:
-    return F.slice(F.concat(*[all_matches(text(body), "(?i)" + p, 1) for p in patterns]), 1, limit)
+def additional_info(body: Column | str, patterns=L.ADDITIONAL_INFO_PATTERNS, limit: int | None = None) -> Column:
+    return at_most(F.concat(*[all_matches(text(body), "(?i)" + p, 1) for p in patterns]), limit)
 
 
 # -- summaries and rewrites ---------------------------------------------------
@@ -257,9 +259,9 @@ def capitalize_sentences(body: Column | str) -> Column:
     return F.when(F.length(out) < F.length(t) * 0.5, t).otherwise(out)
 
 
-def segment_paragraphs(body: Column | str, least: int = 50, limit: int = 10) -> Column:
+def segment_paragraphs(body: Column | str, least: int = 50, limit: int | None = None) -> Column:
     parts = F.transform(F.split(text(body), "\n\n"), strip)
-    return F.slice(F.filter(parts, lambda p: F.length(p) > least), 1, limit)
+    return at_most(F.filter(parts, lambda p: F.length(p) > least), limit)
 
 
 def dedup_lines(body: Column | str, least: int = 2) -> Column:
@@ -353,7 +355,7 @@ def article_preview(content: Column | str, limit: int = 1000) -> Column:
     return F.when(F.length(t) > limit, F.concat(cut(t, limit), F.lit("..."))).otherwise(t)
 
 
-def embedding_text(limit: int = 1000) -> Column:
+def embedding_text(limit: int | None = None) -> Column:
     body = F.coalesce(blank_to_null("translated_content"), F.col("content"))
     return F.concat(text(best_title()), F.lit(". "), text("summary"), F.lit(". "), cut(text(body), limit))
 

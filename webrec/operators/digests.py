@@ -41,11 +41,13 @@ def _title_case(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
-def digest_period(articles: DataFrame, start: str, end: str, frequency: str = "daily", articles_limit: int = 20, k: int = 5) -> DataFrame:
+def digest_period(articles: DataFrame, start: str, end: str, frequency: str = "daily", articles_limit: int | None = None, k: int = 5) -> DataFrame:
     """Processed articles published in [start, end]: one digest row with
     markdown, article count (with multiplicity) and categories."""
     window = F.col("published_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
-    picked = articles.where(F.col("is_processed") & window).orderBy("published_at", "id").limit(articles_limit)
+    picked = articles.where(F.col("is_processed") & window)
+    if articles_limit is not None:
+        picked = picked.orderBy("published_at", "id").limit(articles_limit)
     head = f"# {frequency.title()} дайджест новостей металлургической отрасли\n\n"
     days = [F.date_format(F.lit(x).cast("timestamp"), "dd.MM.yyyy") for x in (start, end)]
     body = _assemble(picked, [], "Читать далее", k, _title_case)
@@ -64,10 +66,10 @@ def digest_simple(articles: DataFrame, frequency: str = "daily", k: int = 3) ->
         F.lit(frequency).alias("frequency"))
 
 
-def digest_by_frequency(articles: DataFrame, frequency: str = "weekly", articles_limit: int = 20, k: int = 5) -> DataFrame:
+def digest_by_frequency(articles: DataFrame, frequency: str = "weekly", articles_limit: int | None = None, k: int = 5) -> DataFrame:
     """One digest per day, week or month of publication."""
     unit = {"daily": "day", "weekly": "week", "monthly": "month"}[frequency]
     dated = articles.where("is_processed").withColumn("period", F.date_trunc(unit, "published_at"))
-    picked = top_per_key(dated, ["period"], [F.asc("published_at"), F.asc("id")], articles_limit)
+    picked = dated if articles_limit is None else top_per_key(dated, ["period"], [F.asc("published_at"), F.asc("id")], articles_limit)
     return _assemble(picked, ["period"], "Читать далее", k, _title_case).select(
         "period", F.lit(frequency).alias("digest_type"), "sections", F.col("listed").alias("article_count"), "categories")

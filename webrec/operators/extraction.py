@@ -29,7 +29,7 @@ def html_links(pages: DataFrame, *keep: str) -> DataFrame:
     return links.select(*keep, "pos", absolute_url("url", F.col("link.href")).alias("link_url"), F.col("link.anchor").alias("anchor"))
 
 
-def html_serp_items(pages: DataFrame, block: str = "li.b_algo", link: str = "h2 a", snippet_chars: int = 400) -> DataFrame:
+def html_serp_items(pages: DataFrame, block: str = "li.b_algo", link: str = "h2 a", snippet_chars: int | None = None) -> DataFrame:
     """Result blocks of a saved search page: title, url, snippet."""
     hits = pages.select("page_id", F.posexplode(html_select("html", block)).alias("pos", "hit"))
     links = F.filter(F.slice(html_select("hit.html", link), 1, 1), lambda a: a["attrs"]["href"].startswith("http"))
@@ -113,7 +113,7 @@ def extract_article(pages: DataFrame, min_chars: int = L.MIN_ARTICLE_LENGTH, lan
 
 def extract_company(pages: DataFrame, fallback_country: str = "") -> DataFrame:
     """Company rows from pages, kept iff a phone or an e-mail is there."""
-    contacts = F.struct(C.extract_phones("html", 5).alias("phones"), C.extract_emails("html", 5).alias("emails"))
+    contacts = F.struct(C.extract_phones("html").alias("phones"), C.extract_emails("html").alias("emails"))
     good = F.filter(F.array(contacts), lambda x: filled_array(x["phones"]) | filled_array(x["emails"]))
     # pages without a contact end here, before the rest of the work
     kept = pages.select("page_id", "url", "html", F.inline(good))
@@ -132,7 +132,7 @@ def extract_company(pages: DataFrame, fallback_country: str = "") -> DataFrame:
         "page_id", "website", "name", F.col("_a.street").alias("street_address"), F.col("_a.city").alias("city"),
         F.col("_a.region").alias("region"), F.col("_a.postal").alias("postal_code"), F.col("_a.country").alias("country"),
         "phones", "emails", "whatsapp", "social_links", "opening_hours", "materials",
-        F.slice(F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(extract_inline_prices("html")), 1, 20).alias("material_prices"),
+        F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(extract_inline_prices("html")).alias("material_prices"),
         "description",
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrec import lexicons as L
-from webrec.functions.common import blank_to_null, col, filled, text
+from webrec.functions.common import at_most, blank_to_null, col, filled, text
 from webrec.functions.urls import threshold_for, url_netloc
 
 ENRICHMENT = (
@@ -29,7 +29,7 @@ VALIDATION = (
 def spread_nulls(key: str, columns: Sequence[str]) -> Column:
     """Join key whose nulls are replaced by values that match nothing and
     differ per row, so rows without a key do not meet in one task."""
-    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.xxhash64(*columns).cast("string")))
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\u0000"), F.xxhash64(*columns).cast("string")))
 
 
 # -- enrichment ---------------------------------------------------------------
@@ -39,7 +39,7 @@ def enriched_materials(materials: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(m)), ", ")
 
 
-def enriched_prices(prices: Column, limit: int = 30) -> Column:
+def enriched_prices(prices: Column, limit: int | None = None) -> Column:
     """``material, value currency/unit, note`` joined; needs a material and a
     value or note; null when none is left."""
     def one(p):
@@ -47,19 +47,21 @@ def enriched_prices(prices: Column, limit: int = 30) -> Column:
         ok = filled(F.trim(p["material"])) & (value.isNotNull() | filled(F.trim(p["note"])))
         return F.when(ok, F.concat_ws(", ", F.trim(p["material"]), value, blank_to_null(F.trim(p["note"]))))
 
-    kept = F.filter(F.transform(F.slice(prices, 1, limit), one), lambda x: x.isNotNull())
+    kept = F.filter(F.transform(at_most(prices, limit), one), lambda x: x.isNotNull())
     return blank_to_null(F.array_join(kept, " | "))
 
 
-def latest_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """One value per key: that of the last row. Aggregates before the shuffle."""
-    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+def latest_per_key(df: DataFrame, key: str, value: str, order: str | None) -> DataFrame:
+    """One value per key: that of the last row by ``order`` (without one, or in
+    a tie, the largest value). Aggregates before the shuffle."""
+    rank = F.struct(*([order] if order else []), value)
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, rank).alias(value))
 
 
 def merge_enrichment(records: DataFrame, payloads: DataFrame, order: str = "pos") -> DataFrame:
     """Put enrichment payloads (custom_id, payload, order) onto records by
     exact website. ``materials`` and ``material_prices`` are text."""
-    good = payloads.where(F.col("custom_id").startswith("enrich::")).withColumn("_site", F.substring("custom_id", 9, 1_000_000))
+    good = payloads.where(F.col("custom_id").startswith("enrich::")).withColumn("_site", F.expr("substring(custom_id, 9)"))
     one = latest_per_key(good, "_site", "payload", order).select("_site", F.from_json("payload", ENRICHMENT).alias("_p"))
     one = one.select("_site", enriched_materials(F.col("_p.materials")).alias("_m"), enriched_prices(F.col("_p.prices")).alias("_pr"))
     return (
@@ -70,10 +72,12 @@ def merge_enrichment(records: DataFrame, payloads: DataFrame, order: str = "pos"
     )
 
 
-def merge_validation_result(records: DataFrame, results: DataFrame, key: str = "id", least: float = 0.7) -> DataFrame:
+def merge_validation_result(records: DataFrame, results: DataFrame, key: str = "id", least: float = 0.7, order: str | None = None) -> DataFrame:
     """Accepted rows take the validated fields, rejected rows go, rows without
-    a readable answer stay as they are."""
-    r = results.select(F.col(key).alias("_key"), F.from_json("payload", VALIDATION).alias("_v"))
+    a readable answer stay as they are. Of several answers for one key the
+    last by ``order`` counts."""
+    one = latest_per_key(results, key, "payload", order)
+    r = one.select(F.col(key).alias("_key"), F.from_json("payload", VALIDATION).alias("_v"))
     ok = F.coalesce(F.col("_v.valid") & (F.col("_v.confidence") > least), F.lit(False))
     answered = F.coalesce(F.col("_v.valid").isNotNull() | F.col("_v.confidence").isNotNull(), F.lit(False))
     fields = {"name": "name", "phones": "phones", "emails": "emails", "street_address": "street_address", "city": "city", "region": "state",
@@ -102,16 +106,20 @@ def fuse_fill_missing(records: DataFrame, sources: DataFrame, fields: Sequence[s
     return out.withColumn(f"{lead}_source", src).withColumns(new).drop("_src", *[f"_{c}" for c in fields])
 
 
-def fuse_override(records: DataFrame, site: DataFrame, fields: Sequence[str], key: str = "id") -> DataFrame:
-    """Values found on the site replace those of the record."""
-    s = site.select(key, *[F.col(c).alias(f"_{c}") for c in fields])
+def fuse_override(records: DataFrame, site: DataFrame, fields: Sequence[str], key: str = "id", order: str | None = None) -> DataFrame:
+    """Values found on the site replace those of the record. Of several site
+    rows for one key the last by ``order`` counts."""
+    found = site.select(key, *([order] if order else []), F.struct(*fields).alias("_site"))
+    s = latest_per_key(found, key, "_site", order).select(key, *[F.col(f"_site.{c}").alias(f"_{c}") for c in fields])
     out = records.join(s, key, "left")
     return out.withColumns({c: F.coalesce(blank_to_null(f"_{c}"), F.col(c)) for c in fields}).drop(*[f"_{c}" for c in fields])
 
 
 # -- known URLs ---------------------------------------------------------------
 def anti_join_known_urls(new: DataFrame, known: DataFrame, url: str = "url") -> DataFrame:
-    return new.join(known.select(url).distinct(), url, "left_anti")
+    """Rows whose URL is not known; a null URL is never known."""
+    seen = known.select(F.col(url).alias("_seen")).where("_seen is not null").distinct()
+    return new.withColumn("_k", spread_nulls(url, new.columns)).join(seen, F.col("_k") == F.col("_seen"), "left_anti").drop("_k")
 
 
 remaining_urls = anti_join_known_urls
@@ -120,7 +128,7 @@ remaining_urls = anti_join_known_urls
 def host_suffixes(host: Column) -> Column:
     """host, and every part of it after a dot."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 1000), "."))
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def listed_hosts(df: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
@@ -195,8 +203,13 @@ def expand_search_pages(cities: DataFrame, templates: Sequence[str], pages: int
 
 
 def tag_search_metadata(records: DataFrame, tasks: DataFrame, key: str = "task_id") -> DataFrame:
-    """Add source, term, location and time of the task a record came from."""
-    return records.join(tasks.select(key, "source", "term", "location", "started_at"), key, "left")
+    """Add source, term, location and time of the task a record came from: of
+    a task listed more than once, of its last start."""
+    fields = ["source", "term", "location", "started_at"]
+    found = tasks.select(F.col(key).alias("_task"), F.struct(*fields).alias("_t"), "started_at")
+    one = latest_per_key(found, "_task", "_t", "started_at")
+    joined = records.withColumn("_k", spread_nulls(key, records.columns)).join(one, F.col("_k") == F.col("_task").cast("string"), "left")
+    return joined.select(*records.columns, *[F.col(f"_t.{c}").alias(c) for c in fields])
 
 
 def expand_directory_urls(locations: DataFrame, templates=L.DIRECTORY_URL_TEMPLATES) -> DataFrame:
@@ -255,11 +268,10 @@ def upsert_material_dim(dim: DataFrame, names: DataFrame) -> DataFrame:
     return dim.select("id", "name").unionByName(new.select(F.xxhash64("name").alias("id"), "name"))
 
 
-def join_processing_log(articles: DataFrame, log: DataFrame, limit: int = 1000) -> DataFrame:
-    """Log rows with their article, newest first, at most ``limit``. The cut
-    is made on the log before the join, as every log row has its article."""
-    top = log.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi").orderBy(F.desc("created_at"), F.desc("log_id")).limit(limit)
-    return top.join(articles.select(F.col("id").alias("article_id"), "title", "url"), "article_id")
+def join_processing_log(articles: DataFrame, log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Log rows with their article; with a limit the newest ones."""
+    joined = log.join(articles.select(F.col("id").alias("article_id"), "title", "url"), "article_id")
+    return joined if limit is None else joined.orderBy(F.desc("created_at"), F.desc("log_id")).limit(limit)
 
 
 # -- set operations -----------------------------------------------------------
@@ -279,8 +291,7 @@ def union_distinct_urls(*lists: DataFrame, url: str = "url") -> DataFrame:
     return out.distinct()
 
 
-def except_urls(found: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
-    return found.join(seen.select(url).distinct(), url, "left_anti")
+except_urls = anti_join_known_urls
 
 
 def cap_by_priority(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], priority: str = "priority", caps=L.PRIORITY_CAPS, default: int = L.PRIORITY_CAP_DEFAULT) -> DataFrame:

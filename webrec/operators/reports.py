@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrec.functions.common import blank_to_null, filled, filled_array, text
+from webrec.functions.common import blank_to_null, cut, filled, filled_array, text
 from webrec.session import cut_lineage
 
 BIG = "bigint"
@@ -219,10 +219,11 @@ def global_position(df: DataFrame, order: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_p").select(order, (F.col("_before") + F.col("_i")).alias("pos"))
 
 
-def agg_llm_chunks(docs: DataFrame, order: str, bulk: int = 20, url: str = "url", body: str = "text", chars: int = 9000) -> DataFrame:
-    """Bulks of N documents, one prompt body each (N is the bound of a group)."""
+def agg_llm_chunks(docs: DataFrame, order: str, bulk: int = 20, url: str = "url", body: str = "text", chars: int | None = None) -> DataFrame:
+    """Bulks of N documents, one prompt body each (N is the bound of a group),
+    whole texts unless ``chars`` is given."""
     places = global_position(docs, order)
-    rows = docs.select(order, url, F.substring(body, 1, chars).alias("_t")).join(places, order).select(F.floor(F.col("pos") / bulk).cast(BIG).alias("chunk"), "pos", F.col(url).alias("_u"), "_t")
+    rows = docs.select(order, url, cut(F.col(body), chars).alias("_t")).join(places, order).select(F.floor(F.col("pos") / bulk).cast(BIG).alias("chunk"), "pos", F.col(url).alias("_u"), "_t")
     grouped = rows.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "_u", "_t"))).alias("docs"))
     doc = lambda d, i: F.concat(F.lit("-- DOC "), (i + 1).cast("string"), F.lit(" --\nURL: "), text(d["_u"]), F.lit("\nTEXT:\n"), text(d["_t"]))
     return grouped.select("chunk", F.size("docs").cast(BIG).alias("n_docs"), F.array_join(F.transform("docs", doc), "\n\n").alias("prompt"))

@@ -24,12 +24,12 @@ def _companies(spark, sf_dir):
 # -- e-mails: word boundaries are Unicode-aware on both sides ------------------
 _E = r"regexp_extract_all(text, '(?:^|[^\pL\pN_])([A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,})|[\pL\pN_]([.%+-][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', GRP)"
 _ALL = f"list_transform(list_zip({_E.replace('GRP', '1')}, {_E.replace('GRP', '2')}), lambda z: coalesce(nullif(z[1], ''), z[2]))"
-query("extract_emails", f"SELECT doc_id, array_to_string({S.distinct('l')}[:5], '|') AS emails FROM (SELECT doc_id, {_ALL} AS l FROM documents)")(
+query("extract_emails", f"SELECT doc_id, array_to_string({S.distinct('l')}, '|') AS emails FROM (SELECT doc_id, {_ALL} AS l FROM documents)")(
     lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.array_join(C.extract_emails("text"), "|").alias("emails"))
 )
 query(
     "extract_business_emails",
-    f"SELECT doc_id, array_to_string({S.distinct('l')}[:3], '|') AS emails FROM (SELECT doc_id, [lower(e) for e in {_ALL} if NOT contains(lower(e), 'mail3.example')] AS l FROM documents)",
+    f"SELECT doc_id, array_to_string({S.distinct('l')}, '|') AS emails FROM (SELECT doc_id, [lower(e) for e in {_ALL} if NOT contains(lower(e), 'mail3.example')] AS l FROM documents)",
 )(lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.array_join(C.extract_business_emails("text", ["mail3.example"]), "|").alias("emails")))
 query(
     "extract_mailto",
@@ -53,7 +53,7 @@ _TEN = r"[right(regexp_replace(x, '\D', '', 'g'), 10) for x in l if length(regex
 _FMT = "['(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] for d in t]"
 query(
     "extract_phones",
-    f"SELECT doc_id, array_to_string({S.distinct('f')}[:3], '|') AS phones FROM (SELECT doc_id, {_FMT} AS f FROM (SELECT doc_id, {_TEN} AS t FROM (SELECT doc_id, {_CAT} AS l FROM documents)))",
+    f"SELECT doc_id, array_to_string({S.distinct('f')}, '|') AS phones FROM (SELECT doc_id, {_FMT} AS f FROM (SELECT doc_id, {_TEN} AS t FROM (SELECT doc_id, {_CAT} AS l FROM documents)))",
 )(lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.array_join(C.extract_phones("text"), "|").alias("phones")))
 
 

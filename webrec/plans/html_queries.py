@@ -100,7 +100,7 @@ query(
 _DESC = "CASE WHEN page_id % 2 = 0 THEN replace(html, '<head>', '<head><meta name=\"description\" content=\"Page ' || CAST(page_id AS STRING) || ' of bits &amp; bobs\">') ELSE html END"
 query(
     "html_description",
-    f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id || ' of bits & bobs' ELSE substr({S.plain(S.without('html', 'script|style'))}, 1, 400) END AS description,
+    f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id || ' of bits & bobs' ELSE {S.plain(S.without('html', 'script|style'))} END AS description,
         CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id || ' of bits & bobs' ELSE {S.plain(S.inner('html', 'div'))} END AS strict_description FROM pages""",
 )(
     lambda spark, sf_dir: _pages(spark, sf_dir).select("page_id", F.expr(_DESC).alias("html")).select(

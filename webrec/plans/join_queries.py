@@ -38,6 +38,13 @@ query(
         _co(spark, sf_dir).select("id", "website", F.array_join("materials", ", ").alias("materials"), F.col("pricing").alias("material_prices")), _payloads(spark, sf_dir)
     ).select("id", "materials", "material_prices")
 )
+
+
+def _twice(answers, field, older):
+    """Each key with an earlier answer too, which must not count or add a row."""
+    return answers.withColumn("at", F.lit(2)).unionByName(answers.withColumns({"at": F.lit(1), field: F.lit(older)}))
+
+
 _VAL = """CASE id % 5 WHEN 0 THEN '{"valid":true,"confidence":0.9,"name":"Checked ' || CAST(id AS STRING) || '","state":"OH"}' WHEN 1 THEN '{"valid":true,"confidence":0.5}' WHEN 2 THEN '{"valid":false}' ELSE 'oops' END"""
 query(
     "merge_validation_result",
@@ -46,7 +53,8 @@ query(
 )(
     lambda spark, sf_dir: J.merge_validation_result(
         _co(spark, sf_dir).select("id", "name", "city", F.col("state").alias("region")),
-        _co(spark, sf_dir).where("source <> 'search'").select("id", F.expr(_VAL).alias("payload"))).select("id", "name", "city", "region")
+        _twice(_co(spark, sf_dir).where("source <> 'search'").select("id", F.expr(_VAL).alias("payload")), "payload", '{"valid":true,"confidence":1.0,"name":"older"}'),
+        order="at").select("id", "name", "city", "region")
 )
 
 
@@ -72,7 +80,7 @@ query(
 )(
     lambda spark, sf_dir: J.fuse_override(
         _co(spark, sf_dir).select("id", "phone", "city"),
-        _co(spark, sf_dir).where("source in ('map', 'directory')").select("id", F.expr("CASE WHEN source = 'map' THEN 'site' || id ELSE '' END").alias("phone")), ["phone"]).select("id", "phone", "city")
+        _co(spark, sf_dir).where("source in ('map', 'directory')").select("id", F.expr("CASE WHEN source = 'map' THEN 'site' || id ELSE '' END").alias("phone")).transform(_twice, "phone", "older"), ["phone"], order="at").select("id", "phone", "city")
 )
 
 
@@ -181,7 +189,8 @@ query(
     f"""{CO} SELECT id, id % 100 AS task_id, CASE WHEN s_suppkey IS NOT NULL THEN 'maps' END AS source, 'term ' || (s_suppkey % 5) AS term, s_name AS location,
         TIMESTAMP '2024-01-01' + CAST(s_suppkey % 1000 AS INT) * INTERVAL 1 MINUTE AS started_at FROM companies LEFT JOIN supplier ON s_suppkey = id % 100""",
 )(
-    lambda spark, sf_dir: J.tag_search_metadata(_co(spark, sf_dir).select("id", (F.col("id") % 100).alias("task_id")), _tasks(spark, sf_dir))
+    lambda spark, sf_dir: J.tag_search_metadata(_co(spark, sf_dir).select("id", (F.col("id") % 100).alias("task_id")),
+        _tasks(spark, sf_dir).unionByName(_tasks(spark, sf_dir).withColumns({"source": F.lit("older"), "started_at": F.lit("2000-01-01").cast("timestamp")})))
 )
 _ENC = lambda x: f"replace(replace({x}, ',', '%2C'), ' ', '%20')"
 _LOCX = _ENC("CASE WHEN city <> '' AND state <> '' THEN city || ', ' || state ELSE state END")
@@ -240,7 +249,7 @@ query(
 )
 query(
     "join_processing_log",
-    f"""{A} SELECT event_id AS log_id, user_id AS article_id, event_type AS stage, title, url FROM (SELECT * FROM events WHERE user_id IN (SELECT id FROM articles) ORDER BY ts DESC, event_id DESC LIMIT 1000) e
+    f"""{A} SELECT event_id AS log_id, user_id AS article_id, event_type AS stage, title, url FROM (SELECT * FROM events WHERE user_id IN (SELECT id FROM articles) ) e
         JOIN articles a ON a.id = e.user_id""",
 )(
     lambda spark, sf_dir: J.join_processing_log(

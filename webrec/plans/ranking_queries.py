@@ -108,7 +108,7 @@ def _cap(expr):
 
 query(
     "digest_period",
-    f"""{A}, p AS (SELECT * FROM articles WHERE is_processed AND published_at BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-05 21:00:00' ORDER BY published_at, id LIMIT 20),
+    f"""{A}, p AS (SELECT * FROM articles WHERE is_processed AND published_at BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-05 21:00:00'),
         {_digest_sql('p', [], 5, 'Читать далее', _cap("category"))}
         SELECT 'daily' AS digest_type, '# Daily дайджест новостей металлургической отрасли' || chr(10) || chr(10) || 'Период: 03.01.2024 - 05.01.2024' || chr(10) || chr(10) || string_agg(body, '' ORDER BY category) AS content,
         CAST(sum(n) AS BIGINT) AS article_count, string_agg(category, ', ' ORDER BY category) AS categories FROM s""",
@@ -121,7 +121,7 @@ query(
 )(lambda spark, sf_dir: G.digest_simple(_art(spark, sf_dir)))
 query(
     "digest_by_frequency",
-    f"""{A}, w AS (SELECT *, date_trunc('week', published_at) AS period FROM articles WHERE is_processed), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY published_at, id) AS k FROM w) WHERE k <= 20),
+    f"""{A}, w AS (SELECT *, date_trunc('week', published_at) AS period FROM articles WHERE is_processed), p AS (SELECT * FROM w),
         {_digest_sql('p', ['period'], 5, 'Читать далее', _cap("category"))}
         SELECT CAST(period AS TIMESTAMP) AS period, 'weekly' AS digest_type, string_agg(body, '' ORDER BY category) AS sections, CAST(sum(n) AS BIGINT) AS article_count, string_agg(category, ', ' ORDER BY category) AS categories FROM s GROUP BY period""",
 )(lambda spark, sf_dir: G.digest_by_frequency(_art(spark, sf_dir)))

@@ -137,6 +137,6 @@ query(
 )(lambda spark, sf_dir: R.agg_quality_overview(score_records(_co(spark, sf_dir))))
 query(
     "agg_llm_chunks",
-    """WITH d AS (SELECT doc_id, source, text[1:9000] AS t, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
+    """WITH d AS (SELECT doc_id, source, text AS t, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
        SELECT CAST(pos // 20 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_docs, string_agg('-- DOC ' || (pos % 20 + 1) || ' --' || chr(10) || 'URL: ' || source || chr(10) || 'TEXT:' || chr(10) || t, chr(10) || chr(10) ORDER BY pos) AS prompt FROM d GROUP BY pos // 20""",
 )(lambda spark, sf_dir: R.agg_llm_chunks(table(spark, sf_dir, "documents"), "doc_id", url="source"))

@@ -151,11 +151,13 @@ def sink_category_partition(spark, sf_dir):
 _DROP = "script|style|nav|header|footer|aside"
 query(
     "llm_request_ndjson",
-    f"""SELECT 'full::' || url AS custom_id, 'POST' AS method, 'gpt-4o-mini' AS model, 'Website: ' || url || chr(10) || 'TEXT:' || chr(10) || ({S.plain(S.without('html', _DROP))})[1:12000] AS tail FROM pages""",
+    f"""SELECT 'full::' || url || CASE WHEN k > 0 THEN '#' || k ELSE '' END AS custom_id, 'POST' AS method, 'gpt-4o-mini' AS model,
+        'Website: ' || url || chr(10) || 'TEXT:' || chr(10) || t[k * 800 + 1:k * 800 + 800] AS tail
+        FROM (SELECT url, t, unnest(range(greatest(1, CAST(ceil(length(t) / 800) AS BIGINT)))) AS k FROM (SELECT url, {S.plain(S.without('html', _DROP))} AS t FROM pages))""",
 )(
-    lambda spark, sf_dir: B.llm_request_ndjson(scan_pages(table(spark, sf_dir, "pages")).select("url", html_to_text("html").alias("text"))).select(
+    lambda spark, sf_dir: B.llm_request_ndjson(scan_pages(table(spark, sf_dir, "pages")).select("url", html_to_text("html").alias("text")), chars=800).select(
         "custom_id", F.get_json_object("value", "$.method").alias("method"), F.get_json_object("value", "$.body.model").alias("model"),
-        F.regexp_replace(F.get_json_object("value", "$.body.messages[1].content"), r"(?s)^.*?description\.\n", "").alias("tail"))
+        F.regexp_replace(F.get_json_object("value", "$.body.messages[1].content"), r"^Keys: [^\n]*\n", "").alias("tail"))
 )
 _RESP = """CASE conv_id % 4 WHEN 0 THEN 'not json' WHEN 1 THEN '{"custom_id":"enrich::https://c' || CAST(conv_id AS STRING) || '.org","response":{"body":{"choices":[{"message":{"content":"{\\\\"turn\\\\":' || CAST(turn AS STRING) || '}"}}]}}}'
  WHEN 2 THEN '{"custom_id":"full::https://c' || CAST(conv_id AS STRING) || '.org","response":{"body":{"choices":[{"message":{"content":"{broken"}}]}}}' ELSE '{"custom_id":"full::x' || CAST(conv_id AS STRING) || '"}' END"""

@@ -118,7 +118,7 @@ _about_query(
         ":", F.coalesce(p["metal"], F.lit("-")), F.format_number(p["price"], 2), F.coalesce(p["unit"], F.lit("-")))), "|"),
 )
 _PHRASES = "list_concat(" * 5 + "".join(
-    (f"{', ' if i else ''}[trim(x) for x in regexp_extract_all(coalesce(about, ''), '(?i){p}', {1 if '([^.]+)' in p else 0}) if length(x) < 100]" + (")" if i else ""))
+    (f"{', ' if i else ''}[trim(x) for x in regexp_extract_all(coalesce(about, ''), '(?i){p}', {1 if '([^.]+)' in p else 0})]" + (")" if i else ""))
     for i, p in enumerate(L.SERVICE_PHRASES))
 _about_query(
     "services_from_text", "services",
@@ -143,7 +143,7 @@ def _cat_all(patterns, body="coalesce(about, '')", group=0):
 
 query(
     "certifications",
-    _about_sql(f"array_to_string({_cat_all(L.CERTIFICATION_PATTERNS)}[:5], '|')", "found")
+    _about_sql(f"array_to_string({_cat_all(L.CERTIFICATION_PATTERNS)}, '|')", "found")
     .replace(" AS found FROM", " AS found, coalesce(nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN {S.has_any('lower(about)', ws)} THEN '{n}' END" for n, ws in L.CERTIFICATION_FLAGS) + "), ''), 'Standard Compliance') AS flags FROM"),
 )(
     lambda spark, sf_dir: _about(spark, sf_dir).select("id", F.array_join(T.certifications("about"), "|").alias("found"), T.certification_flags("about").alias("flags"))
@@ -158,11 +158,11 @@ _about_query(
 )
 _about_query(
     "languages_spoken", "languages",
-    "array_to_string(list_concat(list_concat(list_concat(" + ", ".join(f"regexp_extract_all(coalesce(about, ''), '(?i){p}', {g})" + (")" if i else "") for i, (p, g) in enumerate(L.LANGUAGE_PATTERNS)) + "[:3], '|')",
+    "array_to_string(list_concat(list_concat(list_concat(" + ", ".join(f"regexp_extract_all(coalesce(about, ''), '(?i){p}', {g})" + (")" if i else "") for i, (p, g) in enumerate(L.LANGUAGE_PATTERNS)) + ", '|')",
     lambda: F.array_join(T.languages_spoken("about"), "|"),
 )
 _about_query(
-    "additional_info", "info", f"array_to_string({_cat_all(L.ADDITIONAL_INFO_PATTERNS, group=1)}[:3], '|')",
+    "additional_info", "info", f"array_to_string({_cat_all(L.ADDITIONAL_INFO_PATTERNS, group=1)}, '|')",
     lambda: F.array_join(T.additional_info("about"), "|"),
 )
 
@@ -202,7 +202,7 @@ query(
 _PARA = "replace(text, chr(10), chr(10) || chr(10))"
 query(
     "segment_paragraphs",
-    rf"SELECT doc_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p, '|') AS paragraphs FROM (SELECT doc_id, [x for x in [regexp_replace(s, '^\s+|\s+$', '', 'g') for s in string_split({_PARA}, chr(10) || chr(10))] if length(x) > 50][:10] AS p FROM documents)",
+    rf"SELECT doc_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p, '|') AS paragraphs FROM (SELECT doc_id, [x for x in [regexp_replace(s, '^\s+|\s+$', '', 'g') for s in string_split({_PARA}, chr(10) || chr(10))] if length(x) > 50] AS p FROM documents)",
 )(
     lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", T.segment_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("p"))
     .select("doc_id", F.size("p").cast("bigint").alias("n"), F.array_join("p", "|").alias("paragraphs"))
@@ -248,6 +248,6 @@ query(
     "article_preview",
     f"{A} SELECT id, CASE WHEN length(content) > 1000 THEN content[1:1000] || '...' ELSE content END AS preview_1000, CASE WHEN length(content) > 500 THEN content[1:500] || '...' ELSE content END AS preview_500 FROM articles",
 )(lambda spark, sf_dir: _articles(spark, sf_dir).select("id", T.article_preview("content").alias("preview_1000"), T.article_preview("content", 500).alias("preview_500")))
-query("embedding_text", f"{A} SELECT id, coalesce(translated_title, title) || '. ' || coalesce(summary, '') || '. ' || coalesce(translated_content, content)[1:1000] AS body FROM articles")(
+query("embedding_text", f"{A} SELECT id, coalesce(translated_title, title) || '. ' || coalesce(summary, '') || '. ' || coalesce(translated_content, content) AS body FROM articles")(
     lambda spark, sf_dir: _articles(spark, sf_dir).select("id", T.embedding_text().alias("body"))
 )
