@@ -11,7 +11,7 @@ from webrec import lexicons as L
 from webrec.functions.common import (
     all_matches, at_most, blank_to_null, col, contains_any, cut, filled, first_match, first_of, let, squeeze, strip, text,
 )
-from webrec.functions.html import JSON_LD, json_ld_deep_phone
+from webrec.functions.html import drop_raw, elements, json_ld_deep_phone
 
 
 # The patterns below are tried at the start of a run of their characters only
@@ -173,15 +173,15 @@ def phone_candidates(html: Column | str) -> Column:
     """Array of {phone, confidence, method}: one entry per phone, the most
     trusted method wins, ties to the earlier method and position."""
     h = text(html)
-    visible = F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
-    scripts = F.array_join(all_matches(h, r"(?is)<script\b[^>]*>(.*?)</script\s*>", 1), "\n")
+    visible = F.regexp_replace(drop_raw(h), r"<[^<>]*>", " ")
+    scripts = F.array_join(elements(h, "script", 1), "\n")
     microdata = first_of(
-        F.regexp_extract(h, r"(?is)<[^>]*itemprop\s*=\s*[\"'][^\"']*phone[^\"']*[\"'][^>]*content\s*=\s*[\"']([^\"']*)", 1),
-        F.regexp_extract(h, r"(?is)<[^>]*itemprop\s*=\s*[\"'][^\"']*phone[^\"']*[\"'][^>]*>([^<]*)", 1),
+        F.regexp_extract(h, r"(?is)<[^<>]*itemprop\s*=\s*[\"'][^\"'<>]*phone[^\"'<>]*[\"'][^<>]*content\s*=\s*[\"']([^\"']*)", 1),
+        F.regexp_extract(h, r"(?is)<[^<>]*itemprop\s*=\s*[\"'][^\"'<>]*phone[^\"'<>]*[\"'][^<>]*>([^<]*)", 1),
     )
     classed = F.transform(
-        all_matches(h, r"(?is)<(\w+)\b[^>]*class\s*=\s*[\"'][^\"']*(?:phone|tel|contact)[^\"']*[\"'][^>]*>(.*?)</\1\s*>", 2),
-        lambda x: F.regexp_replace(x, r"<[^>]*>", " "),
+        all_matches(h, r"(?is)<(\w+)\b[^<>]*class\s*=\s*[\"'][^\"'<>]*(?:phone|tel|contact)[^\"'<>]*[\"'][^<>]*>(.*?)</\1\s*>", 2),
+        lambda x: F.regexp_replace(x, r"<[^<>]*>", " "),
     )
 
     def first_valid(t):
@@ -190,7 +190,7 @@ def phone_candidates(html: Column | str) -> Column:
 
     mine = r"(\d{3}[\s\-().]*\d{3}[\s\-().]*\d{4})"
     everything = let(visible, lambda seen: F.concat(
-        _as_candidates(all_matches(h, r"(?is)<a\b[^>]*href\s*=\s*[\"']tel:([^\"']*)", 1), 95, "tel_link"),
+        _as_candidates(all_matches(h, r"(?is)<a\b[^<>]*href\s*=\s*[\"']tel:([^\"']*)", 1), 95, "tel_link"),
         _as_candidates(F.array(F.coalesce(json_ld_deep_phone(h), microdata)), 90, "structured_data"),
         _as_candidates(all_matches(h, r"(?is)\s[\w-]*(?:phone|tel)[\w-]*\s*=\s*[\"']([^\"']*)", 1), 85, "data_attribute"),
         _as_candidates(all_matches(scripts, r"(?i)(?:tele)?phone[\"'\s]*[:=][\"'\s]*(\d{3}[-.\s]*\d{3}[-.\s]*\d{4})", 1), 80, "javascript_var"),
@@ -199,11 +199,11 @@ def phone_candidates(html: Column | str) -> Column:
         _as_candidates(all_matches(F.regexp_replace(seen, r"[^\d\s\-().]+", " "), mine, 1), 60, "text_mining"),
     ))
     # methods are listed by falling confidence, so the first entry of a phone
-    # is its best one
-    return let(everything, lambda cs: F.transform(
-        F.array_distinct(F.transform(cs, lambda c: c["phone"])),
-        lambda p: F.get(F.filter(cs, lambda c: c["phone"] == p), F.lit(0)),
-    ))
+    # is its best one; sorted by phone and place, it is the first of its run
+    placed = F.sort_array(F.transform(everything, lambda c, i: F.struct(c["phone"].alias("phone"), i.alias("i"), c.alias("c"))))
+    firsts = let(placed, lambda ps: F.filter(ps, lambda p, k: F.coalesce(F.get(ps, k - 1)["phone"] != p["phone"], F.lit(True))))
+    in_order = F.sort_array(F.transform(firsts, lambda p: F.struct(p["i"].alias("i"), p["c"].alias("c"))))
+    return F.transform(in_order, lambda p: p["c"])
 
 
 def best_phone(candidates: Column) -> Column:
@@ -343,18 +343,6 @@ def social_map(body: Column | str, patterns=L.SOCIAL_PATTERNS) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 
 
-def social_handles(body: Column | str) -> Column:
-    """Platform -> account name."""
-    # fixed values: account patterns
-    patterns = {
-        "facebook": r"(?:facebook\.com|fb\.com)/([^/\s]+)", "twitter": r"(?:twitter\.com|x\.com)/([^/\s]+)",
-        "instagram": r"instagram\.com/([^/\s]+)", "linkedin": r"linkedin\.com/company/([^/\s]+)",
-        "youtube": r"youtube\.com/(?:channel|user)/([^/\s]+)", "tiktok": r"tiktok\.com/@([^/\s]+)",
-    }
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), first_match(text(body), "(?i)" + p).alias("v")) for k, p in patterns.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
-
-
 def working_hours_map(body: Column | str) -> Column:
     """Day -> ``start - end`` or ``Closed``; an opening time wins over closed,
     the last mention of a day counts."""
@@ -395,9 +383,6 @@ def classify_text_field(c: Column | str) -> Column:
     )
 
 
-def json_ld_blocks(html: Column | str) -> Column:
-    return all_matches(text(html), JSON_LD, 1)
-
 
 # -- record shaping -----------------------------------------------------------
 def clean_contact_record(df, *, zip_col: str = "zip_code", country: str = "country", fake_zips: Sequence[str] = L.FAKE_ZIPS):

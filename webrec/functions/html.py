@@ -12,6 +12,7 @@ from webrec import lexicons as L
 from webrec.functions.common import (
     all_matches, any_of, at_most, blank_to_null, col, contains_any, cut, filled, first_match, first_of, let, squeeze, text,
 )
+from webrec.functions.html_select import main_text, page_text
 from webrec.functions.urls import absolute_url, url_netloc
 
 # fixed values: named characters decoded by text extraction ("&amp;" last)
@@ -43,21 +44,36 @@ def unescape(c: Column) -> Column:
     return let(c, lambda x: F.when(x.contains("&"), named(x)).otherwise(x))
 
 
-def _drop_tags(html: Column, tags: Sequence[str]) -> Column:
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    if tags:
-        alt = "|".join(tags)
-        out = F.regexp_replace(out, rf"(?is)<(?:{alt})\b.*?</(?:{alt})\s*>", " ")
+def up_to_last(c: Column, end: str, fn) -> Column:
+    """``fn`` of the part up to the last match of ``end``, and the rest as it
+    is. An opening without an end behind it matches nothing, and trying each
+    of them to the end of the page would cost its length squared."""
+    def parts(x):
+        return let(F.regexp_extract(x, rf"(?is)^.*{end}", 0), lambda h: F.concat(fn(h), F.substr(x, F.length(h) + 1)))
+
+    return let(c, parts)
+
+
+def without_comments(html: Column) -> Column:
+    return F.when(html.contains("<!--"), up_to_last(html, "-->", lambda h: F.regexp_replace(h, r"(?s)<!--.*?-->", " "))).otherwise(html)
+
+
+def drop_raw(html: Column) -> Column:
+    """Comments, scripts and styles out."""
+    out = without_comments(html)
+    for tag in ("script", "style"):
+        out = up_to_last(out, rf"</{tag}\s*>", lambda h, t=tag: F.regexp_replace(h, rf"(?is)<{t}\b.*?</{t}\s*>", " "))
     return out
 
 
 def _tags_to_text(fragment: Column) -> Column:
-    return unescape(squeeze(F.regexp_replace(fragment, r"<[^>]*>", " ")))
+    return unescape(squeeze(F.regexp_replace(fragment, r"<[^<>]*>", " ")))
 
 
 def html_to_text(html: Column | str, drop: Sequence[str] = L.DROP_TAGS) -> Column:
-    """Visible text: dropped elements out, tags to space, one space between."""
-    return _tags_to_text(_drop_tags(text(html), drop))
+    """Visible text: dropped elements out, tags to space, one space between.
+    Elements that nest (a menu in a header) need the tree."""
+    return page_text(html, drop)
 
 
 def elements(html: Column, tag: str, group: int = 0) -> Column:
@@ -65,12 +81,13 @@ def elements(html: Column, tag: str, group: int = 0) -> Column:
     last end tag is cut off first: open tags there match nothing, and trying
     each of them to the end of the page costs its length squared."""
     upto = F.regexp_extract(html, rf"(?is)^.*</{tag}\s*>", 0)
-    return all_matches(upto, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", group)
+    return all_matches(upto, rf"(?is)<{tag}\b[^<>]*>(.*?)</{tag}\s*>", group)
 
 
 def tag_inner(html: Column, tag: str) -> Column:
     """Inner HTML of the first such element."""
-    return first_match(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>")
+    upto = F.regexp_extract(html, rf"(?is)^.*</{tag}\s*>", 0)
+    return first_match(upto, rf"(?is)<{tag}\b[^<>]*>(.*?)</{tag}\s*>")
 
 
 def tag_text(html: Column, tag: str) -> Column:
@@ -78,38 +95,42 @@ def tag_text(html: Column, tag: str) -> Column:
 
 
 def html_main_text(html: Column | str, min_chars: int = L.MIN_ARTICLE_LENGTH) -> Column:
-    """Text of the first article element if long enough, else of the body."""
-    h = _drop_tags(text(html), L.DROP_TAGS)
-    article = _tags_to_text(tag_inner(h, "article"))
-    body = _tags_to_text(F.coalesce(tag_inner(h, "body"), F.lit("")))
-    return F.when(F.length(article) > min_chars, article).otherwise(body)
+    """Text of the first content container that is long enough, else of the
+    body; of a page without body tags all behind the head."""
+    return main_text(html, L.CONTENT_SELECTORS, L.DROP_TAGS, min_chars)
 
 
 def html_tag_texts(html: Column | str, tags: Sequence[str] = L.CONTENT_TAGS) -> Column:
     """Texts of the listed tags in list order; ``a`` as ``text (href)``."""
-    h = F.regexp_replace(text(html), r"(?s)<!--.*?-->", " ")
+    h = without_comments(text(html))
     parts = []
     for tag in tags:
         texts = F.transform(elements(h, tag, 1), lambda x: _tags_to_text(x))
         if tag == "a":
             whole = elements(h, "a")
             def one(a):
-                t = _tags_to_text(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a\s*>$", ""))
-                href = F.regexp_extract(a, r"(?is)^<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)", 1)
+                t, href = _anchor(a), _href(a)
                 return F.when((t != "") & (href != ""), F.concat(t, F.lit(" ("), unescape(href), F.lit(")"))).otherwise(t)
             texts = F.transform(whole, one)
         parts.append(F.array_join(F.filter(texts, lambda t: t != ""), " "))
     return F.trim(F.regexp_replace(F.concat_ws(" ", *parts), " +", " "))
 
 
-LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
+def _href(a: Column) -> Column:
+    """Link of a whole anchor, quoted or not; empty where it has none."""
+    found = F.regexp_extract(a, r"""(?is)^<a\b[^<>]*?\bhref\s*=\s*("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)""", 1)
+    return F.regexp_replace(found, r"^[\"']|[\"']$", "")
+
+
+def _anchor(a: Column) -> Column:
+    return _tags_to_text(F.regexp_replace(a, r"(?is)^<a\b[^<>]*>|</a\s*>$", ""))
 
 
 def link_array(html: Column | str) -> Column:
-    """Array of {href, anchor} in page order."""
-    h = F.regexp_replace(text(html), r"(?s)<!--.*?-->", " ")
-    pairs = F.arrays_zip(all_matches(h, LINK, 1).alias("href"), all_matches(h, LINK, 2).alias("anchor"))
-    return F.transform(pairs, lambda p: F.struct(unescape(p["href"]).alias("href"), _tags_to_text(p["anchor"]).alias("anchor")))
+    """Array of {href, anchor} in page order: whole anchors in one pass, their
+    parts from the short hits."""
+    links = F.transform(elements(without_comments(text(html)), "a"), lambda a: F.struct(unescape(_href(a)).alias("href"), _anchor(a).alias("anchor")))
+    return F.filter(links, lambda x: x["href"] != "")
 
 
 def social_links(html: Column | str, base: Column | str, providers=L.SOCIAL_PROVIDERS, limit: int | None = None) -> Column:
@@ -138,8 +159,8 @@ def _meta_raw(html: Column | str, key: str) -> Column:
     """content of <meta name|property=key>, either attribute order."""
     h = text(html)
     k = key.replace(":", "[:]")
-    a = first_match(h, rf"(?is)<meta\b[^>]*?(?:name|property)\s*=\s*[\"']{k}[\"'][^>]*?content\s*=\s*[\"']([^\"']*)")
-    b = first_match(h, rf"(?is)<meta\b[^>]*?content\s*=\s*[\"']([^\"']*)[\"'][^>]*?(?:name|property)\s*=\s*[\"']{k}[\"']")
+    a = first_match(h, rf"(?is)<meta\b[^<>]*?(?:name|property)\s*=\s*[\"']{k}[\"'][^<>]*?content\s*=\s*[\"']([^\"']*)")
+    b = first_match(h, rf"(?is)<meta\b[^<>]*?content\s*=\s*[\"']([^\"']*)[\"'][^<>]*?(?:name|property)\s*=\s*[\"']{k}[\"']")
     return F.coalesce(a, b)
 
 
@@ -216,11 +237,16 @@ def html_description_strict(html: Column | str, about: Column | None = None) ->
 
 
 # -- JSON-LD ------------------------------------------------------------------
-JSON_LD = r"(?is)<script\b[^>]*type\s*=\s*[\"'][^\"']*ld\+json[^\"']*[\"'][^>]*>(.*?)</script\s*>"
 _FIELDS = ["name", "telephone", "email"]
 _ADDRESS = ["streetAddress", "addressLocality", "addressRegion", "postalCode"]
 
 
+def ld_blocks(html: Column | str) -> Column:
+    """Contents of the JSON-LD scripts."""
+    whole = F.filter(elements(text(html), "script"), lambda s: s.rlike(r"(?is)^<script\b[^<>]*type\s*=\s*[\"'][^\"']*ld\+json"))
+    return F.transform(whole, lambda s: F.regexp_replace(s, r"(?is)^<script\b[^<>]*>|</script\s*>$", ""))
+
+
 def _variant_text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
@@ -228,7 +254,7 @@ def _variant_text(v: Column, path: str) -> Column:
 def json_ld_items(html: Column | str) -> Column:
     """Array of VARIANT items of all JSON-LD blocks, arrays flattened. A block
     that does not parse gives no items."""
-    blocks = all_matches(text(html), JSON_LD, 1)
+    blocks = ld_blocks(html)
 
     def items(block):
         b = F.trim(block)
@@ -282,7 +308,7 @@ def json_ld_hours(spec: Column) -> Column:
 
 def page_lines(html: Column | str) -> Column:
     """Text nodes, one per line."""
-    t = unescape(F.regexp_replace(_drop_tags(text(html), ["script", "style"]), r"<[^>]*>", "\n"))
+    t = unescape(F.regexp_replace(drop_raw(text(html)), r"<[^<>]*>", "\n"))
     lines = F.transform(F.split(t, "\n"), lambda x: squeeze(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
@@ -303,36 +329,51 @@ def html_opening_hours(html: Column | str, spec: Column) -> Column:
     return F.coalesce(json_ld_hours(spec), let(page_lines(html), around_label))
 
 
-DEEP_PHONE = r"\"(?:telephone|phone)\"\s*:\s*\"([^\"]*)\""
+def _deep(blocks: Column, keys: Sequence[str]) -> Column:
+    """First string under one of the keys, in the order of the text, with its
+    escapes decoded."""
+    good = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
+    pattern = r"\"(?:" + "|".join(keys) + r")\"\s*:\s*\"([^\"\\]*+(?:\\.[^\"\\]*+)*+)\""
+    decoded = F.transform(good, lambda b: F.get(F.from_json(F.concat(F.lit('["'), F.regexp_extract(b, pattern, 1), F.lit('"]')), "array<string>"), F.lit(0)))
+    return F.get(F.filter(decoded, lambda x: filled(x)), F.lit(0))
 
 
 def json_ld_deep_phone(html: Column | str) -> Column:
-    """First telephone or phone value at any depth of the JSON-LD blocks."""
-    blocks = all_matches(text(html), JSON_LD, 1)
-    good = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
-    hits = F.filter(F.transform(good, lambda b: F.regexp_extract(b, DEEP_PHONE, 1)), lambda x: x != "")
-    return F.get(hits, F.lit(0))
+    """Phone of the JSON-LD blocks: an item's telephone, its phone, that of its
+    contact point; else the first such value at any depth."""
+    def own(v):
+        at = lambda path: blank_to_null(_variant_text(v, path))
+        return F.coalesce(at("$.telephone"), at("$.phone"), at("$.contactPoint.telephone"), at("$.contactPoint[0].telephone"))
+
+    top = F.get(F.filter(F.transform(json_ld_items(html), own), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(top, _deep(ld_blocks(html), ["telephone", "phone"]))
 
 
 def json_ld_deep_value(html: Column | str, keys: Sequence[str]) -> Column:
     """First string under one of the keys at any depth (address parts, hours,
     name, e-mail, description)."""
-    blocks = all_matches(text(html), JSON_LD, 1)
-    good = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
-    pattern = r"\"(?:" + "|".join(keys) + r")\"\s*:\s*\"([^\"]*)\""
-    hits = F.filter(F.transform(good, lambda b: F.regexp_extract(b, pattern, 1)), lambda x: x != "")
-    return F.get(hits, F.lit(0))
+    return _deep(ld_blocks(html), keys)
 
 
 # -- address and prices -------------------------------------------------------
-ITEMPROP_ADDRESS = r"(?is)<(\w+)\b[^>]*itemprop\s*=\s*[\"']address[\"'][^>]*>(.*?)</\1\s*>"
+ITEMPROP_ADDRESS = r"(?is)<(\w+)\b[^<>]*itemprop\s*=\s*[\"']address[\"'][^<>]*>(.*)$"
+
+
+def itemprop_address(html: Column) -> Column:
+    """Inner HTML of the first itemprop=address element, up to the first end
+    tag of its kind; empty where it has none."""
+    found = F.struct(F.lower(F.regexp_extract(html, ITEMPROP_ADDRESS, 1)).alias("tag"), F.regexp_extract(html, ITEMPROP_ADDRESS, 2).alias("rest"))
+    at = lambda f: F.instr(F.lower(f["rest"]), F.concat(F.lit("</"), f["tag"]))
+    return let(found, lambda f: F.when((f["tag"] != "") & (at(f) > 0), F.substr(f["rest"], F.lit(1), at(f) - 1)).otherwise(F.lit("")))
+
+
 CITY_LINE = r"(.+?),\s*([A-Za-z .'\-]+)\s*(?:([A-Z]{2}))?\s*(\d{4,6})?"
 
 
 def html_address(html: Column | str, ld: Column, fallback_country: str = "") -> Column:
     """Struct street, city, region, postal, country: JSON-LD, else the first
     itemprop=address block split by a simple pattern, else the fallback."""
-    full = _tags_to_text(F.regexp_extract(text(html), ITEMPROP_ADDRESS, 2))
+    full = _tags_to_text(itemprop_address(text(html)))
 
     def build(v):
         d, line = v["ld"], v["line"]
@@ -362,7 +403,7 @@ def html_price_rows(html: Column | str, materials: Sequence[str] = L.MATERIAL_KE
     rows = F.flatten(F.transform(tables, lambda t: elements(t, "tr")))
 
     def cells(r):
-        inner = F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1))
+        inner = F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^<>]*>(.*?)</t[dh]\s*>"), F.lit(1))
         return F.when(F.size(inner) >= 2, F.array_join(F.transform(inner, _tags_to_text), " "))
 
     price = "(?i)" + "|".join(f"(?:{p})" for p in patterns)

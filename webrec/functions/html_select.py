@@ -1,17 +1,16 @@
 """CSS selection over HTML text: the one thing column expressions cannot say.
 
-An Arrow-batched Python function parses each page once with the standard
-library's tolerant parser and answers all wanted selectors. Supported: tag,
-``*``, ``.class``, ``#id``, ``[attr]``, ``[attr=v]``, ``[attr^=v]``,
-``[attr*=v]``, descendants by space, alternatives by comma.
+An Arrow-batched Python function reads each page once into a flat tree and
+answers all wanted selectors. Supported: tag, ``*``, ``.class``, ``#id``,
+``[attr]`` with ``=``, ``^=``, ``$=``, ``*=`` and ``~=``, ``:first-child``,
+``:last-child``, descendants by space, children by ``>``, alternatives by comma.
+Anything else raises ``ValueError`` when the plan is built.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
-from html import escape
-from html.parser import HTMLParser
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webrec.functions.common import col
+from webrec.functions.html_tree import Tree
 
 HIT = T.StructType([
     T.StructField("text", T.StringType()),
@@ -26,142 +26,171 @@ HIT = T.StructType([
     T.StructField("html", T.StringType()),
 ])
 
-# fixed values: elements without content, and those a sibling start closes
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SELF_CLOSING = {"p", "li", "tr", "td", "th", "dt", "dd", "option"}
-
-_STEP = re.compile(r"([.#]?[\w-]+|\*)|\[\s*([\w-]+)\s*(?:([*^]?=)\s*[\"']?([^\]\"']*)[\"']?)?\s*\]")
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "kids", "parent")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.kids, self.parent = tag, attrs, [], parent
-
-    def texts(self):
-        for k in self.kids:
-            if isinstance(k, str):
-                yield k
-            elif k.tag not in ("script", "style"):
-                yield from k.texts()
-
-    def markup(self):
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        inner = "".join(escape(k, quote=False) if isinstance(k, str) else k.markup() for k in self.kids)
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
-
-    def walk(self):
-        for k in self.kids:
-            if not isinstance(k, str):
-                yield k
-                yield from k.walk()
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SELF_CLOSING and self.at.tag == tag:
-            self.at = self.at.parent
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.kids.append(_Node(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.kids.append(data)
-
-
-def compile_selector(selector: str):
-    """Alternatives, each a list of compound steps (lists of tests)."""
-    out = []
-    for alternative in selector.split(","):
-        steps = []
-        for part in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", alternative.strip()):
-            steps.append([(m.group(1), m.group(2), m.group(3), m.group(4)) for m in _STEP.finditer(part)])
-        out.append(steps)
-    return out
-
-
-def _fits(node: _Node, tests) -> bool:
-    for simple, attr, op, value in tests:
-        if simple:
-            if simple[0] == ".":
-                if simple[1:] not in node.attrs.get("class", "").split():
+_TEST = re.compile(
+    r"""(?P<tag>\*|[a-zA-Z][\w-]*)|[.](?P<class>[\w-]+)|[#](?P<id>[\w-]+)|:(?P<place>first-child|last-child)
+    |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[^\]\s]*))\s*)?\]""",
+    re.X,
+)
+_GAP = re.compile(r"\s*(>|,)\s*|\s+")
+
+#: One compound: (tests, how it hangs on the one before: "", " " or ">").
+Compound = tuple[list[tuple[str, str, str]], str]
+
+
+def compile_selector(selector: str) -> list[list[Compound]]:
+    """Alternatives, each a list of compounds from left to right."""
+    out: list[list[Compound]] = []
+    steps: list[Compound] = []
+    at, link, wanted, text = 0, "", True, selector.strip()
+    while at < len(text):
+        if not wanted and (m := _GAP.match(text, at)):
+            at, link = m.end(), m[1] or " "
+            if link == ",":
+                out.append(steps)
+                steps, link = [], ""
+            wanted = True
+            continue
+        tests = []
+        while m := _TEST.match(text, at):
+            if m["tag"] and tests:
+                break
+            if m["attr"]:
+                tests.append((m["op"] or "has", m["attr"].lower(), m["v1"] or m["v2"] or m["v3"] or ""))
+            else:
+                kind = m.lastgroup
+                tests.append((kind, (m[kind].lower() if kind == "tag" else m[kind]), ""))
+            at = m.end()
+        if not tests:
+            raise ValueError(f"selector not understood at {text[at:]!r} in {selector!r}")
+        steps.append((tests, link))
+        wanted = False
+    if wanted:
+        raise ValueError(f"selector ends too early: {selector!r}")
+    return [*out, steps]
+
+
+class _Matcher:
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        self.first, self.last = tree.siblings()
+
+    def fits(self, k: int, tests) -> bool:
+        tree = self.tree
+        for kind, name, value in tests:
+            if kind == "tag":
+                if name not in ("*", tree.tag[k]):
                     return False
-            elif simple[0] == "#":
-                if node.attrs.get("id") != simple[1:]:
+            elif kind == "class":
+                if not tree.has_words(k, name) or name not in tree.attrs(k).get("class", "").split():
                     return False
-            elif simple not in ("*", node.tag):
-                return False
-        else:
-            have = node.attrs.get(attr)
-            if have is None or not (
-                op is None or (op == "=" and have == value)
-                or (op == "^=" and have.startswith(value)) or (op == "*=" and value in have)
-            ):
-                return False
-    return True
-
-
-def _matches(node: _Node, steps) -> bool:
-    if not _fits(node, steps[-1]):
-        return False
-    i, up = len(steps) - 2, node.parent
-    while i >= 0 and up is not None:
-        if _fits(up, steps[i]):
-            i -= 1
-        up = up.parent
-    return i < 0
-
-
-def select_html(html: str, compiled: Mapping[str, list]) -> dict:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    found = {name: [] for name in compiled}
-    for node in tree.root.walk():
-        for name, alternatives in compiled.items():
-            if any(_matches(node, steps) for steps in alternatives):
-                found[name].append({
-                    "text": " ".join(" ".join(node.texts()).split()), "attrs": dict(node.attrs), "html": node.markup(),
-                })
-    return found
-
-
-def html_select_all(html: Column | str, selectors: Mapping[str, str]) -> Column:
-    """Struct with one array of {text, attrs, html} per selector; the page is
-    parsed once for all of them."""
-    names = list(selectors)
-    schema = T.StructType([T.StructField(n, T.ArrayType(HIT)) for n in names])
-    wanted = dict(selectors)
+            elif kind == "id":
+                if not tree.has_words(k, name) or tree.attrs(k).get("id") != name:
+                    return False
+            elif kind == "place":
+                if not (self.first if name == "first-child" else self.last)[k]:
+                    return False
+            else:
+                have = tree.attrs(k).get(name)
+                if have is None or not (
+                    kind == "has" or (kind == "=" and have == value) or (kind == "~=" and value in have.split())
+                    or (value != "" and ((kind == "^=" and have.startswith(value)) or (kind == "$=" and have.endswith(value)) or (kind == "*=" and value in have)))
+                ):
+                    return False
+        return True
+
+    def hits(self, alternatives) -> list[int]:
+        """Matching nodes in page order. Going down the page, every node
+        carries how far each alternative has got above it, so the work is one
+        test per node and compound whatever the depth."""
+        found: set[int] = set()
+        tree = self.tree
+        for steps in alternatives:
+            above: list[int] = []  # per node: bits of the compounds met at or above it
+            here: list[int] = []  # per node: bits of the compounds met at it
+            goal = 1 << (len(steps) - 1)
+            for k, p in enumerate(tree.parent):
+                over, own = (above[p], here[p]) if p >= 0 else (0, 0)
+                bits = 0
+                for i, (tests, link) in enumerate(steps):
+                    if (i == 0 or (over if link == " " else own) >> (i - 1) & 1) and self.fits(k, tests):
+                        bits |= 1 << i
+                if bits & goal:
+                    found.add(k)
+                here.append(bits)
+                above.append(over | bits)
+        return sorted(found)
+
+
+def select_html(html: str, compiled: Mapping[str, list], parts: Sequence[str] = ("text", "attrs", "html")) -> dict:
+    """Hits of each selector; only the wanted parts of a hit are made."""
+    tree = Tree(html)
+    matcher = _Matcher(tree)
+    make = {"text": tree.text, "attrs": lambda k: dict(tree.attrs(k)), "html": tree.markup}
+    return {name: [{p: make[p](k) for p in parts} for k in matcher.hits(alternatives)] for name, alternatives in compiled.items()}
+
+
+def html_select_all(html: Column | str, selectors: Mapping[str, str], parts: Sequence[str] = ("text", "attrs", "html")) -> Column:
+    """Struct with one array of hits per selector; the page is read once for
+    all of them, and only the wanted ``parts`` of a hit are made."""
+    names, parts = list(selectors), tuple(parts)
+    hit = T.StructType([f for f in HIT.fields if f.name in parts])
+    schema = T.StructType([T.StructField(n, T.ArrayType(hit)) for n in names])
+    compiled = {n: compile_selector(s) for n, s in selectors.items()}
 
     @F.pandas_udf(schema)
     def run(pages: pd.Series) -> pd.DataFrame:
-        compiled = {n: compile_selector(s) for n, s in wanted.items()}
-        rows = [select_html(p or "", compiled) for p in pages]
+        rows = [select_html(p or "", compiled, parts) for p in pages]
         return pd.DataFrame({n: [r[n] for r in rows] for n in names})
 
     return run(col(html))
 
 
-def html_select(html: Column | str, selector: str) -> Column:
+def html_select(html: Column | str, selector: str, parts: Sequence[str] = ("text", "attrs", "html")) -> Column:
     """Array of {text, attrs, html} of the elements a selector picks."""
-    return html_select_all(html, {"hits": selector})["hits"]
+    return html_select_all(html, {"hits": selector}, parts)["hits"]
 
 
 def first_text(hits: Column) -> Column:
     return F.get(hits, F.lit(0))["text"]
+
+
+def page_text(html: Column | str, drop: Sequence[str]) -> Column:
+    """Text of the page without the dropped elements, nested ones included."""
+    without = frozenset(drop)
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([Tree(p or "").text(-1, without) for p in pages], dtype="object")
+
+    return run(col(html))
+
+
+def main_text(html: Column | str, selectors: Sequence[str], drop: Sequence[str], min_chars: int) -> Column:
+    """Text of the first selector whose first hit has more than ``min_chars``
+    characters; else of the body, or of a page without body tags all behind
+    the head."""
+    without, compiled = frozenset(drop), [compile_selector(s) for s in selectors]
+
+    def one(html: str) -> str:
+        tree = Tree(html)
+        matcher = _Matcher(tree)
+        dropped = set()
+        k = 0
+        while k < len(tree.tag):
+            if tree.tag[k] in without:
+                dropped.update(range(k, tree.last[k] + 1))
+                k = tree.last[k]
+            k += 1
+        for c in compiled:
+            hit = next((k for k in matcher.hits(c) if k not in dropped), None)
+            if hit is not None and len(text := tree.text(hit, without)) > min_chars:
+                return text
+        if "body" in tree.tag:
+            return tree.text(tree.tag.index("body"), without)
+        return tree.text(-1, without | {"head"})
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([one(p or "") for p in pages], dtype="object")
+
+    return run(col(html))

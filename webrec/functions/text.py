@@ -343,13 +343,6 @@ def format_blog_post(suffix: str = " | Blog") -> Column:
     )
 
 
-def example_post(intro: str = "В этой статье рассматриваются актуальные вопросы металлургической отрасли.") -> Column:
-    """Markdown example of a post."""
-    return F.concat(
-        F.lit("# "), best_title(), F.lit("\n\n## Введение\n\n"), F.coalesce(blank_to_null("summary"), F.lit(intro)),
-        F.lit("\n\n## Основная информация\n\n"), cut(best_content(), 500), F.lit("...\n\n## Источник\n\n"), text("source"))
-
-
 def article_preview(content: Column | str, limit: int = 1000) -> Column:
     t = col(content)
     return F.when(F.length(t) > limit, F.concat(cut(t, limit), F.lit("..."))).otherwise(t)

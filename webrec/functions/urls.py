@@ -163,11 +163,6 @@ def filter_official_url(url, *, search=L.SEARCH_ENGINE_DOMAINS, bad_parts=L.OFFI
     return u.startswith("http") & ~in_domains(host, search) & ~contains_any(F.lower(u), bad_parts)
 
 
-def official_urls(urls: Column) -> Column:
-    """Array form: trim, keep what passes, distinct in order."""
-    return F.array_distinct(F.filter(F.transform(urls, lambda x: F.trim(x)), filter_official_url))
-
-
 def filter_website_valid(url, *, skip=L.WEBSITE_SKIP_DOMAINS) -> Column:
     u = text(url)
     return ~contains_any(F.lower(u), skip) & u.rlike(r"^https?://") & u.contains(".")

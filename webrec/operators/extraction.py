@@ -32,7 +32,7 @@ def html_links(pages: DataFrame, *keep: str) -> DataFrame:
 def html_serp_items(pages: DataFrame, block: str = "li.b_algo", link: str = "h2 a", snippet_chars: int | None = None) -> DataFrame:
     """Result blocks of a saved search page: title, url, snippet."""
     hits = pages.select("page_id", F.posexplode(html_select("html", block)).alias("pos", "hit"))
-    links = F.filter(F.slice(html_select("hit.html", link), 1, 1), lambda a: a["attrs"]["href"].startswith("http"))
+    links = F.filter(F.slice(html_select("hit.html", link, ("text", "attrs")), 1, 1), lambda a: a["attrs"]["href"].startswith("http"))
     item = F.transform(links, lambda a: F.struct(a["text"].alias("title"), a["attrs"]["href"].alias("url")))
     return hits.select("page_id", "pos", F.inline(item), cut(F.col("hit.text"), snippet_chars).alias("snippet"))
 
@@ -51,8 +51,8 @@ LISTING_SELECTORS = {
 def html_listing_cards(pages: DataFrame, site: str = "default", selectors=None) -> DataFrame:
     """Repeated listing blocks as rows; blocks without a name are dropped."""
     s = dict((selectors or LISTING_SELECTORS)[site])
-    cards = pages.select("page_id", "url", F.posexplode(html_select("html", s.pop("card"))).alias("pos", "card"))
-    named = F.filter(F.array(html_select_all(F.col("card.html"), s)), lambda p: filled(first_text(p["name"])))
+    cards = pages.select("page_id", "url", F.posexplode(html_select("html", s.pop("card"), ("html",))).alias("pos", "card"))
+    named = F.filter(F.array(html_select_all(F.col("card.html"), s, ("text", "attrs"))), lambda p: filled(first_text(p["name"])))
     parts = cards.select("page_id", "pos", F.inline(named))
     rating_text = F.concat_ws(" ", first_text(F.col("rating")), F.get(F.col("rating"), F.lit(0))["attrs"]["aria-label"])
     return parts.select(
@@ -80,7 +80,7 @@ def html_article_meta(html: Column | str, selectors=ARTICLE_META) -> Column:
     first selector with a hit decides, so each alternative is asked apart."""
     asked = {f"{k}{i}": alt.strip() for k, alts in selectors.items() for i, alt in enumerate(alts.split(","))}
     names = {k: [n for n in asked if n.rstrip("0123456789") == k] for k in selectors}
-    found = html_select_all(html, asked)
+    found = html_select_all(html, asked, ("text", "attrs"))
 
     def build(f):
         hit = {k: F.coalesce(*[F.get(f[n], F.lit(0)) for n in ns]) for k, ns in names.items()}
@@ -97,7 +97,7 @@ def html_article_meta(html: Column | str, selectors=ARTICLE_META) -> Column:
 def extract_article(pages: DataFrame, min_chars: int = L.MIN_ARTICLE_LENGTH, language: str | None = None) -> DataFrame:
     """Article rows from pages by native expressions; kept iff there is a title
     and enough text. The html column ends here."""
-    lang = F.lit(language) if language else F.nullif(F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
+    lang = F.lit(language) if language else F.nullif(F.regexp_extract("html", r"(?i)<html\b[^<>]*\blang\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
     body = F.struct(
         F.coalesce(H.tag_text(F.col("html"), "h1"), H.tag_text(F.col("html"), "title")).alias("title"),
         H.html_main_text("html", min_chars).alias("content"),
@@ -139,17 +139,17 @@ def extract_company(pages: DataFrame, fallback_country: str = "") -> DataFrame:
 
 # -- named extractors ---------------------------------------------------------
 Extractor = Callable[[str, str], dict]
-_EXTRACTORS: dict[str, tuple[Extractor, tuple[str, ...]]] = {}
+Extractors = dict[str, tuple[Extractor, tuple[str, ...]]]
 
 
-def register_extractor(name: str, fn: Extractor, hosts: tuple[str, ...]) -> None:
-    """Plug in a page parser for hosts (equal to or below the listed names)."""
-    _EXTRACTORS[name] = (fn, hosts)
+def register_extractor(table: Extractors, name: str, fn: Extractor, hosts: tuple[str, ...]) -> Extractors:
+    """The table with a page parser for hosts (equal to or below the listed names) added."""
+    return table | {name: (fn, hosts)}
 
 
-def run_extractors(pages: DataFrame, fields: list[str], default: str | None = None) -> DataFrame:
+def run_extractors(pages: DataFrame, extractors: Extractors, fields: list[str], default: str | None = None) -> DataFrame:
     """Each page goes to the extractor of its host; one Arrow-batched pass."""
-    table = dict(_EXTRACTORS)
+    table = dict(extractors)
     host = url_host("url", strip_port=True)
     chosen = F.lit(default)
     for name, (_, hosts) in table.items():
@@ -175,7 +175,7 @@ def register_links_udtf(spark, name: str = "html_links") -> None:
     @F.udtf(returnType="pos int, href string, anchor string")
     class Links:
         def eval(self, html: str):
-            for i, hit in enumerate(select_html(html or "", {"a": wanted})["a"]):
+            for i, hit in enumerate(select_html(html or "", {"a": wanted}, ("text", "attrs"))["a"]):
                 yield i, hit["attrs"]["href"], hit["text"]
 
     spark.udtf.register(name, Links)

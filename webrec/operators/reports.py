@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webrec.functions.common import blank_to_null, cut, filled, filled_array, text
@@ -38,9 +38,13 @@ def long_counts(df: DataFrame, measures: Mapping[str, Column], label: str = "fie
 
 def agg_validation_issues(issues: DataFrame, col: str = "issues") -> DataFrame:
     """Issue -> rows, most frequent first; valid and total beside it."""
-    totals = issues.agg(F.count("*").alias("total"), F.count_if(F.size(col) == 0).alias("valid"))
-    counts = issues.select(F.explode(col).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
-    return counts.withColumns({"total": totals.select("total").scalar(), "valid": totals.select("valid").scalar()}).orderBy(F.desc("n"), "issue")
+    # one pass: every row also counts as itself, and as valid where it is
+    every, valid = F.lit("\u0000all"), F.lit("\u0000valid")
+    marked = F.concat(F.col(col), F.array(every), F.when(F.size(col) == 0, F.array(valid)).otherwise(F.array().cast("array<string>")))
+    counts = issues.select(F.explode(marked).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy()  # over one row per kind of issue
+    of = lambda mark: F.coalesce(F.max(F.when(F.col("issue") == mark, F.col("n"))).over(whole), F.lit(0)).cast(BIG)
+    return counts.withColumns({"total": of(every), "valid": of(valid)}).where(~F.col("issue").startswith("\u0000")).orderBy(F.desc("n"), "issue")
 
 
 def agg_contact_coverage(records: DataFrame) -> DataFrame:
@@ -53,7 +57,8 @@ def agg_contact_coverage(records: DataFrame) -> DataFrame:
 def distribution(records: DataFrame, key: Column, name: str, total: DataFrame | None = None) -> DataFrame:
     """Value counts with share, most frequent first."""
     counts = records.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
-    out = with_share(counts, total if total is not None else records.agg(F.count("*")))
+    # the groups cover all rows, so their sum is the total: no second scan
+    out = with_share(counts, total if total is not None else counts.agg(F.coalesce(F.sum("n"), F.lit(0))))
     return out.orderBy(F.desc("n"), name)
 
 
@@ -206,8 +211,6 @@ def global_position(df: DataFrame, order: str) -> DataFrame:
     sorted, numbered inside their partition, and the sizes of the partitions
     before (one row each) are added. The slim result is checkpointed, so both
     readers see the same split; the places do not depend on the split."""
-    from pyspark.sql import Window
-
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = df.select(order).repartitionByRange(n, order).sortWithinPartitions(order)
     mark = F.monotonically_increasing_id()

@@ -26,10 +26,12 @@ query("html_to_text", f"SELECT page_id, {S.plain(S.without('html', DROP))} AS pa
 )
 
 _BARE = S.without("html", DROP)
+# an unclosed body reaches to the end
+_BODY = S.plain(f"regexp_extract({_BARE}, '(?is)<body\\b[^>]*>(.*)', 1)")
 _ARTICLE = S.plain(S.inner(_BARE, "article"))
 query(
     "html_main_text",
-    f"SELECT page_id, CASE WHEN length({_ARTICLE}) > 1500 THEN {_ARTICLE} ELSE {S.plain(S.inner(_BARE, 'body'))} END AS main_text FROM pages",
+    f"SELECT page_id, CASE WHEN length({_ARTICLE}) > 1500 THEN {_ARTICLE} ELSE {_BODY} END AS main_text FROM pages",
 )(lambda spark, sf_dir: _pages(spark, sf_dir).select("page_id", H.html_main_text("html", 1500).alias("main_text")))
 
 _NC = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
@@ -238,7 +240,7 @@ query(
 query(
     "extract_article",
     f"""SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS source, regexp_extract(html, 'lang="([^"]*)', 1) AS language,
-        {S.plain(S.inner('html', 'h1'))} AS title, content FROM (SELECT *, CASE WHEN length({_ARTICLE}) > 100 THEN {_ARTICLE} ELSE {S.plain(S.inner(_BARE, 'body'))} END AS content FROM pages)
+        {S.plain(S.inner('html', 'h1'))} AS title, content FROM (SELECT *, CASE WHEN length({_ARTICLE}) > 100 THEN {_ARTICLE} ELSE {_BODY} END AS content FROM pages)
         WHERE length(content) >= 100""",
 )(
     lambda spark, sf_dir: X.extract_article(X.scan_pages(_pages(spark, sf_dir))).select("page_id", "url", "source", "language", "title", "content")
@@ -254,8 +256,8 @@ query(
 def register_extractor(spark, sf_dir):
     import re
 
-    X.register_extractor("titles", lambda url, html: {"value": re.search("<title>(.*?)</title>", html).group(1)}, ("example.com",))
-    X.register_extractor("langs", lambda url, html: {"value": re.search('lang="([^"]*)', html).group(1)}, ("example.net",))
-    return X.run_extractors(_pages(spark, sf_dir), ["value"])
+    table = X.register_extractor({}, "titles", lambda url, html: {"value": re.search("<title>(.*?)</title>", html).group(1)}, ("example.com",))
+    table = X.register_extractor(table, "langs", lambda url, html: {"value": re.search('lang="([^"]*)', html).group(1)}, ("example.net",))
+    return X.run_extractors(_pages(spark, sf_dir), table, ["value"])
 
 

@@ -59,8 +59,8 @@ query(
         _emb(spark, sf_dir), _emb(spark, sf_dir).where("label < 4").withColumn("label", (F.col("label") + 100).cast("int"))
     ).select("vec_id", F.col("label").cast("bigint").alias("label"))
 )
-query("vector_rebuild", "SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings WHERE label < 5")(
-    lambda spark, sf_dir: V.vector_rebuild(_emb(spark, sf_dir).where("label < 5"), scratch(spark, "vectors"))
+query("vector_rebuild", "SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings")(
+    lambda spark, sf_dir: V.vector_rebuild(_emb(spark, sf_dir), scratch(spark, "vectors"))
     .select("vec_id", F.col("label").cast("bigint").alias("label"), F.size("embedding").cast("bigint").alias("dim"))
 )
 query("vector_stats", "SELECT CAST(label AS BIGINT) AS label, count(*) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS min_dim, CAST(max(len(embedding)) AS BIGINT) AS max_dim FROM embeddings GROUP BY label")(

@@ -31,20 +31,27 @@ def build_session(app: str = "webrec", cores: int | str = "*", shuffle_partition
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``. Only where that is unset (tests, laptops) a
-    local folder is made and named in the session."""
+    ``spark.checkpoint.dir``. Only where that is unset a fresh folder is named
+    in the session: a local one for a local master, else one below the
+    warehouse, never a folder of one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-webrec-", dir="/tmp")
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            path = tempfile.mkdtemp(prefix="spark-webrec-", dir="/tmp")
+        else:
+            path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.webrec-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder name in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder name in the shared folder, deleted with the session."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

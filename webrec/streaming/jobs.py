@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from webrec.operators.dedup import first_per_key
 
 
-def _store(spark: SparkSession, path: str, columns: list[str]) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(*columns, "batch")
-    except AnalysisException:
+BUCKETS = 64
+
+
+def _store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored rows, or None before the first batch. Only a missing folder
+    means that; any other fault is raised."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return None
+    return spark.read.parquet(path)
 
 
 def stream_new_urls(sightings: DataFrame, store: str, checkpoint: str, url: str = "url", ts: str = "ts", row_id: str = "event_id") -> StreamingQuery:
     """Insert-if-absent by URL, for all time. Each micro-batch keeps its first
-    sighting per URL and drops URLs stored by other batches; a batch owns one
-    folder, so a replay after a failure overwrites itself."""
+    sighting per URL and drops URLs stored by other batches. The store is
+    partitioned by a hash of the URL, and a batch reads the buckets that its
+    URLs fall in, URL column only; it owns one folder, so a replay after a
+    failure overwrites itself."""
     columns = list(sightings.columns)
+    bucket = F.pmod(F.xxhash64(url), F.lit(BUCKETS)).cast("int")
 
     def write(batch: DataFrame, n: int) -> None:
-        fresh = first_per_key(batch, url, [F.asc(ts), F.asc(row_id)])
-        known = _store(batch.sparkSession, store, [url])
+        fresh = first_per_key(batch, url, [F.asc(ts), F.asc(row_id)]).withColumn("url_bucket", bucket)
+        known = _store(batch.sparkSession, store)
         if known is not None:
-            fresh = fresh.join(known.where(F.col("batch") != n).select(url), url, "left_anti")
-        fresh.select(*columns).write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={n}")
+            touched = [r[0] for r in fresh.select("url_bucket").distinct().collect()]  # BUCKETS at most
+            known = known.where((F.col("batch") != n) & F.col("url_bucket").isin(touched)).select(url)
+            fresh = fresh.join(known, url, "left_anti")
+        fresh.select(*columns, "url_bucket").write.mode("overwrite").partitionBy("url_bucket").parquet(f"{store.rstrip('/')}/batch={n}")
 
     return sightings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
