@@ -223,7 +223,7 @@ def html_company_name(html: Column | str, url: Column | str, selected: Column |
 
 def html_description(html: Column | str, limit: int | None = None) -> Column:
     """Meta description, else the page text; its start where a limit is given."""
-    return F.coalesce(blank_to_null(cut(meta_content(html, "description"), limit)), cut(html_to_text(html, ["script", "style"]), limit))
+    return F.coalesce(blank_to_null(cut(meta_content(html, "description"), limit)), cut(_tags_to_text(drop_raw(text(html))), limit))
 
 
 def html_description_strict(html: Column | str, about: Column | None = None) -> Column:
