@@ -170,9 +170,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         alone = rows.filter("group_size = 1").withColumn("same", F.lit(True))
         members = rows.filter("group_size > 1")
         # the texts of the members, once per id and fingerprint
-        wanted = members.groupBy("id_key", "text_sha256", *mark).agg(
-            F.any_value("top").alias("top"), F.any_value("group_size").alias("group_size")
-        )
+        # (which one id and digest determine; the shuffle is by those, so a large group is spread)
+        wanted = members.groupBy("id_key", "text_sha256").agg(*[F.any_value(c).alias(c) for c in (*mark, "top", "group_size")])
         # bytes and characters agree only for ASCII, so lengths are compared in bytes
         texts = docs.select("doc_id", "text", key.alias("id_key"), F.octet_length("text").cast("long").alias("n_bytes"))
         found = texts.join(wanted, ["id_key", "n_bytes"]).withColumn("n_buckets", F.ceil(F.col("group_size") / BUCKET).cast("int"))
