@@ -55,9 +55,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
     kept = kept.select(F.col("doc_id").alias("kept_id"), "text_sha256", "copies")
     rows = docs.withColumn("text_sha256", sha).join(kept.withColumnRenamed("text_sha256", "kept_sha"), F.expr("doc_id <=> kept_id AND text_sha256 = kept_sha"))
-    single = rows.filter("copies = 1").select(*COLUMNS)
-    repeated = rows.filter("copies > 1").groupBy("doc_id", "text_sha256").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return single.unionByName(repeated)
+    if kept.filter("copies > 1").isEmpty():  # no row is repeated under one id and text
+        return rows.select(*COLUMNS)
+    one = F.min(F.struct(*COLUMNS[1:])).alias("row")
+    return rows.groupBy("doc_id", "text_sha256").agg(one).select("doc_id", "row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
