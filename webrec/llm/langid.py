@@ -9,7 +9,7 @@ exp(-loss); where the runner-up is within ``margin`` the answer is flagged as
 ambiguous.
 
 Training uses at most ``max_docs`` whole documents, the same number for each
-language, picked by a hash of their text among rows outside the held-out fold.
+language, picked by a hash of their id among rows outside the held-out fold.
 Only text and language of those rows are learned from; prediction sees text
 alone. The model is a small matrix that travels with the tasks.
 """
@@ -125,12 +125,18 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, dim: int = DIM, id_col: str =
     """Model of the labelled rows outside the held-out fold; None without any."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
-    if not languages:
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
         return None
+    languages = sorted(sizes)
     each = max(1, max_docs // len(languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    picked = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("lang", "text")
+    # a thin slice of each language by hash, some times what is needed, then the exact number of it:
+    # what is shuffled does not grow with the table
+    hash_ = F.xxhash64("doc_id")
+    parts = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1 << 30, (8 * each + 64) * (1 << 30) // n))])
+    thin = rows.filter(F.pmod(hash_, F.lit(1 << 30)) < F.element_at(parts, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy(hash_, "doc_id", "text")
+    picked = thin.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("lang", "text")
 
     def make():
         def work(batch):
