@@ -189,6 +189,7 @@ def phone_candidates(html: Column | str) -> Column:
         return F.get(F.filter(hits, validate_phone_strict), F.lit(0))
 
     mine = r"(\d{3}[\s\-().]*\d{3}[\s\-().]*\d{4})"
+    # fixed values: confidence and name of each method
     everything = let(visible, lambda seen: F.concat(
         _as_candidates(all_matches(h, r"(?is)<a\b[^<>]*href\s*=\s*[\"']tel:([^\"']*)", 1), 95, "tel_link"),
         _as_candidates(F.array(F.coalesce(json_ld_deep_phone(h), microdata)), 90, "structured_data"),

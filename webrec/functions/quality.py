@@ -14,6 +14,9 @@ from webrec.functions.common import (
 )
 
 
+# fixed values throughout this module: issue texts, labels, tiers, points and
+# thresholds are outputs, or decide them, and must be as they are
+
 # -- validation ---------------------------------------------------------------
 def validate_company(name="name", website="website", phones="phones", emails="emails", social="social_links", country="country", materials="materials") -> Column:
     """Array of issues; empty means valid. Placeholder words match as

@@ -10,6 +10,8 @@ from webrec.functions.common import blank_to_null, filled, text
 from webrec.operators.dedup import top_per_key
 
 
+# fixed values in this module: headings, labels and the layout of entries, which
+# are the text of the digests
 def _entry(read: str) -> Column:
     title = F.coalesce(blank_to_null("translated_title"), F.col("title"))
     return F.concat(
