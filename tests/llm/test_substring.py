@@ -65,6 +65,40 @@ def test_planted_passages(spark):
         assert s.kept == (s.doc_id == s.keep_id)
 
 
+def test_third_document_has_a_part(spark):
+    """Passages of 51 words in two documents; a third one, before or after
+    them, has one middle chunk or half of the passage."""
+    r, table = random.Random(11), substring.gear()
+    rows, want = [], {}
+
+    def put(i, part):
+        before = prose(r, 60)
+        rows.append((i, before + " " + part + " " + prose(r, 60)))
+        return len(before) + 1
+
+    for p in range(40):
+        passage = prose(r, 51)
+        if p % 4 < 2:
+            data = passage.encode()
+            ends = substring.chunk_ends(data, table)
+            # the words around a middle chunk, so that its ends are found again
+            lo, hi = (int(ends[k]) for k in (len(ends) // 2 - 2, len(ends) // 2 + 1))
+            part = data[lo:hi].decode()
+        else:
+            part = " ".join(passage.split()[:26])
+        first, third = 1000 * p + 10, 1000 * p + (5 if p % 2 else 20)
+        put(third, part)
+        for i in (first, first + 1):
+            at = put(i, passage)
+            want[i] = (at, at + len(passage))
+    out = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    found = {s.doc_id: s for s in out if s.doc_id in want}
+    assert set(found) == set(want) and len([s for s in out if s.doc_id in want]) == len(want)
+    for i, s in found.items():
+        a, b = want[i]
+        assert a - 3 <= s.start < s.end <= b + 3 and s.end - s.start > 0.6 * (b - a)
+
+
 def test_spans_do_repeat(spark, sf_dir):
     df = documents(spark, sf_dir.replace("0.001", "0.01"))
     text = {r.doc_id: r.text for r in df.collect()}

@@ -9,15 +9,20 @@ repeats a few bytes has no such place and is cut every ``MOST`` bytes. Ends are
 moved to the next character.
 
 A chunk is known by a 64-bit digest. Digests found in two or more documents are
-duplicates; per document, neighbouring duplicate chunks whose first or last
-other document is the same form a span, and spans of at least ``MIN_WORDS`` words are
-reported. A passage of over 50 words holds several whole chunks in every
-document that has it; a few chunks that agree by chance do not get there.
+duplicates; per document, neighbouring duplicate chunks form a span if their
+first or last other document is the same, or if the two stand side by side in
+another document too, whoever else has one of them. Spans of at least
+``MIN_WORDS`` words are reported. A passage of over 50 words holds several whole
+chunks in every document that has it; a few chunks that agree by chance do not
+get there.
 
 Chunks are written once, in the shared folder. Per digest only the smallest
 and largest document id are gathered (pre-aggregated, so a passage of a third
 of all documents is no large group); duplicate digests are joined back, a join
-that the adaptive planner may split, and what is left meets by document.
+that the adaptive planner may split, and what is left meets by document. Pairs of
+neighbours are gathered in the same way, of duplicate chunks only, and not where
+the first and the last document of both agree: every document then sees one of
+the two as another.
 """
 
 from __future__ import annotations
@@ -142,11 +147,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, near: int = N
     shared = parts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     met = parts.join(shared, "digest").repartition("doc_id").dropDuplicates(["doc_id", "n", "digest"])
     order = Window.partitionBy("doc_id").orderBy("n", "digest")
-    before = [F.lag(c).over(order) for c in ("n", "first", "last")]
+    before = [F.lag(c).over(order) for c in ("n", "first", "last", "digest")]
+    beside = F.coalesce(F.col("n") - before[0] <= 1, F.lit(False))
     # the same other document before and here
     same = [(F.col(c) == b) & (F.col(c) != F.col("doc_id")) for c, b in zip(("first", "last"), before[1:])]
-    goes_on = (F.col("n") - before[0] <= 1) & (same[0] | same[1])
-    spans = met.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
+    both = (F.col("first") == before[1]) & (F.col("last") == before[2])
+    met = met.select("*", beside.alias("beside"), (beside & (same[0] | same[1])).alias("goes_on"), (beside & ~both).alias("mixed"), before[3].alias("prior"))
+    met = stored(met.drop("last"))
+    pairs = met.filter("mixed").groupBy("prior", "digest").agg((F.min("doc_id") < F.max("doc_id")).alias("met")).filter("met")
+    asked = met.filter("beside AND NOT goes_on").join(pairs, ["prior", "digest"], "left").withColumn("goes_on", F.col("met").isNotNull())
+    columns = ["doc_id", "n", "start", "end", "digest", "n_words", "first", "goes_on"]
+    met = met.filter("goes_on OR NOT beside").select(columns).unionByName(asked.select(columns))
+    spans = met.withColumn("new", F.when(F.col("goes_on"), 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
     spans = spans.groupBy("doc_id", "span").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.max("first").alias("keep_id")
     )
