@@ -62,11 +62,23 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies one row stays, of the smallest id; ids
+    that are null come last. Rows count one by one, also where ids repeat."""
     docs = _documents(docs)
-    out = simhash.near_duplicates(docs)
-    gone = out.filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.expr("doc_id <=> gone_id"), "left_anti")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    # 128 bits of id and text; a null id adds nothing to a hash
+    has_id = F.col("doc_id").isNotNull()
+    keys = {"key_a": F.xxhash64(has_id, "doc_id", text), "key_b": F.xxhash64(F.lit("b"), has_id, "doc_id", text)}
+    out = stored(simhash.near_copies(docs.select("doc_id", text, *[k.alias(c) for c, k in keys.items()]), [*keys]))
+    gone = out.filter("NOT top").select(*keys).distinct()
+    docs = docs.withColumns(keys)
+    # rows of one id and text, where that is what stays
+    again = out.filter("top").groupBy(*keys).count().filter("count > 1").select(*keys)
+    rows = docs.join(gone, [*keys], "left_anti")
+    if again.isEmpty():
+        return rows.select(*COLUMNS)
+    one = docs.join(again, [*keys], "left_semi").groupBy(*keys).agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return rows.join(again, [*keys], "left_anti").select(*COLUMNS).unionByName(one.select("row.*"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

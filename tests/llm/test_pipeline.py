@@ -77,3 +77,35 @@ def test_dirty(spark, sf_dir, name):
         assert out.groupBy("doc_id", "text").count().filter("count > 1").count() == 0
     if name == "mask_secrets":
         assert out.count() == dirty(spark).count()
+
+
+def test_near_dedup_by_row(spark, sf_dir):
+    """Null and repeated ids: one row of each component of fingerprints stays,
+    of the smallest id, null ids last; all others stay."""
+    words = "amber basil cedar delta ember fjord grove heron inlet jetty knoll larch maple north ocean pearl quill raven slate thorn".split()
+    fresh = lambda k: " ".join(words[(k * 7 + i * (k + 1) + i * i) % 20] + str(k * i % 9) for i in range(80))
+    base = [fresh(k) for k in range(9)]
+    near = lambda k: base[k].upper()  # noqa: E731  the same fingerprint
+    rows = [
+        (1, base[0]), (None, near(0)),  # the null id goes
+        (None, base[1]),  # alone: stays
+        (7, base[2]), (3, near(2)), (7, base[3]),  # id 7 stays with its other text
+        (None, base[4]), (None, near(4)),  # one stays
+        (5, base[5]), (5, near(5)),  # one stays
+        (6, base[6]), (6, base[6]),  # one stays
+        (None, base[7]), (None, base[7]), (None, base[7]), (8, base[8]),
+        (5, base[8] + " of"),
+    ]
+    prints = [brute_simhash(t) for _, t in rows]
+    pairs = [(a, b) for a, x in enumerate(prints) for b, y in enumerate(prints[:a]) if (x ^ y).bit_count() <= 4]
+    roots = brute_components(range(len(rows)), pairs)
+    groups = defaultdict(list)
+    for k, (doc, text) in enumerate(rows):
+        groups[roots[k]].append(doc)
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], pipeline.SCHEMA).repartition(4)
+    got = defaultdict(list)
+    for r in pipeline.near_dedup(spark, df, sf_dir).collect():
+        k = next(k for k, (d, t) in enumerate(rows) if (d, t) == (r.doc_id, r.text))
+        got[roots[k]].append(r.doc_id)
+    assert len(groups) >= 9
+    assert dict(got) == {g: [min(ids, key=lambda d: (d is None, d or 0))] for g, ids in groups.items()}

@@ -61,16 +61,18 @@ def simhash(parts: list[bytes], seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp long`` per row of ``doc_id, text``."""
+    """``doc_id, fp long`` per row of ``doc_id, text``; other columns, all of
+    type long, stay."""
+    others = [c for c in docs.columns if c != "text"]
 
     def make():
         def work(batch):
             fps = [simhash(shingles(t, width), seed) for t in raw(batch, "text")]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(fps, pa.int64())], [*others, "fp"])
 
         return work
 
-    return map_slices(docs, make, "doc_id long, fp long")
+    return map_slices(docs, make, ", ".join(f"{c} long" for c in [*others, "fp"]))
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -203,3 +205,19 @@ def near_duplicates(
     whole = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     # stored, so that the join is between two plain shuffles and a large group of copies may be split
     return prints.join(cut_lineage(whole), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, keys: list[str], width: int = WIDTH, max_bits: int = MAX_BITS, seed: int = SEED, posting: int = POSTING) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id, text`` without nulls, and
+    ``keys``, longs that tell its rows apart): ``keys`` and ``top``, whether the
+    row is the one of its component that stays: of the smallest id, null ids
+    last, then of the least keys. Rows equal in id and keys are all top or none."""
+    prints = cut_lineage(fingerprints(docs, width, seed))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min(rank).alias("best")))
+    roots = components(links(distinct.select("fp"), max_bits, posting))
+    linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "best")
+    owner = linked.groupBy("root").agg(F.min("best").alias("owner"))
+    of_fp = linked.select("fp", "root").join(owner, "root").select("fp", "owner")
+    whole = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("owner", "best").alias("best"))
+    return prints.join(cut_lineage(whole), "fp").select(*keys, (rank == F.col("best")).alias("top"))
