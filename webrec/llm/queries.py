@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webrec.llm import bpe, chat, exact, langid, line_quality, main_text, packing, secrets, simhash, substring
+from webrec.llm import bpe, chat, codebooks, collocations, exact, langid, line_quality, main_text, packing, secrets, simhash, substring, tiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op7_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return codebooks.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_near_vectors(spark, sf_dir):
+    return tiles.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -114,11 +126,99 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
 FROM base
 """.replace("{max_docs}", str(line_quality.MAX_DOCS))
 
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), counts AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase
+    FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM pieces, range(1, 4) t(size))
+  ) GROUP BY lang, size, phrase
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size >= 2 AND f >= 10
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS first_part, array_to_string(w[k + 1 :], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first_part JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_pairs AS (
+  SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS held
+  FROM (SELECT lang, w, a, unnest(range(1, size)) AS i FROM candidates WHERE size = 3) GROUP BY ALL
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inner_pairs p USING (lang, phrase) WHERE p.held IS NULL OR 100 * p.held < 50 * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+OP12_SQL = r"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rid,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT rid, p, v[p * d + 1 : p * d + d] AS v FROM (SELECT rid, v, len(v) // 16 AS d, unnest(range(0, 16)) AS p FROM kept)
+), book0 AS (
+  SELECT p, rid - 1 AS e, v FROM parts WHERE rid <= 64
+), near0 AS (
+  SELECT x.rid, x.p, arg_min(b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + b.e) AS e
+  FROM parts x JOIN book0 b USING (p) GROUP BY x.rid, x.p
+), book1 AS (
+  SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM book0 b LEFT JOIN (
+    SELECT p, e, list(floor(s / c) ORDER BY i) AS v FROM (
+      SELECT p, e, i, sum(x) AS s, count(*) AS c FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near0 JOIN parts USING (rid, p)) GROUP BY p, e, i
+    ) GROUP BY p, e) n USING (p, e)
+), near1 AS (
+  SELECT x.rid, x.p, arg_min(b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + b.e) AS e
+  FROM parts x JOIN book1 b USING (p) GROUP BY x.rid, x.p
+), book2 AS (
+  SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM book1 b LEFT JOIN (
+    SELECT p, e, list(floor(s / c) ORDER BY i) AS v FROM (
+      SELECT p, e, i, sum(x) AS s, count(*) AS c FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near1 JOIN parts USING (rid, p)) GROUP BY p, e, i
+    ) GROUP BY p, e) n USING (p, e)
+), near2 AS (
+  SELECT x.rid, x.p, CAST(min(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + b.e) AS BIGINT) AS best
+  FROM parts x JOIN book2 b USING (p) GROUP BY x.rid, x.p
+), coded AS (
+  SELECT rid, string_agg(lower(format('{:02x}', best % 256)), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM near2 GROUP BY rid
+), rows AS (
+  SELECT k.vec_id, k.label, c.code, c.error FROM kept k JOIN coded c USING (rid)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM book2)) AS codebooks_sha256
+FROM rows
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE good AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v,
+         embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), links AS (
+  SELECT a.rid AS x, b.rid AS y FROM good a JOIN good b ON a.rid <> b.rid AND len(a.v) = len(b.v) AND a.ok AND b.ok AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(rid, other) AS (
+  SELECT rid, rid FROM good UNION SELECT r.rid, l.y FROM reach r JOIN links l ON l.x = r.other
+), least AS (
+  SELECT r.rid, min(g.vec_id) AS component_id FROM reach r JOIN good g ON g.rid = r.other GROUP BY r.rid
+)
+SELECT g.vec_id, (SELECT count(*) FROM links l WHERE l.x = g.rid) AS n_links, c.component_id, g.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM good g JOIN least c USING (rid)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_harmonic_packing, op2_simhash, op3_secret_scan, op4_exact_dedup, op5_chat_format, op6_main_text, op7_bpe, op8_language_id, op9_line_quality,
-        op10_repeated_passages,
+        op10_repeated_passages, op11_collocations, op12_vector_codes, op13_near_vectors,
     )
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_line_quality": OP9_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_line_quality": OP9_SQL} | {
+    "op11_collocations": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_near_vectors": OP13_SQL,
+}
