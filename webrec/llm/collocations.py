@@ -2,20 +2,19 @@
 
 Every n-gram gets a 64-bit fingerprint from prefix polynomials in numpy: one
 over the bytes of a block gives the words', one over the words' values gives
-all n-grams', each by one subtraction. The job reads the texts three times:
-
-1. fingerprints of words and word pairs are counted; a bitmap of fixed size
-   marks where a frequent one stands (``SLOT_BITS``; it may mark too many,
-   never too few).
-2. Fingerprints that may be frequent (an n-gram only where all its pairs may
-   be) are counted again with a second polynomial, modulo a prime, as check,
-   and with pointers (hash of the text, byte offset) to their first and last
-   occurrence in hash order. Both polynomials are the key, so a collision of
-   fingerprints counts apart.
-3. Frequent ones are materialised: pointers meet the texts, both occurrences
-   are read, hashed again and compared. Two texts under one pointer hash are
-   told apart by this; two phrases under one key fail the job (another seed
-   parts them), they never add up.
+all n-grams', each by one subtraction. The texts are read in turn to
+
+1. count fingerprints, of words and pairs, then of n-grams whose two parts one
+   word shorter may be frequent. A bitmap of fixed size marks where a frequent
+   one stands (``SLOT_BITS``): it may mark too many, never too few.
+2. count those marked again with a second polynomial, modulo a prime, as check,
+   and with pointers (hash of language and text, byte offset) to their first
+   and last occurrence in hash order. Both polynomials are the key, so a
+   collision of fingerprints counts apart.
+3. materialise the frequent ones: pointers meet the texts, both occurrences are
+   read, hashed again and compared. Two texts under one pointer are told apart
+   by this; two phrases under one key fail the job (another seed parts them),
+   they never add up.
 
 What follows joins frequent phrases only.
 """
@@ -37,11 +36,15 @@ MIN_COUNT = 10
 TOP = 2000
 SEED = 42
 UNKNOWN = "und"
+#: In place of the check, for the phrase of no words.
+WHOLE = -1
 #: The bitmap has two to this power bits: 8 MB, however many phrases there are.
 SLOT_BITS = 26
+#: Bits of the fingerprints that are counted for it; sums of several only mark more.
+COUNTED_BITS = 40
 #: Bytes hashed at once, and n-grams held before they are counted and go on.
-BLOCK = 1 << 20
-HELD = 1 << 21
+BLOCK = 1 << 18
+HELD = 1 << 19
 
 PRIME = np.int64((1 << 31) - 1)
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -202,6 +205,8 @@ class Marks:
 def _counted(fp: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
     """Distinct (fingerprint, check), how often each occurs, and the first
     occurrence's further columns."""
+    if not len(fp):
+        return [fp, np.empty(0, np.int64), *others]
     if not others:
         fp = np.sort(fp)
         first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
@@ -215,21 +220,29 @@ def _counted(fp: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
     return [f[first], np.diff(np.append(first, len(f))), *(o[order[first]] for o in others)]
 
 
-def _fingerprints(poly_of, max_words: int):
-    """First reading: (fingerprint, count) of words and pairs."""
+def _fingerprints(poly_of, max_words: int, n: int, marks_of):
+    """(first bits of the fingerprint, count) of words and pairs, or of n-grams
+    that the marks of their parts leave."""
+    widths = [k for k in (1, 2) if k <= max_words] if n == 2 else [n - 1, n]
 
     def make():
-        poly, held = poly_of(), []
+        poly, marks, held = poly_of(), marks_of() if n > 2 else None, []
 
         def flush():
-            fp, n = _counted(np.concatenate(held), [])
+            fp, count = _counted(np.concatenate(held) >> U(64 - COUNTED_BITS), [])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n)], ["fp", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(count)], ["fp", "n"])
 
         def work(batch):
             salts = batch.column("salt").to_numpy().view(U)
-            for found, _ in _grams(poly, raw(batch, "text"), salts, [n for n in (1, 2) if n <= max_words], max_words, False):
-                held.extend(fp[new] for _, new, _, _, fp in found.values())
+            for found, n_words in _grams(poly, raw(batch, "text"), salts, widths, max_words, False):
+                if n == 2:
+                    held.extend(fp[new] for _, new, _, _, fp in found.values())
+                else:
+                    may = np.zeros(n_words + 1, bool)
+                    may[found[n - 1][0]] = marks.has(found[n - 1][4])
+                    at, new, _, _, fp = found[n]
+                    held.append(fp[new & may[at] & may[at + 1]])
                 if sum(map(len, held)) >= HELD:
                     yield flush()
 
@@ -239,55 +252,39 @@ def _fingerprints(poly_of, max_words: int):
 
 
 def _pointers(poly_of, max_words: int, marks_of):
-    """Second reading: counts, checks and pointers of what may be frequent."""
-    names = ["lang", "words", "fp", "checked", "n", "text_key", "at"]
+    """Counts, checks and pointers of what is marked. ``place`` holds the
+    offset and the number of words."""
+    names = ["fp", "checked", "n", "text_key", "place"]
 
     def make():
-        poly, marks, held, total = poly_of(), marks_of(), {}, {}
+        poly, marks, held, total = poly_of(), marks_of(), [], {}
 
         def flush():
-            for (lang, n), parts in held.items():
-                fp, check, key, at = (np.concatenate(x) for x in zip(*parts))
-                fp, count, check, key, at = _counted(fp, [check, key, at])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(fp)), pa.array(np.full(len(fp), n, np.int32)), *map(pa.array, (fp.view(np.int64), check, count, key, at))], names
-                )
-            held.clear()
+            if held:
+                fp, check, key, place = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                fp, count, check, key, place = _counted(fp, [check, key, place])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (fp.view(np.int64), check, count, key, place))], names)
 
         def work(batch):
-            texts, langs = raw(batch, "text"), batch.column("lang").to_pylist()
-            salts, keys = batch.column("salt").to_numpy().view(U), batch.column("text_key").to_numpy()
-            kinds = sorted(set(langs))
-            kind = np.array([kinds.index(x) for x in langs])
-            for found, n_words in _grams(poly, texts, salts, list(range(1, max_words + 1)), max_words, True):
-                may = np.zeros(n_words + 1, bool)  # a marked pair starts at this word
-                for n, (at, new, text, offset, fp, check) in found.items():
+            salts, keys = batch.column("salt").to_numpy(), batch.column("text_key").to_numpy()
+            for found, _ in _grams(poly, raw(batch, "text"), salts.view(U), list(range(1, max_words + 1)), max_words, True):
+                for n, (_, new, text, offset, fp, check) in found.items():
                     if n == 1:
-                        size = np.bincount(kind[text[new]], minlength=len(kinds))
-                        for k, name in enumerate(kinds):
-                            total[name] = total.get(name, 0) + int(size[k])
-                    if n <= 2:
-                        good = marks.has(fp)
-                        if n == 2:
-                            may[at[good]] = True
-                    else:
-                        good = may[at].copy()
-                        for k in range(1, n - 1):
-                            good &= may[at + k]
-                    good &= new
-                    text, offset, fp, check = text[good], offset[good], fp[good], check[good]
-                    for k in np.unique(kind[text]):
-                        of = kind[text] == k
-                        held.setdefault((kinds[k], n), []).append((fp[of], check[of], keys[text[of]], offset[of]))
-                if sum(len(p[0]) for x in held.values() for p in x) >= HELD:
+                        size = np.bincount(text[new], minlength=len(keys))
+                        for k in np.flatnonzero(size).tolist():
+                            words, key = total.get(salts[k], (0, 0))
+                            total[salts[k]] = words + int(size[k]), int(keys[k])
+                    good = new & marks.has(fp)
+                    held.append((fp[good], check[good], keys[text[good]], offset[good] * (max_words + 1) + n))
+                if sum(len(x[0]) for x in held) >= HELD:
                     yield from flush()
 
         def end():
             yield from flush()
-            # all words of a language, as the count of the phrase of no words
-            zero = [0] * len(total)
-            kinds = [pa.string(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[*total], zero, zero, zero, [*total.values()], zero, zero], kinds)], names)
+            # all words of a language: the count of the phrase of no words
+            cols = [[*total], [WHOLE] * len(total), [w for w, _ in total.values()], [k for _, k in total.values()], [0] * len(total)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
         return work, end
 
@@ -308,7 +305,7 @@ def _stream(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _materialise(rows: DataFrame, poly_of) -> DataFrame:
+def _materialise(rows: DataFrame, poly_of, max_words: int) -> DataFrame:
     """Phrases at the pointers of each text, where they hash to their key."""
 
     def make():
@@ -317,27 +314,27 @@ def _materialise(rows: DataFrame, poly_of) -> DataFrame:
         def work(batch):
             out = {c: [] for c in ("lang", "words", "fp", "checked", "n", "salt")}
             lines = []
-            for text, pointers in zip(raw(batch, "text"), batch.column("pointers").to_pylist()):
+            for lang, salt, text, pointers in zip(*(batch.column(c).to_pylist() for c in ("lang", "salt")), raw(batch, "text"), batch.column("pointers").to_pylist()):
                 text = text.translate(LOWER)
                 for p in pointers:
-                    n = p["words"]
+                    at, n = divmod(p["place"], max_words + 1)
                     if n not in patterns:
-                        patterns[n] = re.compile(WORD + rb"(?:[ \t]+" + WORD + rb"){%d}" % (n - 1))
-                    if hit := patterns[n].match(text, p["at"]):
+                        patterns[n] = re.compile(WORD + rb"(?:[ \t]+" + WORD + rb"){%d}" % (n - 1) if n else b"")
+                    if hit := patterns[n].match(text, at):
                         lines.append(b" ".join(re.findall(WORD, hit[0])))
-                        for c in out:
-                            out[c].append(p[c])
+                        for c, v in zip(out, (lang, n, p["fp"], p["checked"], p["n"], salt)):
+                            out[c].append(v)
             if not lines:
                 return None
             b = np.frombuffer(b"\n".join(lines), np.uint8)
             starts, ends, _ = poly.words(b)
             prefixes = poly.values(b, starts, ends, True)
-            words, salts = np.array(out["words"]), np.array(out["salt"], np.int64).view(U)
-            first, same = np.concatenate([[0], np.cumsum(words)[:-1]]), np.zeros(len(lines), bool)
-            for n in np.unique(words):
+            words, fp, checked, salt = np.array(out["words"]), *(np.array(out[c], np.int64) for c in ("fp", "checked", "salt"))
+            first, same = np.concatenate([[0], np.cumsum(words)[:-1]]), (checked == WHOLE) & (fp == salt)
+            for n in np.unique(words[words > 0]):
                 of = np.flatnonzero(words == n)
-                fp, check = poly.grams(prefixes, int(n), first[of], salts[of])
-                same[of] = (fp.view(np.int64) == np.array(out["fp"])[of]) & (check == np.array(out["checked"])[of])
+                f, c = poly.grams(prefixes, int(n), first[of], salt[of].view(U))
+                same[of] = (f.view(np.int64) == fp[of]) & (c == checked[of])
             cols = [pa.array(out["lang"], pa.string()), pa.array(words, pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("fp", "checked", "n"))]
             got = pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.binary()).cast(pa.string())], ["lang", "words", "fp", "checked", "n", "phrase"])
             return got.filter(pa.array(same))
@@ -347,50 +344,53 @@ def _materialise(rows: DataFrame, poly_of) -> DataFrame:
     return map_slices(rows, make, "lang string, words int, fp long, checked long, n long, phrase string")
 
 
+def _marked(counted: DataFrame, min_count: int, bitmap: np.ndarray, slot_bits: int) -> None:
+    """Marks what is frequent; 2 ** (slot_bits - 6) rows at most reach the driver."""
+    slot = f"shiftrightunsigned(fp, {COUNTED_BITS - slot_bits})"
+    often = counted.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    words = often.groupBy(F.expr(f"shiftright({slot}, 6)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({slot} & 63 AS INT)))").alias("bit")).toArrow()
+    bitmap[words["word"].to_numpy()] |= words["bit"].to_numpy().view(U)
+
+
 def frequent_phrases(
     docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, seed: int = SEED, bits: int = 64, slot_bits: int = SLOT_BITS,
     text_col: str = "text", lang_col: str = "lang",
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """``lang, words, phrase, n``: phrases of 1 to ``max_words`` words that
-    occur at least ``min_count`` times in texts of a language, and ``lang, n``:
-    all words of each. Memory: blocks of ``BLOCK`` bytes, a longest word, and
-    the pointers into one text, which are fewer than its words."""
+    occur at least ``min_count`` times in texts of a language; the phrase of no
+    words has the number of all words. Memory: blocks of ``BLOCK`` bytes, a
+    longest word, and the pointers into one text, which are fewer than its words."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang")
-    rows = docs.select(lang, text).select("lang", "text", F.xxhash64("lang").alias("salt"), F.xxhash64("text").alias("text_key"))
+    rows = docs.select(lang, text).select("lang", "text", F.xxhash64("lang").alias("salt"), F.xxhash64("lang", "text").alias("text_key"))
 
     def poly_of():
         return Polynomials(seed, bits)
 
-    counted = _stream(rows.select("text", "salt"), _fingerprints(poly_of, max_words), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
-    slot = F.shiftrightunsigned("fp", 64 - slot_bits)
-    bit = F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(fp, {64 - slot_bits}) & 63 AS INT)))").alias("bit")
-    marked = counted.filter(F.col("n") >= min_count).groupBy(F.shiftright(slot, 6).alias("word")).agg(bit).toArrow()  # 2 ** (slot_bits - 6) rows at most
     bitmap = np.zeros(1 << (slot_bits - 6), U)
-    bitmap[marked["word"].to_numpy()] = marked["bit"].to_numpy().view(U)
+    for n in range(2, max(max_words, 2) + 1):
+        shared = spark.sparkContext.broadcast(bitmap)  # of fixed size
+        _marked(_stream(rows.select("text", "salt"), _fingerprints(poly_of, max_words, n, lambda s=shared: Marks(s.value, slot_bits)), "fp long, n long"), min_count, bitmap, slot_bits)
     shared = spark.sparkContext.broadcast(bitmap)
-
-    key = ["lang", "words", "fp", "checked"]
     found = _stream(
-        rows, _pointers(poly_of, max_words, lambda: Marks(shared.value, slot_bits)), "lang string, words int, fp long, checked long, n long, text_key long, at long"
-    ).groupBy(*key).agg(
+        rows.select("text", "salt", "text_key"), _pointers(poly_of, max_words, lambda: Marks(shared.value, slot_bits)), "fp long, checked long, n long, text_key long, place long"
+    ).groupBy("fp", "checked").agg(
         F.sum("n").alias("n"),
-        F.min("text_key").alias("key_0"), F.min_by("at", "text_key").alias("at_0"), F.max("text_key").alias("key_1"), F.max_by("at", "text_key").alias("at_1"),
+        F.min("text_key").alias("key_0"), F.min_by("place", "text_key").alias("place_0"), F.max("text_key").alias("key_1"), F.max_by("place", "text_key").alias("place_1"),
     )
-    found = stored(found.filter((F.col("words") == 0) | (F.col("n") >= min_count)))
-    often = found.filter("words > 0").withColumn("salt", F.xxhash64("lang"))
-    both = F.array(*[F.struct(F.col(f"key_{k}").alias("text_key"), F.col(f"at_{k}").alias("at")) for k in (0, 1)])
-    pointer = F.struct(*key, "n", "salt", "at").alias("pointer")
-    wanted = often.select(*key, "n", "salt", F.inline(F.array_distinct(both))).groupBy("text_key").agg(F.collect_list(pointer).alias("pointers"))
-    nth = F.row_number().over(Window.partitionBy("text_key").orderBy("text"))  # copies: one is enough
-    once = rows.select("text_key", "text", nth.alias("nth")).filter("nth = 1")
-    read = _materialise(once.join(wanted, "text_key").select("text", "pointers"), poly_of)
-    phrases = read.groupBy(*key, "n").agg(F.min("phrase").alias("phrase"), F.max("phrase").alias("other"))
+    often = stored(found.filter((F.col("checked") == WHOLE) | (F.col("n") >= min_count)))
+    both = F.array(*[F.struct(F.col(f"key_{k}").alias("text_key"), F.col(f"place_{k}").alias("place")) for k in (0, 1)])
+    pointer = F.struct("fp", "checked", "n", "place").alias("pointer")
+    wanted = often.select("fp", "checked", "n", F.inline(F.array_distinct(both))).groupBy("text_key").agg(F.collect_list(pointer).alias("pointers"))
+    nth = F.row_number().over(Window.partitionBy("text_key", F.crc32("text")).orderBy("lang"))  # copies: one is enough
+    once = rows.select("*", nth.alias("nth")).filter("nth = 1")
+    read = _materialise(once.join(wanted, "text_key").select("lang", "salt", "text", "pointers"), poly_of, max_words)
+    phrases = read.groupBy("fp", "checked", "lang", "words", "n").agg(F.min("phrase").alias("phrase"), F.max("phrase").alias("other"))
     one = F.when(F.col("phrase") == F.col("other"), F.col("phrase")).otherwise(
         F.raise_error(F.format_string("two phrases have one fingerprint and check: %s, %s; pass another seed", "phrase", "other"))
     )
-    return stored(phrases.select("lang", "words", one.alias("phrase"), "n")), found.filter("words = 0").select("lang", "n")
+    return stored(phrases.select("lang", "words", one.alias("phrase"), "n"))
 
 
 def _part(start: Column, size: Column) -> Column:
@@ -415,7 +415,8 @@ def collocations(
     A null text is empty, a null language ``und``; repeated rows count each
     time; an empty table gives no rows; other columns are not read. Products
     are decimals of 38 digits, enough for counts up to 10**15."""
-    phrases, totals = frequent_phrases(docs, max_words, min_count, seed, bits, slot_bits, text_col, lang_col)
+    phrases = frequent_phrases(docs, max_words, min_count, seed, bits, slot_bits, text_col, lang_col)
+    totals = phrases.filter("words = 0").select("lang", "n")
     counts = phrases.select("lang", "phrase", "n")
     word = F.split("phrase", " ")
     candidates = phrases.filter("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), word.alias("word"))
