@@ -43,8 +43,8 @@ SLOT_BITS = 26
 #: Bits of the fingerprints that are counted for it; sums of several only mark more.
 COUNTED_BITS = 40
 #: Bytes hashed at once, and n-grams held before they are counted and go on.
-BLOCK = 1 << 18
-HELD = 1 << 19
+BLOCK = 1 << 16
+HELD = 1 << 17
 
 PRIME = np.int64((1 << 31) - 1)
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -300,6 +300,7 @@ def _stream(df: DataFrame, make, schema: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 yield from work(batch.slice(at, 512))
+            batch = None  # freed before the next one is read
         yield from end()
 
     return df.mapInArrow(run, schema)
