@@ -42,6 +42,8 @@ WHOLE = -1
 SLOT_BITS = 26
 #: Bits of the fingerprints that are counted for it; sums of several only mark more.
 COUNTED_BITS = 40
+#: Bits of a text's pointer; texts that share one are all read.
+KEY_BITS = 40
 #: Bytes hashed at once, and n-grams held before they are counted and go on.
 BLOCK = 1 << 16
 HELD = 1 << 17
@@ -364,7 +366,7 @@ def frequent_phrases(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang")
-    rows = docs.select(lang, text).select("lang", "text", F.xxhash64("lang").alias("salt"), F.xxhash64("lang", "text").alias("text_key"))
+    rows = docs.select(lang, text).select("lang", "text", F.xxhash64("lang").alias("salt"), F.shiftrightunsigned(F.xxhash64("lang", "text"), 64 - KEY_BITS).alias("text_key"))
 
     def poly_of():
         return Polynomials(seed, bits)
@@ -384,9 +386,9 @@ def frequent_phrases(
     both = F.array(*[F.struct(F.col(f"key_{k}").alias("text_key"), F.col(f"place_{k}").alias("place")) for k in (0, 1)])
     pointer = F.struct("fp", "checked", "n", "place").alias("pointer")
     wanted = often.select("fp", "checked", "n", F.inline(F.array_distinct(both))).groupBy("text_key").agg(F.collect_list(pointer).alias("pointers"))
-    nth = F.row_number().over(Window.partitionBy("text_key", F.crc32("text")).orderBy("lang"))  # copies: one is enough
-    once = rows.select("*", nth.alias("nth")).filter("nth = 1")
-    read = _materialise(once.join(wanted, "text_key").select("lang", "salt", "text", "pointers"), poly_of, max_words)
+    # copies become one before they travel
+    once = rows.groupBy("text_key").agg(F.collect_set(F.struct("lang", "salt", "text")).alias("texts"))
+    read = _materialise(once.join(wanted, "text_key").select(F.inline("texts"), "pointers"), poly_of, max_words)
     phrases = read.groupBy("fp", "checked", "lang", "words", "n").agg(F.min("phrase").alias("phrase"), F.max("phrase").alias("other"))
     one = F.when(F.col("phrase") == F.col("other"), F.col("phrase")).otherwise(
         F.raise_error(F.format_string("two phrases have one fingerprint and check: %s, %s; pass another seed", "phrase", "other"))
