@@ -370,10 +370,21 @@ def itemprop_address(html: Column) -> Column:
 CITY_LINE = r"(.+?),\s*([A-Za-z .'\-]+)\s*(?:([A-Z]{2}))?\s*(\d{4,6})?"
 
 
-def html_address(html: Column | str, ld: Column, fallback_country: str = "") -> Column:
+def plain_text(html: Column | str) -> Column:
+    """Text of the page without scripts and styles."""
+    return _tags_to_text(drop_raw(text(html)))
+
+
+def has_address(address: Column) -> Column:
+    """More than a country."""
+    return any_of([filled(address[f]) for f in ("street", "city", "region", "postal")])
+
+
+def html_address(html: Column | str, ld: Column, fallback_country: Column | str = "") -> Column:
     """Struct street, city, region, postal, country: JSON-LD, else the first
     itemprop=address block split by a simple pattern, else the fallback."""
     full = _tags_to_text(itemprop_address(text(html)))
+    country = F.lit(fallback_country) if isinstance(fallback_country, str) else fallback_country
 
     def build(v):
         d, line = v["ld"], v["line"]
@@ -388,7 +399,7 @@ def html_address(html: Column | str, ld: Column, fallback_country: str = "") ->
             pick("addressLocality", m[0]).alias("city"),
             pick("addressRegion", F.coalesce(blank_to_null(m[2]), m[1])).alias("region"),
             pick("postalCode", m[3]).alias("postal"),
-            first_of(d["addressCountry"], F.lit(fallback_country)).alias("country"),
+            first_of(d["addressCountry"], country).alias("country"),
         )
 
     return let(F.struct(ld.alias("ld"), full.alias("line")), build)

@@ -98,27 +98,55 @@ class _Matcher:
                     return False
         return True
 
-    def hits(self, alternatives) -> list[int]:
-        """Matching nodes in page order. Going down the page, every node
-        carries how far each alternative has got above it, so the work is one
-        test per node and compound whatever the depth."""
-        found: set[int] = set()
-        tree = self.tree
-        for steps in alternatives:
-            above: list[int] = []  # per node: bits of the compounds met at or above it
-            here: list[int] = []  # per node: bits of the compounds met at it
-            goal = 1 << (len(steps) - 1)
-            for k, p in enumerate(tree.parent):
-                over, own = (above[p], here[p]) if p >= 0 else (0, 0)
-                bits = 0
-                for i, (tests, link) in enumerate(steps):
-                    if (i == 0 or (over if link == " " else own) >> (i - 1) & 1) and self.fits(k, tests):
-                        bits |= 1 << i
-                if bits & goal:
-                    found.add(k)
-                here.append(bits)
-                above.append(over | bits)
-        return sorted(found)
+    def hits_all(self, compiled: Mapping[str, list]) -> dict[str, list[int]]:
+        """Matching nodes of every selector, in page order, from one walk down
+        the page. Each compound of each selector is a bit; a node carries the
+        bits met at it and at or above it, so depth costs nothing. A compound
+        is filed under one thing it asks for (id, class, attribute or tag), so
+        a node is tested only against those it may fit."""
+        tree, steps, goals = self.tree, [], {}
+        filed: dict[tuple[str, str], list[int]] = {}
+        words = set()
+        for name, alternatives in compiled.items():
+            for chain in alternatives:
+                for i, (tests, link) in enumerate(chain):
+                    rank = {"id": 0, "class": 1, "tag": 3, "place": 4}
+                    kind, word, _ = min(tests, key=lambda t: rank.get(t[0], 2))
+                    kind = kind if kind in rank else "attr"
+                    key = ("tag", "*") if kind == "place" else (kind, word)
+                    if kind in ("id", "class", "attr"):
+                        words.add(word)
+                    filed.setdefault(key, []).append(len(steps))
+                    steps.append((tests, link if i else "", len(steps) - 1))
+                goals.setdefault(len(steps) - 1, []).append(name)
+        found: dict[str, list[int]] = {name: [] for name in compiled}
+        may = re.compile("|".join(map(re.escape, sorted(words))), re.I) if words else None
+        goal = sum(1 << b for b in goals)
+        attributes = {w for k, w in filed if k == "attr"}
+        everywhere = filed.get(("tag", "*"), [])
+        above, here = [], []
+        for k, p in enumerate(tree.parent):
+            over, own = (above[p], here[p]) if p >= 0 else (0, 0)
+            asked = [*everywhere, *filed.get(("tag", tree.tag[k]), ())]
+            if may and may.search(tree._source[k]):
+                attrs = tree.attrs(k)
+                for c in dict.fromkeys(attrs.get("class", "").split()):
+                    asked += filed.get(("class", c), ())
+                if "id" in attrs:
+                    asked += filed.get(("id", attrs["id"]), ())
+                for a in attributes & attrs.keys():
+                    asked += filed.get(("attr", a), ())
+            bits = 0
+            for b in asked:
+                tests, link, before = steps[b]
+                if (not link or (over if link == " " else own) >> before & 1) and self.fits(k, tests):
+                    bits |= 1 << b
+            if bits & goal:
+                for name in dict.fromkeys(n for b, names in goals.items() if bits >> b & 1 for n in names):
+                    found[name].append(k)
+            here.append(bits)
+            above.append(over | bits)
+        return found
 
 
 def select_html(html: str, compiled: Mapping[str, list], parts: Sequence[str] = ("text", "attrs", "html")) -> dict:
@@ -126,7 +154,7 @@ def select_html(html: str, compiled: Mapping[str, list], parts: Sequence[str] =
     tree = Tree(html)
     matcher = _Matcher(tree)
     make = {"text": tree.text, "attrs": lambda k: dict(tree.attrs(k)), "html": tree.markup}
-    return {name: [{p: make[p](k) for p in parts} for k in matcher.hits(alternatives)] for name, alternatives in compiled.items()}
+    return {name: [{p: make[p](k) for p in parts} for k in hits] for name, hits in matcher.hits_all(compiled).items()}
 
 
 def html_select_all(html: Column | str, selectors: Mapping[str, str], parts: Sequence[str] = ("text", "attrs", "html")) -> Column:
@@ -169,11 +197,11 @@ def main_text(html: Column | str, selectors: Sequence[str], drop: Sequence[str],
     """Text of the first selector whose first hit has more than ``min_chars``
     characters; else of the body, or of a page without body tags all behind
     the head."""
-    without, compiled = frozenset(drop), [compile_selector(s) for s in selectors]
+    without, compiled = frozenset(drop), {s: compile_selector(s) for s in selectors}
 
     def one(html: str) -> str:
         tree = Tree(html)
-        matcher = _Matcher(tree)
+        found = _Matcher(tree).hits_all(compiled)
         dropped = set()
         k = 0
         while k < len(tree.tag):
@@ -181,8 +209,8 @@ def main_text(html: Column | str, selectors: Sequence[str], drop: Sequence[str],
                 dropped.update(range(k, tree.last[k] + 1))
                 k = tree.last[k]
             k += 1
-        for c in compiled:
-            hit = next((k for k in matcher.hits(c) if k not in dropped), None)
+        for s in compiled:
+            hit = next((k for k in found[s] if k not in dropped), None)
             if hit is not None and len(text := tree.text(hit, without)) > min_chars:
                 return text
         if "body" in tree.tag:

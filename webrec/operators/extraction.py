@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrec import lexicons as L
+from webrec.functions import company_blocks as B
 from webrec.functions import contacts as C
 from webrec.functions import html as H
-from webrec.functions.common import cut, filled, filled_array, in_domains, let
+from webrec.functions.common import blank_to_null, cut, filled, filled_array, in_domains, let
 from webrec.functions.html_select import compile_selector, first_text, html_select, html_select_all, select_html
+from webrec.functions.phone_plans import page_phones, region_of
 from webrec.functions.text import extract_inline_prices, materials_string
 from webrec.functions.urls import absolute_url, url_host, url_netloc
+from webrec.operators.contact_pages import contact_links, fill_from_contact_pages
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
@@ -111,30 +114,49 @@ def extract_article(pages: DataFrame, min_chars: int = L.MIN_ARTICLE_LENGTH, lan
     ).select("*", F.lit(False).alias("is_processed"), F.lit(False).alias("is_published"))
 
 
-def extract_company(pages: DataFrame, fallback_country: str = "") -> DataFrame:
-    """Company rows from pages, kept iff a phone or an e-mail is there."""
-    contacts = F.struct(C.extract_phones("html").alias("phones"), C.extract_emails("html").alias("emails"))
-    good = F.filter(F.array(contacts), lambda x: filled_array(x["phones"]) | filled_array(x["emails"]))
-    # pages without a contact end here, before the rest of the work
-    kept = pages.select("page_id", "url", "html", F.inline(good))
+def extract_company(pages: DataFrame, fallback_country: str = "", country: Column | None = None, contact_pages: bool = False, blocks: bool = True) -> DataFrame:
+    """Company rows from pages, kept iff a phone or an e-mail is there.
+
+    ``country`` (a column; else ``fallback_country``) chooses the plan by which
+    phones are read. Name, address and hours come from JSON-LD, then from the
+    page's marked-up blocks where ``blocks`` is set. With ``contact_pages`` a
+    page without phones or e-mails takes those of the contact pages it links
+    to, if they are in the table; then rows without html meet."""
+    country = F.lit(fallback_country) if country is None else country
+    contacts = F.struct(page_phones("html", region_of(country)).alias("phones"), C.extract_emails("html").alias("emails"))
+    good = F.array(contacts)
+    if not contact_pages:
+        # pages without a contact end here, before the rest of the work
+        good = F.filter(good, lambda x: filled_array(x["phones"]) | filled_array(x["emails"]))
+    kept = pages.select("page_id", "url", "html", country.alias("_country"), F.inline(good))
     kept = kept.withColumn("_ld", H.parse_json_ld("html")).withColumn("_social", H.social_links("html", "url"))
+    name = H.html_name("html", F.col("_ld.name"))
+    address = H.html_address("html", F.col("_ld"), F.col("_country"))
+    hours = H.html_opening_hours("html", F.col("_ld.hours"))
+    if blocks:
+        kept = kept.withColumn("_blocks", B.company_blocks("html")).withColumn("_text", H.plain_text("html"))
+        found = F.col("_blocks")
+        name = F.coalesce(blank_to_null(F.col("_ld.name")), B.blocks_company_name(found, "html", "url"))
+        parsed = B.blocks_address(found, F.col("_text"), F.col("_country"))
+        address = let(F.struct(address.alias("a"), parsed.alias("b")), lambda v: F.when(H.has_address(v["a"]), v["a"]).otherwise(v["b"]))
+        hours = F.coalesce(H.json_ld_hours(F.col("_ld.hours")), B.blocks_hours(found), hours)
     out = kept.select(
-        "page_id", F.col("url").alias("website"), "phones", "emails",
-        H.html_name("html", F.col("_ld.name")).alias("name"),
-        H.html_address("html", F.col("_ld"), fallback_country).alias("_a"),
-        H.whatsapp_links(F.col("_social")).alias("whatsapp"), F.col("_social").alias("social_links"),
-        H.html_opening_hours("html", F.col("_ld.hours")).alias("opening_hours"),
+        "page_id", "url", "phones", "emails", name.alias("name"), address.alias("_a"),
+        H.whatsapp_links(F.col("_social")).alias("whatsapp"), F.col("_social").alias("social_links"), hours.alias("opening_hours"),
         materials_string("html").alias("materials"),
         H.html_price_rows("html").alias("_rows"), "html",
         H.html_description("html").alias("description"),
-    )
-    return out.select(
-        "page_id", "website", "name", F.col("_a.street").alias("street_address"), F.col("_a.city").alias("city"),
+    ).select(
+        "page_id", "url", "name", F.col("_a.street").alias("street_address"), F.col("_a.city").alias("city"),
         F.col("_a.region").alias("region"), F.col("_a.postal").alias("postal_code"), F.col("_a.country").alias("country"),
         "phones", "emails", "whatsapp", "social_links", "opening_hours", "materials",
         F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(extract_inline_prices("html")).alias("material_prices"),
-        "description",
+        "description", *([contact_links("html", "url").alias("contact_urls")] if contact_pages else []),
     )
+    if contact_pages:
+        filled_in = fill_from_contact_pages(out).drop("contact_urls", "from_contact_page")
+        out = filled_in.where(filled_array("phones") | filled_array("emails"))
+    return out.withColumnRenamed("url", "website")
 
 
 # -- named extractors ---------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = [
-    "flagship", "url_queries", "html_queries", "contact_queries", "text_queries",
+    "flagship", "url_queries", "html_queries", "company_queries", "contact_queries", "text_queries",
     "quality_queries", "dedup_queries", "join_queries", "report_queries",
     "ranking_queries", "vector_queries", "source_queries", "stream_queries",
 ]

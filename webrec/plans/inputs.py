@@ -167,7 +167,70 @@ FROM (SELECT id, city, split_part(name, ' ', 1) || ' Yard' AS name, lpad(CAST(10
 # braces of the markup doubled, as both engines' templates want
 COMPANY_PAGES = COMPANY_PAGES.replace("{", "{{").replace("}", "}}").replace("{{customer}}", "{customer}")
 
-VIEWS = {"company_pages": COMPANY_PAGES, "urls": URLS, "companies": COMPANIES, "articles": ARTICLES, "crawl": CRAWL}
+# company sites of eight shapes: where name, address, hours and contacts stand; the last names its contacts on other pages
+BUSINESS_PAGES = """
+SELECT id AS page_id, 'https://biz' || CAST(id AS STRING) || '.com/' AS url, country, n4,
+ CASE id % 8
+  WHEN 0 THEN '<html><head><title>Start</title></head><body><h1>Our metals</h1><div class="big company-name">Alpha Yard ' || CAST(id AS STRING) || '</div>'
+   || '<p>Phone: 713-868-' || n4 || '</p><div class="address"><b>Find us:</b> ' || n4 || ' Main St, <span>Houston, TX 77008</span></div><div class="hours">Mon-Fri 8-5; Sat 9-1</div></body></html>'
+  WHEN 1 THEN '<html><head><title>Beta Metals ' || CAST(id AS STRING) || '</title></head><body><div itemscope itemtype="https://schema.org/PostalAddress">Office: ' || n4 || ' Oak Avenue, Dallas, TX 75201</div>'
+   || '<ul class="business-hours"><li>Monday to Friday: 8:00 AM - 5:00 PM,</li><li>Saturday 9am-12pm</li></ul><a href="tel:+1-214-868-' || n4 || '">call</a><a href="mailto:beta' || CAST(id AS STRING) || '@yard.org">m</a></body></html>'
+  WHEN 2 THEN '<html><head><title>Go</title></head><body><div class="site-title">Gamma Steel ' || CAST(id AS STRING) || '</div><p><span itemprop="streetAddress">' || CAST(id AS STRING) || ' High St</span> <span itemprop="addressLocality">Leeds</span>'
+   || ' <span itemprop="addressRegion">Yorkshire</span> <span itemprop="postalCode">LS1 4DY</span> <span itemprop="addressCountry">England</span></p><p itemprop="openingHours">Mon, Wed &amp; Fri 9am&ndash;12pm</p>'
+   || '<p>Tel (0113) 496 ' || n4 || '</p><p>Fax +44 (0)113 497 ' || n4 || '</p></body></html>'
+  WHEN 3 THEN '<html><head><title>Delta Iron ' || CAST(id AS STRING) || ' - Contact</title></head><body><h1 class="business-name">Delta Iron ' || CAST(id AS STRING) || '</h1><p>Address: ' || n4 || ' Elm Street, Erie, PA 16501</p>'
+   || '<div class="operating-hours">Opening hours: Daily 7am to 7pm</div><p>(814) 868-' || n4 || '</p></body></html>'
+  WHEN 4 THEN '<html><head><title>Epsilon Copper ' || CAST(id AS STRING) || '</title></head><body><p>Ring (02) 9374 ' || n4 || ' or 1300 97' || n4 || '.</p><div class="open-hours">Hours: Weekdays 8-12, 13-17; weekends closed</div></body></html>'
+  WHEN 5 THEN '<html><head><script type="application/ld+json">{"@type":"Organization","name":"Zeta Brass ' || CAST(id AS STRING) || '","address":{"streetAddress":"' || n4 || ' Quay","addressLocality":"Dublin"},'
+   || '"openingHoursSpecification":[{"dayOfWeek":"Monday","opens":"08:00","closes":"17:00"}]}</script></head><body><h1>No</h1><div class="address">1 Main St, Houston, TX 77008</div><div class="hours">Mon 1-2</div><p>01 677 ' || n4 || ', mobile +353 87 123 ' || n4 || '</p></body></html>'
+  WHEN 6 THEN '<html><body><h1>Eta Lead ' || CAST(id AS STRING) || '</h1><div class="contact-info">Call us any day of the week</div><div><div class="location">Yard: ' || n4 || ' Pine Road, Boise, ID 83702</div></div>'
+   || '<div class="hours">by appointment</div><div class="contact-hours">Mon to Sat 9:30 until 18:30, Sunday closed</div><p>eta' || CAST(id AS STRING) || '@yard.org</p></body></html>'
+  ELSE '<html><body><h1>Theta Zinc ' || CAST(id AS STRING) || '</h1><a href="/news">News</a><a href="contact-us#form">Write</a><a href="https://other.org/contact">Partner</a><a href="/team/">Our contacts</a><a href="/contact-us">again</a></body></html>' END AS html
+FROM (SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 2 THEN 'United Kingdom' WHEN 4 THEN 'Australia' WHEN 5 THEN 'Ireland' ELSE 'USA' END AS country, lpad(CAST(1000 + c_custkey * 37 % 8999 AS STRING), 4, '0') AS n4 FROM {customer}) c
+UNION ALL
+SELECT -id * 10 - k AS page_id, 'https://biz' || CAST(id AS STRING) || '.com/' || CASE k WHEN 0 THEN 'contact-us' ELSE 'team/' END AS url, 'USA' AS country, n4,
+ CASE WHEN k = 0 THEN '<html><body><h1>Contact</h1><p>theta' || CAST(id AS STRING) || '@yard.org</p>' || CASE WHEN id % 16 = 7 THEN '<p>303-868-' || n4 || '</p>' ELSE '' END || '</body></html>'
+  ELSE '<html><body><h1>Team</h1><p>303-869-' || n4 || '</p></body></html>' END AS html
+FROM (SELECT c_custkey AS id, explode(sequence(0, 1)) AS k, lpad(CAST(1000 + c_custkey * 37 % 8999 AS STRING), 4, '0') AS n4 FROM {customer} WHERE c_custkey % 8 = 7) c
+"""
+# the contact pages of a site are one SELECT each, as the engines multiply rows in different ways
+_HOME, _OTHER = BUSINESS_PAGES.split("UNION ALL")
+BUSINESS_PAGES = "UNION ALL".join([_HOME, *[_OTHER.replace("explode(sequence(0, 1)) AS k", f"{k} AS k") for k in (0, 1)]])
+BUSINESS_PAGES = BUSINESS_PAGES.replace("{", "{{").replace("}", "}}").replace("{{customer}}", "{customer}")
+
+# opening hours in ten written forms
+HOURS_FORMS = """
+SELECT id, h, CASE id % 10
+  WHEN 0 THEN 'Mon-Fri ' || CAST(h AS STRING) || '-5; Sat 9-1'
+  WHEN 1 THEN 'Monday to Friday: ' || CAST(h AS STRING) || ':00 AM - 5:30 PM, Saturday 9am-12pm'
+  WHEN 2 THEN 'Mon, Wed & Fri ' || CAST(h AS STRING) || 'am–12pm'
+  WHEN 3 THEN 'Mon to Sat ' || CAST(h AS STRING) || ':30 until 18:30, Sunday closed'
+  WHEN 4 THEN 'Daily ' || CAST(h AS STRING) || 'am to 7pm'
+  WHEN 5 THEN 'Weekdays ' || CAST(h AS STRING) || '-12, 13-17; weekends closed'
+  WHEN 6 THEN 'Fri - Mon ' || CAST(h AS STRING) || '-2'
+  WHEN 7 THEN 'Hours: Tues. through Thurs. 1-' || CAST(h AS STRING) || 'pm'
+  WHEN 8 THEN 'Open 24 hours'
+  ELSE 'Sat 22:00-0' || CAST(h AS STRING) || ':00, call first' END AS hours
+FROM (SELECT c_custkey AS id, CAST(6 + c_custkey % 3 AS INT) AS h FROM {customer}) c
+"""
+
+# phone numbers as pages of eight countries write them
+PHONE_TEXTS = """
+SELECT id, n4, CASE id % 8
+  WHEN 0 THEN 'USA' WHEN 1 THEN 'Canada' WHEN 2 THEN 'United Kingdom' WHEN 3 THEN 'Australia' WHEN 4 THEN 'New Zealand' WHEN 5 THEN 'Ireland' WHEN 6 THEN 'India' ELSE 'South Africa' END AS country,
+ CASE id % 8
+  WHEN 0 THEN 'Call (713) 868-' || n4 || ' or 1-713-869-' || n4 || ', from abroad +44 20 7946 ' || n4 || '. Order 99887766554433221100.'
+  WHEN 1 THEN 'Tel. 416.868.' || n4 || ' since 2019-05-04'
+  WHEN 2 THEN 'London (020) 7946 ' || n4 || ', +44 (0)161 496 ' || n4 || ', 0161 496 ' || n4
+  WHEN 3 THEN 'Sydney 02 9374 ' || n4 || '; free 1800 97' || n4 || '; 13 Jan 2020'
+  WHEN 4 THEN 'Auckland 09 363 ' || n4 || '; mobile 0064 21 363 ' || n4
+  WHEN 5 THEN 'Dublin (01) 677 ' || n4 || ' / 087 123 ' || n4
+  WHEN 6 THEN 'Mobile 98765 1' || n4 || ', office 022-2778 ' || n4
+  ELSE 'Johannesburg 011 978 ' || n4 || ' $12345.67' END AS body
+FROM (SELECT c_custkey AS id, lpad(CAST(1000 + c_custkey * 37 % 8999 AS STRING), 4, '0') AS n4 FROM {customer}) c
+"""
+
+VIEWS = {"business_pages": BUSINESS_PAGES, "hours_forms": HOURS_FORMS, "phone_texts": PHONE_TEXTS, "company_pages": COMPANY_PAGES, "urls": URLS, "companies": COMPANIES, "articles": ARTICLES, "crawl": CRAWL}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
