@@ -22,7 +22,8 @@ _INTERVAL = rf"(?<!\d){_TIME}{_TO}{_TIME}(?!\d)"
 _ALL_DAY = r"\b(?:open\s+)?24\s*(?:hours|hrs|h)\b"
 # an item may be followed by "and" or a comma before the next one, or by its times
 _DAYS = rf"(?:{_NAMED}|{_ITEM}(?:{_AND}{_ITEM})*+)"
-_SEGMENT = rf"({_DAYS})\s*[:,–-]?\s*(?:\(?\s*(?:from|open|hours)\s+)?({_INTERVAL}(?:{_AND}{_INTERVAL})*|{_ALL_DAY}|\bclosed\b)"
+# a list without times is taken whole as well, so that a long one is read once
+_SEGMENT = rf"({_DAYS})(?:\s*[:,–-]?\s*(?:\(?\s*(?:from|open|hours)\s+)?({_INTERVAL}(?:{_AND}{_INTERVAL})*|{_ALL_DAY}|\bclosed\b))?"
 _ALWAYS = r"\b24\s*/\s*7\b|\bopen\s+24\s*(?:hours|hrs|h)\b"
 _PARTS = r"(\d{1,2})(?:[:.h](\d{2}))?\s*(?:([ap])\.?m\b\.?)?"
 
