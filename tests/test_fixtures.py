@@ -281,3 +281,11 @@ def test_dirty_input(spark):
         U.url_host("html"), U.unwrap_redirect_url("html"), U.absolute_url("url", "html"), U.score_topic_url("html"), U.filter_article_url("html"))
     assert len(out.collect()) == len(rows)
     assert one(spark, "a &#1055;&#x4f60; &lt;b&gt; &amp;amp;", H.html_to_text) == "a П你 <b> &amp;"
+
+
+@pytest.mark.parametrize("name", ["vector_theme_topk", "agg_theme_relevance", "vector_similar", "cosine_filter", "vector_stats"])
+def test_vector_queries_on_an_empty_table(spark, sf_dir, tmp_path, name):
+    from webrec.plans import all_queries
+
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert all_queries()[name](spark, str(tmp_path)).count() == 0

@@ -67,6 +67,8 @@ def vector_theme_topk(corpus: DataFrame, themes: Mapping[str, Sequence[float]],
     k; similarity = 1 - d/2. Farther rows are dropped before the ranking: a row
     within the limit has only nearer rows before it, so its place among all
     rows and among the near ones is the same."""
+    if not themes:  # no theme has rows
+        corpus, themes = corpus.limit(0), {"": [1.0]}
     names = sorted(themes)
     rows = indexed(corpus, len(themes[names[0]]), vector)
     near = F.transform(squared_l2(F.col(vector), [themes[n] for n in names]), lambda d, i: F.struct(i.alias("i"), d.alias("distance")))
@@ -77,14 +79,18 @@ def vector_theme_topk(corpus: DataFrame, themes: Mapping[str, Sequence[float]],
     return top.withColumn("similarity", 1 - F.col("distance") / 2)
 
 
-def vector_similar(corpus: DataFrame, query: Sequence[float], k: int = 5, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
-    """Top-k of one query, no threshold."""
+def vector_similar(corpus: DataFrame, query: Sequence[float] | None, k: int = 5, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
+    """Top-k of one query, no threshold; no rows without a query."""
+    if query is None:
+        corpus, query = corpus.limit(0), [1.0]
     d = F.get(squared_l2(F.col(vector), [query]), F.lit(0))
     return indexed(corpus, len(query), vector).select(row_id, d.alias("distance")).orderBy("distance", row_id).limit(k)
 
 
-def cosine_filter(rows: DataFrame, query: Sequence[float], more_than: float = 0.3, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
-    """Rows with cosine above the limit, best first."""
+def cosine_filter(rows: DataFrame, query: Sequence[float] | None, more_than: float = 0.3, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
+    """Rows with cosine above the limit, best first; none without a query."""
+    if query is None:
+        rows, query = rows.limit(0), [1.0]
     # filtered inside the generator: a filter behind it would be pushed down
     # and run the similarity twice
     hit = F.filter(F.array(cosine(F.col(vector), query)), lambda s: s > more_than)

@@ -23,7 +23,7 @@ def _themes(spark, sf_dir):
 
 
 def _one(spark, sf_dir):
-    return V.query_vectors(_emb(spark, sf_dir).where("vec_id = 7"), "vec_id", "embedding")["7"]
+    return V.query_vectors(_emb(spark, sf_dir).where("vec_id = 7"), "vec_id", "embedding").get("7")
 
 
 _D = "list_sum([(a[i] - b[i]) * (a[i] - b[i]) for i in range(1, len(a) + 1)])"
