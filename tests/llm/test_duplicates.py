@@ -47,6 +47,14 @@ def test_exact(spark, sf_dir):
     assert exact.exact_duplicates(empty(spark)).count() == 0
 
 
+def test_exact_ids_that_repeat(spark):
+    """One id on different texts of one length that all have copies; many texts without an id."""
+    rows = [(5, "aaaa"), (5, "bbbb"), (1, "aaaa"), (2, "bbbb"), (5, "AAAA"), (None, "aaaa"), (None, "cccc"), (None, "cccc"), (None, "dddd"), (None, None), (None, "")]
+    rows += [(None if i % 3 else i, f"{i % 1500:04d} text of one length") for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_exact(df, exact.exact_duplicates(df))
+
+
 def test_exact_large_group(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("Copy " * 50)).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
     check_exact(df, exact.exact_duplicates(df))

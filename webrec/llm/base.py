@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webrec.session import cut_lineage, scratch
 
-__all__ = ["by_word", "cut_lineage", "id_text", "map_slices", "raw", "stored"]
+__all__ = ["ascii_lower", "by_word", "cut_lineage", "id_text", "map_slices", "raw", "stored"]
 
 SLICE = 512
 
@@ -57,6 +57,11 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def ascii_lower(c: Column | str) -> Column:
+    """Lower case in A-Z alone."""
+    return F.translate(F.col(c) if isinstance(c, str) else c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def by_word(c: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text."""
     return F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrec.llm.base import SLICE, cut_lineage, id_text, map_slices, raw
+from webrec.llm.base import SLICE, ascii_lower, cut_lineage, id_text, map_slices, raw
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 69069069)
@@ -156,8 +156,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of equal texts the row with the largest ``doc_id`` stays. A null text
     equals the empty one. A null id counts as the smallest. Of rows repeated
-    with one id and text, one stays and all count in ``group_size``. An empty
-    table gives no rows; other columns are not read."""
+    with one id and text, one stays and all count in ``group_size``; different
+    texts under one id, or without one, are rows of their own. Long texts are
+    hashed and compared in chunks. An empty table gives no rows; other columns
+    are not read."""
     docs = id_text(docs, id_col, text_col)
     mark = ["h1", "h2", "n_bytes"]
     key = F.coalesce("doc_id", F.lit(LOWEST))
@@ -172,9 +174,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # the texts of the members, once per id and fingerprint
         # (which one id and digest determine; the shuffle is by those, so a large group is spread)
         wanted = members.groupBy("id_key", "text_sha256").agg(*[F.any_value(c).alias(c) for c in (*mark, "top", "group_size")])
-        # bytes and characters agree only for ASCII, so lengths are compared in bytes
-        texts = docs.select("doc_id", "text", key.alias("id_key"), F.octet_length("text").cast("long").alias("n_bytes"))
-        found = texts.join(wanted, ["id_key", "n_bytes"]).withColumn("n_buckets", F.ceil(F.col("group_size") / BUCKET).cast("int"))
+        # by digest, so each text meets its own group's row only, whatever shares its id
+        texts = docs.select("doc_id", "text", key.alias("id_key"), F.sha2(ascii_lower("text"), 256).alias("text_sha256"))
+        found = texts.join(wanted, ["id_key", "text_sha256"]).withColumn("n_buckets", F.ceil(F.col("group_size") / BUCKET).cast("int"))
         is_top = (F.col("id_key") == F.col("top.id_key")) & (F.col("text_sha256") == F.col("top.text_sha256"))
         bucket = F.pmod(F.xxhash64("id_key", "text_sha256"), F.col("n_buckets")).cast("int")
         copies = F.when(is_top, F.concat(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("f"))), F.transform(F.sequence(F.lit(0), F.col("n_buckets") - 1), lambda b: F.struct(b.alias("b"), F.lit(True).alias("f"))))).otherwise(
