@@ -156,3 +156,15 @@ def test_scan(spark, field):
 def test_masked():
     assert secrets.masked("ab secret cd", [(3, 0, 9)]) == "ab [SECRET] cd"
     assert secrets.masked("abcdef", [(1, 0, 4), (2, 2, 3), (3, 2, 5)]) == "a[SECRET]f"
+
+
+def test_a_span_in_part_covered_keeps_its_rest():
+    class Tagger:
+        def __init__(self, *spans):
+            self.spans = lambda text: list(spans)
+
+    text = "key sk_live_" + "0123456789abcdef" * 2 + "XYZ9qW7 end"
+    base, spans = secrets.all_spans(text, Tagger((4, len(text) - 4)))
+    assert [k for _, k, _ in base] == [2] and set(base) < set(spans) and len(spans) == 3
+    assert secrets.masked(text, spans) == "key [SECRET] end"
+    assert secrets.outside("a 'bb' c", 2, 6, [(3, 0, 5)]) == [] and secrets.outside("abc", 0, 3, []) == [(0, 3)]

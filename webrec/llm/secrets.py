@@ -397,10 +397,21 @@ class Tagger(Memo):
         return tagged_spans(text, tags) if tags.any() else []
 
 
+def outside(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a..b outside the base spans that hold a letter or digit."""
+    parts, at = [], a
+    for s, _, e in sorted(base):
+        if s < b and a < e:
+            parts.append((at, s))
+            at = max(at, e)
+    return [(s, e) for s, e in [*parts, (at, b)] if s < e and any(c.isalnum() for c in text[s:e])]
+
+
 def all_spans(text: str, tagger: Tagger) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: those and what the field finds beside them."""
+    """Base spans, and all spans: those and what the field finds beside them,
+    also the rest of a secret that a base span covers in part."""
     base = base_spans(text)
-    extra = [(a, 3, b) for a, b in tagger.spans(text) if not any(a < e and s < b for s, _, e in base)]
+    extra = [(s, 3, e) for a, b in tagger.spans(text) for s, e in outside(text, a, b, base)]
     return base, sorted(base + extra)
 
 
