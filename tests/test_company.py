@@ -173,7 +173,7 @@ def test_records_with_contact_pages(spark):
     assert set(got) == {1, 2, 3, 4, 5, 6, 7, 9} and got[1].emails == ["one@a.com", "two@a.com"] and got[1].website == "https://a.com/"
     plain = {r.page_id for r in extract_company(sites(spark)).collect()}
     assert plain == {2, 3, 4, 5, 6, 7, 9}
-    assert extract_company(sites(spark)).columns == extract_company(sites(spark), contact_pages=True).columns == extract_company(sites(spark), blocks=False).columns
+    assert extract_company(sites(spark)).columns == extract_company(sites(spark), contact_pages=True).columns == extract_company(sites(spark), blocks=True).columns
 
 
 @pytest.mark.parametrize("country, phones", [("Ireland", ["+353 16771234"]), ("USA", []), (None, [])])

@@ -114,12 +114,12 @@ def extract_article(pages: DataFrame, min_chars: int = L.MIN_ARTICLE_LENGTH, lan
     ).select("*", F.lit(False).alias("is_processed"), F.lit(False).alias("is_published"))
 
 
-def extract_company(pages: DataFrame, fallback_country: str = "", country: Column | None = None, contact_pages: bool = False, blocks: bool = True) -> DataFrame:
+def extract_company(pages: DataFrame, fallback_country: str = "", country: Column | None = None, contact_pages: bool = False, blocks: bool = False) -> DataFrame:
     """Company rows from pages, kept iff a phone or an e-mail is there.
 
     ``country`` (a column; else ``fallback_country``) chooses the plan by which
     phones are read. Name, address and hours come from JSON-LD, then from the
-    page's marked-up blocks where ``blocks`` is set. With ``contact_pages`` a
+    page's marked-up blocks where ``blocks`` is set (one more pass in Python). With ``contact_pages`` a
     page without phones or e-mails takes those of the contact pages it links
     to, if they are in the table; then rows without html meet."""
     country = F.lit(fallback_country) if country is None else country

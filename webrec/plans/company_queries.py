@@ -53,7 +53,7 @@ query(
     f"""{BP} SELECT page_id, url AS website, {_NAME} AS name, {_STREET} AS street_address, {_CITY} AS city, {_REGION} AS region, {_POSTAL} AS postal_code, {_COUNTRY} AS country,
         {_HOURS} AS opening_hours, {_PHONES} AS phones, {_EMAILS} AS emails FROM business_pages WHERE {_OWN}""",
 )(
-    lambda spark, sf_dir: X.extract_company(_pages(spark, sf_dir).where("page_id > 0"), country=F.col("country")).select(
+    lambda spark, sf_dir: X.extract_company(_pages(spark, sf_dir).where("page_id > 0"), country=F.col("country"), blocks=True).select(
         "page_id", "website", "name", "street_address", "city", "region", "postal_code", "country", "opening_hours",
         F.array_join("phones", "|").alias("phones"), F.array_join("emails", "|").alias("emails"))
 )
@@ -67,7 +67,7 @@ query(
     "company_record_contact_pages",
     f"""{BP} SELECT page_id, {_NAME} AS name, {_PHONES_FOUND} AS phones, {_EMAILS_FOUND} AS emails FROM business_pages WHERE {_PHONES_FOUND} || {_EMAILS_FOUND} <> ''""",
 )(
-    lambda spark, sf_dir: _joined(X.extract_company(_pages(spark, sf_dir), country=F.col("country"), contact_pages=True), "name")
+    lambda spark, sf_dir: _joined(X.extract_company(_pages(spark, sf_dir), country=F.col("country"), contact_pages=True, blocks=True), "name")
 )
 query(
     "html_address_blocks",
