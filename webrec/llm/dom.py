@@ -6,6 +6,11 @@ the head are left out. Unclosed and misnested tags are met as browsers do:
 paragraphs, list items and cells end where the next begins, an end tag closes
 what is open inside its element, one without a start is ignored, and the end of
 an inline element does not close a block.
+
+Raw text elements go with all up to their end tag, as in browsers to the end of
+the page without one. Elements whose content is no page text (``HIDDEN``) go
+where they are closed; an unclosed one is an ordinary element, so nothing
+behind it is lost. Formulas and the fallback of objects are text.
 """
 
 from __future__ import annotations
@@ -16,7 +21,9 @@ import re
 # fixed values: kinds of elements
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title svg iframe object math select".split())
+INLINE |= frozenset("object math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose semantics annotation".split())
+RAW = frozenset("script style textarea title iframe".split())
+HIDDEN = frozenset("template noscript svg select".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
@@ -93,7 +100,7 @@ class Page:
         def flush() -> None:
             nonlocal links
             if piece:
-                text = SPACE.sub(" ", entities.unescape("".join(piece))).strip()
+                text = SPACE.sub(" ", "".join(piece)).strip()
                 piece.clear()
                 if text:
                     n = self._node(nodes[blocks[-1]], "run", 0)
@@ -122,12 +129,13 @@ class Page:
 
         at, n, size = 0, len(html), len
         quotes = {'"': True, "'": True}  # whether another may follow
+        endless: set[str] = set()  # tags without another end tag
         while at < n:
             lt = html.find("<", at)
             if lt < 0:
                 lt = n
             if lt > at:
-                part = html[at:lt]
+                part = entities.unescape(html[at:lt])  # a reference does not go on behind a tag
                 piece.append(part)
                 if at_name.get("a"):
                     links += size(part)
@@ -178,11 +186,13 @@ class Page:
                     names.append("body")
                     nodes.append(self._node(nodes[0], "body", 0))
                 continue
-            if tag in RAW and not attributes.endswith("/"):
+            if (tag in RAW or tag in HIDDEN) and tag not in endless and not attributes.endswith("/"):
                 m = re.compile(f"</{tag}", re.I).search(html, at)
                 gt = html.find(">", m.end()) if m else -1
-                at = n if gt < 0 else gt + 1
-                continue
+                if gt >= 0 or tag in RAW:
+                    at = n if gt < 0 else gt + 1
+                    continue
+                endless.add(tag)
             if tag == "head" or tag in VOID or tag in INLINE and attributes.endswith("/"):
                 if tag == "br":
                     piece.append(" ")

@@ -51,7 +51,7 @@ def features(pages: list[Page]) -> np.ndarray:
         stats[runs, 1] = [v for p in pages for v in p.linked.values()]
         stats[runs, 2] = [t.count(" ") + 1 for t in texts]
         stats[runs, 3] = [t.count(",") + t.count(". ") + t.endswith((".", "!", "?")) for t in texts]
-        stats[runs, 4] = [sum(map(str.isupper, t[:200])) / len(t[:200]) for t in texts]
+        stats[runs, 4] = [sum(map(str.isupper, t)) / len(t) for t in texts]
         stats[runs, 5] = 1
     total = np.vstack([np.zeros((1, 6)), stats.cumsum(0)])
     inside = total[end] - total[np.arange(n)]
