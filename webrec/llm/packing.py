@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from webrec.llm.base import SLICE, cut_lineage, id_text
-from webrec.llm.bpe import WORD_BPE, Memo, WordBpe, byte_symbols, tokens
+from webrec.llm.bpe import MARKS, WORD_BPE, Memo, WordBpe, byte_symbols, normal, tokens
 
 CAPACITY = 2048
 SLACK = 1 / 32
@@ -57,11 +58,22 @@ class LibraryBpe(WordBpe):
         return [t.id for t in self.library.tokenize(shown)]
 
 
+@lru_cache(maxsize=1)
 def id_bytes(path: str = WORD_BPE) -> Callable[[str], bytes]:
-    """Encoder of texts into little-endian unsigned 32-bit ids."""
+    """Encoder of texts into little-endian unsigned 32-bit ids. A Python
+    worker keeps it for its next tasks. Words stand once among the tokens: a
+    capitalised one, or one with a mark behind it, is made of theirs."""
     bpe = LibraryBpe(path)
 
     def packed(token: str) -> bytes:
+        body, mark = (token[:-1], token[-1]) if token[-1] in MARKS else (token, "")
+        if body.isalpha():
+            word = normal(body)
+            if word == token:
+                ids = bpe.word(word)
+                return struct.pack(f"<{len(ids)}I", *ids)
+            if word.isalpha() and normal(word) == word:
+                return memo[word] + memo[mark] if mark else memo[word]
         ids = bpe.token(token)
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -143,7 +155,7 @@ def pack(
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = encode(text) + end
+                    ids = memoryview(encode(text) + end)
                     start, n = 0, len(ids) // 4
                     for length in cut(n, capacity, slack):
                         bins.add((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
