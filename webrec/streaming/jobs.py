@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webrec.operators.dedup import first_per_key
 
 
 BUCKETS = 64
+#: Expiry of an entry that has none.
+NEVER = 2**63 - 1
 
 
 def _store(spark: SparkSession, path: str) -> DataFrame | None:
@@ -65,3 +71,62 @@ def ttl_cache_lookup(cache: DataFrame, as_of: str, url: str = "url") -> DataFram
     rest = [c for c in cache.columns if c != url]
     latest = cache.groupBy(url).agg(F.max_by(F.struct(*rest), "cached_at").alias("r")).select(url, "r.*")
     return latest.where(F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(as_of).cast("timestamp")))
+
+
+def _cache_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One URL: the newest entry is its state, its expiry the timer. A change
+    of the state is one row."""
+
+    def change(entry: tuple, alive: bool) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *entry, alive)], columns=["url", "cached_us", "row_id", "expires_ms", "alive"])
+
+    if state.hasTimedOut:
+        entry = state.get
+        state.remove()
+        yield change(entry, False)
+        return
+    held = state.get if state.exists else None
+    entry = max(t for b in batches for t in zip(b["cached_us"].tolist(), b["row_id"].tolist(), b["expires_ms"].tolist()))
+    if held is not None and held[:2] >= entry[:2]:
+        entry = held
+    else:
+        yield change(entry, True)
+    expires, now = entry[2], state.getCurrentWatermarkMs()
+    if expires < now:  # over before it came
+        if state.exists:
+            state.remove()
+        yield change(entry, False)
+        return
+    state.update(entry)
+    if expires < NEVER:
+        state.setTimeoutTimestamp(max(expires, now + 1))
+
+
+def ttl_cache_stream(entries: DataFrame, log: str, checkpoint: str, delay: str = "10 minutes", url: str = "url", row_id: str = "event_id") -> StreamingQuery:
+    """The cache with expiry over a stream of ``url, row_id, cached_at,
+    expires_at``. Keyed state holds the newest entry of each URL until event
+    time passes its expiry, then its timer removes it; an entry without an
+    expiry stays. Each change is one row of the table ``log``: an entry that
+    came (``alive``) or went. Entries later than ``delay`` are dropped. So the
+    state grows with the live URLs, not with the entries; read the table with
+    ``ttl_cache_state``."""
+    slim = entries.withWatermark("cached_at", delay).select(
+        F.col(url).alias("url"), F.col(row_id).cast("long").alias("row_id"), "cached_at", F.unix_micros("cached_at").alias("cached_us"),
+        F.coalesce(F.unix_millis("expires_at"), F.lit(NEVER)).alias("expires_ms"),
+    )
+    entry = "cached_us long, row_id long, expires_ms long"
+    changes = slim.groupBy("url").applyInPandasWithState(
+        _cache_step, f"url {slim.schema['url'].dataType.simpleString()}, {entry}, alive boolean", entry, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return changes.writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def ttl_cache_state(log: DataFrame) -> DataFrame:
+    """Entries alive after the last change: ``url, row_id, cached_at,
+    expires_at``. Of one entry's changes its going is the last."""
+    last = F.max_by(F.struct("row_id", "cached_us", "expires_ms", "alive"), F.struct("cached_us", "row_id", ~F.col("alive")))
+    rows = log.groupBy("url").agg(last.alias("r")).select("url", "r.*").where("alive")
+    return rows.select(
+        "url", "row_id", F.timestamp_micros("cached_us").alias("cached_at"),
+        F.when(F.col("expires_ms") < NEVER, F.timestamp_millis("expires_ms")).alias("expires_at"),
+    )
