@@ -8,11 +8,12 @@ query is cut on the map side before anything is shuffled.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webrec.operators.dedup import top_per_key
@@ -103,10 +104,59 @@ def vector_upsert(index: DataFrame, new: DataFrame, row_id: str = "vec_id") -> D
     return index.join(new.select(row_id), row_id, "left_anti").unionByName(new)
 
 
+def _versions(spark: SparkSession, path: str):
+    """Hadoop path of the folder of manifests, and its file context."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    return fs.Path(f"{path.rstrip('/')}/_versions"), fs.FileContext.getFileContext(fs.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+
+
+def vector_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a stored index, oldest first."""
+    folder, files = _versions(spark, path)
+    if not files.util().exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.util().listStatus(folder)]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def vector_current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest version of a stored index, or the one named. A reader keeps
+    the version that it began with."""
+    known = vector_versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no finished version at {path}")
+    folder, _ = _versions(spark, path)
+    manifest = f"{folder.toString()}/{known[-1] if version is None else version}"
+    snapshot = spark.read.text(manifest).first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/{snapshot}")
+
+
 def vector_rebuild(new: DataFrame, path: str) -> DataFrame:
-    """Replace the stored table by the new rows."""
-    new.write.mode("overwrite").parquet(path)
-    return new.sparkSession.read.parquet(path)
+    """Replace the stored index by the new rows. They go to a folder of their
+    own; only when all are written is its name renamed into place as the next
+    version, so a failed write leaves the old one current. Of two writers that
+    began at one version, the second fails instead of undoing the first. Old
+    versions stay, so ``new`` may be made from the stored rows."""
+    spark = new.sparkSession
+    number = max(vector_versions(spark, path), default=0) + 1
+    snapshot = f"rows-{uuid.uuid4().hex}"
+    new.write.parquet(f"{path.rstrip('/')}/{snapshot}")
+    folder, files = _versions(spark, path)
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs
+    draft = fs.Path(folder, f".{snapshot}")
+    system = draft.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(draft, False)
+    out.write(bytearray(snapshot.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    files.rename(draft, fs.Path(folder, str(number)), options)
+    return vector_current(spark, path, number)
+
+
+def vector_store_upsert(new: DataFrame, path: str, row_id: str = "vec_id") -> DataFrame:
+    """``vector_upsert`` into the stored index, as its next version."""
+    return vector_rebuild(vector_upsert(vector_current(new.sparkSession, path), new, row_id), path)
 
 
 def vector_stats(index: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:

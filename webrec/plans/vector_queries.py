@@ -63,6 +63,21 @@ query("vector_rebuild", "SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(len
     lambda spark, sf_dir: V.vector_rebuild(_emb(spark, sf_dir), scratch(spark, "vectors"))
     .select("vec_id", F.col("label").cast("bigint").alias("label"), F.size("embedding").cast("bigint").alias("dim"))
 )
+
+
+@query(
+    "vector_store_upsert",
+    "SELECT vec_id, CAST(CASE WHEN label < 4 THEN label + 100 ELSE label END AS BIGINT) AS label FROM embeddings UNION ALL SELECT vec_id + 10000000, 100 + label FROM embeddings WHERE label < 4",
+)
+def vector_store_upsert(spark, sf_dir):
+    e, path = _emb(spark, sf_dir), scratch(spark, "vectors")
+    V.vector_rebuild(e, path)
+    changed = e.where("label < 4").withColumn("label", (F.col("label") + 100).cast("int"))
+    V.vector_store_upsert(changed, path)
+    V.vector_store_upsert(changed.withColumn("vec_id", F.col("vec_id") + 10000000), path)
+    return V.vector_current(spark, path).select("vec_id", F.col("label").cast("bigint").alias("label"))
+
+
 query("vector_stats", "SELECT CAST(label AS BIGINT) AS label, count(*) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS min_dim, CAST(max(len(embedding)) AS BIGINT) AS max_dim FROM embeddings GROUP BY label")(
     lambda spark, sf_dir: V.vector_stats(_emb(spark, sf_dir)).select(*[F.col(c).cast("bigint").alias(c) for c in ("label", "vectors", "min_dim", "max_dim")])
 )
