@@ -91,11 +91,11 @@ query(
 
 query(
     "clean_company_name",
-    f"SELECT page_id, {_sized('x')} AS company FROM (SELECT page_id, 'Welcome to ' || substr(regexp_extract(html, '<title>(.*?)</title>', 1), 1, 80) || ' homepage' AS x FROM pages)",
+    f"SELECT page_id, {_sized('x')} AS company FROM (SELECT page_id, 'Welcome to ' || regexp_extract(html, '<title>(.*?)</title>', 1) || ' homepage' AS x FROM pages)",
 )(
     lambda spark, sf_dir: _pages(spark, sf_dir).select(
         "page_id",
-        H.clean_company_name(F.concat(F.lit("Welcome to "), F.substring(F.regexp_extract("html", "<title>(.*?)</title>", 1), 1, 80), F.lit(" homepage"))).alias("company"),
+        H.clean_company_name(F.concat(F.lit("Welcome to "), F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit(" homepage"))).alias("company"),
     )
 )
 
