@@ -40,8 +40,13 @@ UNKNOWN = "und"
 WHOLE = -1
 #: The bitmap has two to this power bits: 8 MB, however many phrases there are.
 SLOT_BITS = 26
-#: Bits of the fingerprints that are counted for it; sums of several only mark more.
-COUNTED_BITS = 40
+#: Bits of the fingerprints that are counted for it; sums of several only mark
+#: more. The first of them are a bucket, the unit that is shuffled; the other 32
+#: travel as arrays of integers, several times shorter than rows of their own.
+BUCKET_BITS = 12
+COUNTED_BITS = BUCKET_BITS + 32
+#: Distinct counted fingerprints that a task holds before they go on.
+PACKED = 1 << 20
 #: Bits of a text's pointer; texts that share one are all read.
 KEY_BITS = 40
 #: Bytes hashed at once, and n-grams held before they are counted and go on.
@@ -222,18 +227,43 @@ def _counted(fp: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
     return [f[first], np.diff(np.append(first, len(f))), *(o[order[first]] for o in others)]
 
 
+def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One run of distinct fingerprints, sorted, with the sums of their counts."""
+    fp, count = (np.concatenate(x) for x in zip(*runs))
+    order = np.argsort(fp, kind="stable")
+    fp, count = fp[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+    return fp[first], np.add.reduceat(count, first)
+
+
+def _packed(fp: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket: the rest of its fingerprints and their counts."""
+    bucket = (fp >> U(32)).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    cuts = pa.array(np.append(first, len(fp)), pa.int32())
+    low = pa.array(fp.astype(np.uint32).view(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.ListArray.from_arrays(cuts, low), pa.ListArray.from_arrays(cuts, pa.array(count))], ["bucket", "low", "n"])
+
+
 def _fingerprints(poly_of, max_words: int, n: int, marks_of):
     """(first bits of the fingerprint, count) of words and pairs, or of n-grams
     that the marks of their parts leave."""
     widths = [k for k in (1, 2) if k <= max_words] if n == 2 else [n - 1, n]
 
     def make():
-        poly, marks, held = poly_of(), marks_of() if n > 2 else None, []
+        poly, marks, held, runs = poly_of(), marks_of() if n > 2 else None, [], []
 
-        def flush():
-            fp, count = _counted(np.concatenate(held) >> U(64 - COUNTED_BITS), [])
+        def count():
+            fp, times = _counted(np.concatenate(held) >> U(64 - COUNTED_BITS), [])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(count)], ["fp", "n"])
+            if len(fp):
+                runs.append((fp, times))
+
+        def flush(least: int):
+            """The sums of all runs, where they have so many fingerprints."""
+            runs[:] = [_summed(runs)]
+            if len(runs[0][0]) >= least:
+                yield _packed(*runs.pop())
 
         def work(batch):
             salts = batch.column("salt").to_numpy().view(U)
@@ -246,9 +276,17 @@ def _fingerprints(poly_of, max_words: int, n: int, marks_of):
                     at, new, _, _, fp = found[n]
                     held.append(fp[new & may[at] & may[at + 1]])
                 if sum(map(len, held)) >= HELD:
-                    yield flush()
+                    count()
+                    if sum(len(fp) for fp, _ in runs) >= PACKED:
+                        yield from flush(PACKED // 2)
 
-        return work, lambda: [flush()] if held else []
+        def end():
+            if held:
+                count()
+            if runs:
+                yield from flush(1)
+
+        return work, end
 
     return make
 
@@ -349,8 +387,10 @@ def _materialise(rows: DataFrame, poly_of, max_words: int) -> DataFrame:
 
 def _marked(counted: DataFrame, min_count: int, bitmap: np.ndarray, slot_bits: int) -> None:
     """Marks what is frequent; 2 ** (slot_bits - 6) rows at most reach the driver."""
-    slot = f"shiftrightunsigned(fp, {COUNTED_BITS - slot_bits})"
-    often = counted.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    # a partition has whole buckets, so the sums need no second shuffle
+    rows = counted.repartition("bucket").select("bucket", F.inline(F.arrays_zip("low", "n")))
+    often = rows.groupBy("bucket", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    slot = f"shiftrightunsigned(shiftleft(CAST(bucket AS BIGINT), 32) | (CAST(low AS BIGINT) & 4294967295L), {COUNTED_BITS - slot_bits})"
     words = often.groupBy(F.expr(f"shiftright({slot}, 6)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({slot} & 63 AS INT)))").alias("bit")).toArrow()
     bitmap[words["word"].to_numpy()] |= words["bit"].to_numpy().view(U)
 
@@ -374,7 +414,7 @@ def frequent_phrases(
     bitmap = np.zeros(1 << (slot_bits - 6), U)
     for n in range(2, max(max_words, 2) + 1):
         shared = spark.sparkContext.broadcast(bitmap)  # of fixed size
-        _marked(_stream(rows.select("text", "salt"), _fingerprints(poly_of, max_words, n, lambda s=shared: Marks(s.value, slot_bits)), "fp long, n long"), min_count, bitmap, slot_bits)
+        _marked(_stream(rows.select("text", "salt"), _fingerprints(poly_of, max_words, n, lambda s=shared: Marks(s.value, slot_bits)), "bucket int, low array<int>, n array<long>"), min_count, bitmap, slot_bits)
     shared = spark.sparkContext.broadcast(bitmap)
     found = _stream(
         rows.select("text", "salt", "text_key"), _pointers(poly_of, max_words, lambda: Marks(shared.value, slot_bits)), "fp long, checked long, n long, text_key long, place long"
