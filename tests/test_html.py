@@ -100,3 +100,16 @@ def test_many_phones(spark):
     start = time.time()
     found = one(spark, page, C.phone_candidates("html"))
     assert len({c.phone for c in found}) == len(found) > 500 and time.time() - start < 60
+
+
+@pytest.mark.parametrize("bad", ["<div class='phone'>x" * 100_000, "<p>" + "<span class=\"tel\">713-868-4111 " * 30_000 + "</p>"])
+def test_unclosed_class_tags(spark, bad):
+    start = time.time()
+    found = one(spark, "<b class='phone'>(281) 445-9065</b>" + bad, C.phone_candidates("html"))
+    assert ("(281) 445-9065", "css_class") in {(c.phone, c.method) for c in found} and time.time() - start < 60
+
+
+def test_class_tags_before_and_behind_the_last_end_tag(spark):
+    page = "<DIV class='contact'>713-868-4111</div> <div class='phone'>281-445-9065 <span class='tel'>832-467-0147</SPAN> <p class='phone'>409-763-2211"
+    found = one(spark, page, C.phone_candidates("html"))
+    assert {c.phone for c in found if c.method == "css_class"} == {"(713) 868-4111", "(832) 467-0147"}

@@ -169,6 +169,18 @@ def _joined_groups(body: Column, pattern: str) -> Column:
     return F.transform(parts, lambda z: F.concat(z["g1"], z["g2"], z["g3"]))
 
 
+def _without_open(html: Column, names: Column) -> Column:
+    """Start tags of these names with no end tag of their name behind them get
+    a space behind ``<``, so that no pattern tries each of them to the end of
+    the page; they are still stripped as tags."""
+    def one(page, name):
+        end = F.length(F.call_function("regexp_extract", page, F.concat(F.lit("(?is)^.*</"), name, F.lit(r"\s*>")), F.lit(0)))
+        rest = F.regexp_replace(F.substr(page, end + 1), F.concat(F.lit("(?i)<(?="), name, F.lit(r"\b)")), F.lit("< "))
+        return F.concat(F.substr(page, F.lit(1), end), rest)
+
+    return F.aggregate(names, html, one)
+
+
 def phone_candidates(html: Column | str) -> Column:
     """Array of {phone, confidence, method}: one entry per phone, the most
     trusted method wins, ties to the earlier method and position."""
@@ -179,8 +191,9 @@ def phone_candidates(html: Column | str) -> Column:
         F.regexp_extract(h, r"(?is)<[^<>]*itemprop\s*=\s*[\"'][^\"'<>]*phone[^\"'<>]*[\"'][^<>]*content\s*=\s*[\"']([^\"']*)", 1),
         F.regexp_extract(h, r"(?is)<[^<>]*itemprop\s*=\s*[\"'][^\"'<>]*phone[^\"'<>]*[\"'][^<>]*>([^<]*)", 1),
     )
+    head = r"(?is)<(\w+)\b[^<>]*class\s*=\s*[\"'][^\"'<>]*(?:phone|tel|contact)[^\"'<>]*[\"'][^<>]*>"
     classed = F.transform(
-        all_matches(h, r"(?is)<(\w+)\b[^<>]*class\s*=\s*[\"'][^\"'<>]*(?:phone|tel|contact)[^\"'<>]*[\"'][^<>]*>(.*?)</\1\s*>", 2),
+        all_matches(_without_open(h, F.array_distinct(F.transform(all_matches(h, head, 1), lambda n: F.lower(n)))), head + r"(.*?)</\1\s*>", 2),
         lambda x: F.regexp_replace(x, r"<[^<>]*>", " "),
     )
 
