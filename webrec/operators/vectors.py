@@ -1,9 +1,10 @@
 """Vector search over an embedding column.
 
-Query vectors are few (themes), so they travel inside the task code after a
-size check; the corpus is scanned once. Distances are a matrix product per
-Arrow batch, several times faster than a lambda per element, and top-k per
-query is cut on the map side before anything is shuffled.
+Few query vectors (themes) travel inside the task code after a size check; the
+corpus is scanned once. Distances are a matrix product per Arrow batch, several
+times faster than a lambda per element, and top-k per query is cut on the map
+side before anything is shuffled. Any number of queries goes block against
+block (``vector_topk``).
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webrec.operators.dedup import top_per_key
 
 MAX_QUERIES = 256
+#: Vectors of a block of queries, of the corpus, and queries compared at once.
+QUERY_ROWS = 4096
+CORPUS_ROWS = 16384
+TILE_ROWS = 128
 
 
 def query_vectors(df: DataFrame, key: str, vector: str, limit: int = MAX_QUERIES) -> dict[str, list[float]]:
@@ -88,6 +95,84 @@ def vector_similar(corpus: DataFrame, query: Sequence[float] | None, k: int = 5,
     return indexed(corpus, len(query), vector).select(row_id, d.alias("distance")).orderBy("distance", row_id).limit(k)
 
 
+def _block_matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = pc.list_flatten(vectors).to_numpy()
+    return flat.reshape(len(vectors), -1)
+
+
+def _nearest(k: int, max_distance: float | None):
+    """The k nearest of a block of the corpus to each query of a block. The
+    product finds who may be among them, within its rounding; distances are
+    then summed from the differences, so equal vectors tie exactly."""
+
+    def product(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        empty = pa.table({"query": queries["query"][:0], "id": corpus["id"][:0], "distance": pa.array([], pa.float64())})
+        if not queries.num_rows or not corpus.num_rows:
+            return empty
+        q, c = _block_matrix(queries["v"]), _block_matrix(corpus["v"])
+        place = np.empty(len(c), np.int64)
+        place[pc.sort_indices(corpus["id"], null_placement="at_start").to_numpy()] = np.arange(len(c))
+        norm = (c * c).sum(1)
+        found = []
+        for at in range(0, len(q), TILE_ROWS):
+            tile = q[at : at + TILE_ROWS]
+            own = (tile * tile).sum(1)
+            d = own[:, None] + norm[None, :] - 2 * (tile @ c.T)
+            slack = 1e-9 * (own + norm.max())
+            limit = np.full(len(tile), np.inf) if max_distance is None else max_distance + slack
+            if len(c) > k:
+                limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * slack)
+            for i, (row, most) in enumerate(zip(d, limit)):
+                near = np.flatnonzero(row <= most)
+                exact = ((c[near] - tile[i]) ** 2).sum(1)
+                if max_distance is not None:
+                    near, exact = near[exact < max_distance], exact[exact < max_distance]
+                first = np.lexsort((place[near], exact))[:k]
+                found.append((np.full(len(first), at + i), near[first], exact[first]))
+        rows, hits, distance = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query": queries["query"].take(pa.array(rows)), "id": corpus["id"].take(pa.array(hits)), "distance": distance})
+
+    return product
+
+
+def vector_topk(
+    corpus: DataFrame, queries: DataFrame, k: int = 5, max_distance: float | None = None, query_id: str = "query_id", vector: str = "embedding", row_id: str = "vec_id",
+    query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS,
+) -> DataFrame:
+    """``query_id, rank, row_id, distance``: the k rows of least squared
+    distance to each row of ``queries``, of those nearer than ``max_distance``
+    where it is given; ties by row id. Query ids are unique.
+
+    Both tables are dealt into blocks by position, each block of queries meets
+    each block of the corpus in one task, and only k rows per query leave it;
+    the ranking merges them, again cut to k before its shuffle. No vector
+    reaches the driver, two counts do. The smaller ``query_rows``, the oftener
+    the corpus is sent: once per block of queries.
+
+    Vectors that are null, empty or hold null or non-finite components neither
+    ask nor answer; only vectors of one length are compared. Repeated rows
+    answer each; an empty table gives no rows; other columns are not read."""
+
+    def sound(df: DataFrame, key: str, name: str) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        good = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        return df.select(F.col(key).alias(name), v.alias("v")).where(good)
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_own)).cast("int")
+        return df.withColumn(own, block).withColumn("dim", F.size("v")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    asked, rows = sound(queries, query_id, "query"), sound(corpus, row_id, "id")
+    n_q, n_c = (max(1, -(-df.count() // size)) for df, size in ((asked, query_rows), (rows, corpus_rows)))
+    pair = ["dim", "q_block", "c_block"]
+    left, right = dealt(asked, "q_block", n_q, "c_block", n_c), dealt(rows, "c_block", n_c, "q_block", n_q)
+    schema = f"query {asked.schema['query'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
+    hits = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(_nearest(k, max_distance), schema)
+    order = Window.partitionBy("query").orderBy("distance", "id")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_id), "rank", F.col("id").alias(row_id), "distance")
+
+
 def cosine_filter(rows: DataFrame, query: Sequence[float] | None, more_than: float = 0.3, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
     """Rows with cosine above the limit, best first; none without a query."""
     if query is None:

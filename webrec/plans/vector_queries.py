@@ -47,6 +47,14 @@ _Q = f"WITH {_V}, q AS (SELECT a AS b FROM e WHERE vec_id = 7)"
 query("vector_similar", f"{_Q} SELECT vec_id, round({_D}, 6) AS distance FROM e, q ORDER BY {_D}, vec_id LIMIT 10")(
     lambda spark, sf_dir: V.vector_similar(_emb(spark, sf_dir), _one(spark, sf_dir), 10).select("vec_id", F.round("distance", 6).alias("distance"))
 )
+query(
+    "vector_topk",
+    f"WITH {_V}, d AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum([(e.a[i] - q.a[i]) * (e.a[i] - q.a[i]) for i in range(1, len(e.a) + 1)]) AS d FROM e, e AS q WHERE q.vec_id % 50 = 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 10",
+)(
+    lambda spark, sf_dir: V.vector_topk(_emb(spark, sf_dir), _emb(spark, sf_dir).where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+    .select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+)
 _COS = "list_sum([a[i] * b[i] for i in range(1, len(a) + 1)]) / (sqrt(list_sum([x * x for x in a])) * sqrt(list_sum([x * x for x in b])))"
 query("cosine_filter", f"{_Q} SELECT vec_id, label, round({_COS}, 6) AS similarity FROM e, q WHERE {_COS} > 0.2")(
     lambda spark, sf_dir: V.cosine_filter(_emb(spark, sf_dir), _one(spark, sf_dir), 0.2).withColumn("similarity", F.round("similarity", 6))
