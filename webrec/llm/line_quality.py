@@ -98,7 +98,8 @@ def line_quality(
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
     ).withColumn("text_key", F.xxhash64("text", "host"))
     rows = line_rows(docs)
-    frequent = rows.groupBy("line_key").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs).select("line_key")
+    # counts a column that the join needs too, so both read one shuffle
+    frequent = rows.groupBy("line_key").agg(F.count("n").alias("n_docs")).filter(F.col("n_docs") > max_docs).select("line_key")
     removed = rows.join(frequent, "line_key").groupBy("doc_id", "text_key").agg(F.sum("n").alias("n_removed_words"))
     base = base_rules(docs, min_words, max_repeat_percent)
     both = base.join(
