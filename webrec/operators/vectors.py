@@ -143,7 +143,9 @@ def vector_topk(
     distance to each row of ``queries``, of those nearer than ``max_distance``
     where it is given; ties by row id. Query ids are unique.
 
-    Both tables are dealt into blocks by position, each block of queries meets
+    Both tables are dealt into blocks by position, so they should be stored: an
+    input whose row order changes when a lost task runs again may move rows
+    between blocks. Each block of queries meets
     each block of the corpus in one task, and only k rows per query leave it;
     the ranking merges them, again cut to k before its shuffle. No vector
     reaches the driver, two counts do. The smaller ``query_rows``, the oftener
