@@ -113,3 +113,11 @@ def test_class_tags_before_and_behind_the_last_end_tag(spark):
     page = "<DIV class='contact'>713-868-4111</div> <div class='phone'>281-445-9065 <span class='tel'>832-467-0147</SPAN> <p class='phone'>409-763-2211"
     found = one(spark, page, C.phone_candidates("html"))
     assert {c.phone for c in found if c.method == "css_class"} == {"(713) 868-4111", "(832) 467-0147"}
+
+
+def test_cut_references_stay(spark):
+    page = '<body><article><h1>t</h1>R&amp;D and&amp <a href="/x?a=1&copy=2&amp;b=3">l&lt;</a> &notit; &#65;&#x42; end&am</article></body>'
+    want = "t R&D and&amp l< &notit; AB end&am"
+    assert one(spark, page, H.html_to_text("html")) == want
+    assert one(spark, page, H.html_main_text("html", 5)) == want
+    assert hits(page, "a", "attrs") == [{"href": "/x?a=1&copy=2&b=3"}]
