@@ -117,8 +117,10 @@ query(
     f"{CP} SELECT page_id, arg_max(phone, confidence) AS phone, max(confidence) AS confidence FROM ({_BEST}) GROUP BY page_id",
 )(
     lambda spark, sf_dir: view(spark, sf_dir, "company_pages")
-    .select("page_id", C.best_phone(C.phone_candidates("html")).alias("c")).where("c is not null")
-    .select("page_id", "c.phone", F.col("c.confidence").cast("bigint").alias("confidence"))
+    # a filter on the result would be pushed below it and make page and phones
+    # again; inside the generator each page is worked on once
+    .select("page_id", F.inline(F.array_compact(F.array(C.best_phone(C.phone_candidates("html"))))))
+    .select("page_id", "phone", F.col("confidence").cast("bigint").alias("confidence"))
 )
 
 # -- cleaning -----------------------------------------------------------------
