@@ -6,7 +6,7 @@ from webrec.functions import html as H
 from webrec.functions.html_select import first_text, html_select_all
 from webrec.operators import extraction as X
 from webrec.plans import sqltext as S
-from webrec.plans.inputs import table, view, with_views
+from webrec.plans.inputs import customers, table, view, with_views
 from webrec.plans.registry import query
 
 DROP = "script|style|nav|header|footer|aside"
@@ -151,7 +151,7 @@ query(
        UNION ALL SELECT c_custkey, 2, 'Two', 'http://two.org/' || c_custkey, 'Two' FROM customer""",
 )(
     lambda spark, sf_dir: X.html_serp_items(
-        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.expr(_SERP).alias("html"))
+        customers(spark, sf_dir).select(F.col("c_custkey").alias("page_id"), F.expr(_SERP).alias("html"))
     ).withColumn("pos", F.col("pos").cast("bigint"))
 )
 
@@ -164,7 +164,7 @@ query(
        UNION ALL SELECT c_custkey, 1, 'XYZ Scrap Yard', '', NULL, NULL, '', NULL FROM customer""",
 )(
     lambda spark, sf_dir: X.html_listing_cards(
-        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.lit("").alias("url"), F.expr(_CARDS).alias("html"))
+        customers(spark, sf_dir).select(F.col("c_custkey").alias("page_id"), F.lit("").alias("url"), F.expr(_CARDS).alias("html"))
     ).withColumn("pos", F.col("pos").cast("bigint")).withColumn("categories", F.array_join("categories", "|"))
 )
 
