@@ -6,7 +6,7 @@ import pytest
 
 from webrec.functions import contacts as C
 from webrec.functions import html as H
-from webrec.functions.html_select import compile_selector, select_html
+from webrec.functions.html_select import Steps, compile_selector, html_select_all, select_html
 from webrec.functions.html_tree import Tree
 from webrec.operators import extraction as X
 
@@ -121,3 +121,20 @@ def test_cut_references_stay(spark):
     assert one(spark, page, H.html_to_text("html")) == want
     assert one(spark, page, H.html_main_text("html", 5)) == want
     assert hits(page, "a", "attrs") == [{"href": "/x?a=1&copy=2&b=3"}]
+
+
+def test_selectors_are_filed_once_for_many_pages(spark, monkeypatch):
+    """More pages than are worked on at once, empty ones included, in one task."""
+    pages = [(i, None if i % 50 == 7 else f'<div class="a">t{i}</div><p id=x title="v">' * (i % 3)) for i in range(200)]
+    df = spark.createDataFrame(pages, "i int, html string").coalesce(1)
+    got = df.select("i", html_select_all("html", {"d": ".a", "p": "p#x"}, ("text", "attrs")).alias("s")).orderBy("i").collect()
+    for i, s in got:
+        n = 0 if i % 50 == 7 else i % 3
+        assert [h.text for h in s.d] == [f"t{i}"] * n
+        assert [h.attrs for h in s.p] == [{"id": "x", "title": "v"}] * n
+    made = []
+    plain = Steps.__init__
+    monkeypatch.setattr(Steps, "__init__", lambda self, compiled: (made.append(1), plain(self, compiled))[1])
+    steps = Steps({"d": compile_selector(".a")})
+    assert [len(select_html(h or "", steps)["d"]) for _, h in pages[:9]] == [0, 1, 2, 0, 1, 2, 0, 0, 2]
+    assert len(made) == 1

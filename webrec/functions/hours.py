@@ -60,23 +60,34 @@ def interval_text(interval: Column) -> Column:
         *[F.try_element_at(all_matches(interval, _PARTS, g), F.lit(k)).alias(f"{n}{k}") for k in (1, 2) for g, n in ((1, "h"), (2, "m"), (3, "p"))]
     )
 
-    def build(t):
-        h1, h2 = t["h1"].cast("int"), t["h2"].cast("int")
-        m1, m2 = (F.coalesce(blank_to_null(t[f"m{k}"]).cast("int"), F.lit(0)) for k in (1, 2))
-        half = lambda h, p: F.when(h > 12, h).otherwise(h % 12 + F.when(p == "p", 12).otherwise(0))
-        bare1, bare2 = t["p1"] == "", t["p2"] == ""
-        same = half(h1, t["p2"])
+    half = lambda h, p: F.when(h > 12, h).otherwise(h % 12 + F.when(p == "p", 12).otherwise(0))
+    say = lambda h, m: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))
+
+    # each step reads the one before several times, so each is worked out once
+    def numbers(t):
+        hours = [t[f"h{k}"].cast("int").alias(f"h{k}") for k in (1, 2)]
+        minutes = [F.coalesce(blank_to_null(t[f"m{k}"]).cast("int"), F.lit(0)).alias(f"m{k}") for k in (1, 2)]
+        return F.struct(*hours, *minutes, t["p1"].alias("p1"), t["p2"].alias("p2"))
+
+    def opening(n):
+        same = half(n["h1"], n["p2"])
         opens = (
-            F.when(~bare1, half(h1, t["p1"])).when(bare2, h1)
-            .when(same * 60 + m1 < half(h2, t["p2"]) * 60 + m2, same).otherwise(h1 % 24)
+            F.when(n["p1"] != "", half(n["h1"], n["p1"])).when(n["p2"] == "", n["h1"])
+            .when(same * 60 + n["m1"] < half(n["h2"], n["p2"]) * 60 + n["m2"], same).otherwise(n["h1"] % 24)
         )
-        later = (h2 * 60 + m2 <= opens * 60 + m1) & (h2 < 12) & (h2 + 12 > opens)
-        closes = F.when(~bare2, half(h2, t["p2"])).when(later, h2 + 12).otherwise(h2)
-        say = lambda h, m: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))
-        real = (opens <= 24) & (closes <= 24) & (m1 < 60) & (m2 < 60)
-        return F.when(real, F.concat(say(opens, m1), F.lit("-"), say(closes, m2)))
+        return F.struct(n.alias("n"), opens.alias("opens"))
+
+    def closing(o):
+        n, opens = o["n"], o["opens"]
+        later = (n["h2"] * 60 + n["m2"] <= opens * 60 + n["m1"]) & (n["h2"] < 12) & (n["h2"] + 12 > opens)
+        closes = F.when(n["p2"] != "", half(n["h2"], n["p2"])).when(later, n["h2"] + 12).otherwise(n["h2"])
+        return F.struct(n["m1"].alias("m1"), n["m2"].alias("m2"), opens.alias("opens"), closes.alias("closes"))
+
+    def build(c):
+        real = (c["opens"] <= 24) & (c["closes"] <= 24) & (c["m1"] < 60) & (c["m2"] < 60)
+        return F.when(real, F.concat(say(c["opens"], c["m1"]), F.lit("-"), say(c["closes"], c["m2"])))
 
-    return let(t, build)
+    return let(let(let(let(t, numbers), opening), closing), build)
 
 
 def hours_segments(body: Column | str) -> Column:
@@ -92,7 +103,7 @@ def hours_segments(body: Column | str) -> Column:
 
     segments = F.filter(F.transform(found, one), lambda s: (F.size(s["days"]) > 0) & (s["times"] != ""))
     always = F.array(F.struct(F.sequence(F.lit(1), F.lit(7)).alias("days"), F.lit("00:00-24:00").alias("times")))
-    return F.when((F.size(segments) == 0) & low.rlike(_ALWAYS), always).otherwise(segments)
+    return let(segments, lambda s: F.when((F.size(s) == 0) & low.rlike(_ALWAYS), always).otherwise(s))
 
 
 def normalize_hours(body: Column | str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webrec import lexicons as L
-from webrec.functions.common import all_matches, at_most, col, text
+from webrec.functions.common import all_matches, at_most, col, let, text
 from webrec.functions.contacts import extract_phones
 
 
@@ -56,23 +56,28 @@ def _write(plan: Plan, national: Column) -> Column:
 def plan_number(number: Column, region: Column, plans=PLANS) -> Column:
     """A number as ``+<code> <national>``, North American ones as
     ``(AAA) EEE-NNNN``; null where no plan knows it."""
-    digits = F.regexp_replace(number, r"\D", "")
-    abroad = number.rlike(r"^\(?\+|^\(?00")
-    whole = F.regexp_replace(digits, "^00", "")
     home = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SAME_PLAN.items() for x in pair]), region), region)
+    seen = F.struct(F.regexp_replace(number, r"\D", "").alias("digits"), number.rlike(r"^\(?\+|^\(?00").alias("abroad"), home.alias("home"))
 
-    def attempt(name: str, plan: Plan) -> Column:
+    def abroad(plan: Plan, whole: Column) -> Column:
         # a trunk in brackets behind the code, "+44 (0)20", is not dialled
         after = F.regexp_replace(F.substr(whole, F.lit(len(plan.code) + 1)), f"^{plan.trunk}" if plan.trunk == "0" else "^$", "")
-        inland = F.regexp_replace(digits, f"^{plan.trunk}", "")
-        bare = digits.rlike(f"^(?:{plan.bare})$") if plan.bare else F.lit(False)
+        return F.when(whole.startswith(plan.code) & after.rlike(f"^(?:{plan.valid})$"), _write(plan, after))
+
+    def inland(name: str, plan: Plan, n: Column) -> Column:
+        short = F.regexp_replace(n["digits"], f"^{plan.trunk}", "")
+        bare = n["digits"].rlike(f"^(?:{plan.bare})$") if plan.bare else F.lit(False)
         return (
-            F.when(abroad & whole.startswith(plan.code) & after.rlike(f"^(?:{plan.valid})$"), _write(plan, after))
-            .when(~abroad & (home == name) & bare, _write(plan, digits))
-            .when(~abroad & (home == name) & digits.startswith(plan.trunk) & inland.rlike(f"^(?:{plan.valid})$"), _write(plan, inland))
+            F.when((n["home"] == name) & bare, _write(plan, n["digits"]))
+            .when((n["home"] == name) & n["digits"].startswith(plan.trunk) & short.rlike(f"^(?:{plan.valid})$"), _write(plan, short))
         )
 
-    return F.coalesce(*[attempt(n, p) for n, p in plans.items()])
+    # what all plans ask for is worked out once
+    def read(n):
+        far = let(F.regexp_replace(n["digits"], "^00", ""), lambda whole: F.coalesce(*[abroad(p, whole) for p in plans.values()]))
+        return F.when(n["abroad"], far).otherwise(F.coalesce(*[inland(k, p, n) for k, p in plans.items()]))
+
+    return let(seen, read)
 
 
 def extract_phones_by_region(body: Column | str, region: Column | str, plans=PLANS, limit: int | None = None) -> Column:
@@ -91,6 +96,12 @@ def extract_phones_by_region(body: Column | str, region: Column | str, plans=PLA
 def page_phones(body: Column | str, region: Column) -> Column:
     """Numbers by the plans. North American pages, and pages without any, also
     give what ten digits in a row of blocks look like."""
-    own = extract_phones_by_region(body, region)
     loose = extract_phones(body)
-    return F.when(region.isin("US", "CA"), F.array_distinct(F.concat(loose, own))).when(F.size(own) > 0, own).otherwise(loose)
+
+    def both(v):
+        american = v["region"].isin("US", "CA")
+        return F.when(american, F.array_distinct(F.concat(loose, v["own"]))).when(F.size(v["own"]) > 0, v["own"]).otherwise(loose)
+
+    # the region once for a page, not for every number and plan
+    own = lambda r: F.struct(r.alias("region"), extract_phones_by_region(body, r).alias("own"))
+    return let(let(region, own), both)

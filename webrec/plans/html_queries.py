@@ -135,7 +135,7 @@ query(
        trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), '&amp;', '&'), '&middot;', '·'), '\\s+', ' ', 'g')) AS ad_text FROM pages""",
 )(
     lambda spark, sf_dir: _pages(spark, sf_dir).select(
-        "page_id", html_select_all("html", {"links": 'nav li a[href^="/"]', "ad": "div.ad"}).alias("s")
+        "page_id", html_select_all("html", {"links": 'nav li a[href^="/"]', "ad": "div.ad"}, ("text", "attrs")).alias("s")
     ).select(
         "page_id", F.size("s.links").cast("bigint").alias("nav_links"),
         F.get(F.col("s.links"), F.lit(0))["attrs"]["href"].alias("first_href"), first_text(F.col("s.ad")).alias("ad_text"),
