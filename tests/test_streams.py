@@ -1,9 +1,14 @@
 """Streams over several micro-batches, restarts and a replay."""
 
 import os
+import shutil
+import time
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tests.harness import compare
+from webrec.plans import all_oracles, all_queries
 from webrec.streaming import jobs as J
 
 SEEN = "event_id long, ts timestamp, url string"
@@ -72,3 +77,54 @@ def test_cache_stream_equals_the_batch_cache(spark, tmp_path):
     changes = spark.read.parquet(log)
     assert {r.row_id for r in changes.where("NOT alive").collect()} == {4, 5, 7, 9, 10, 13}
     assert changes.where("row_id IN (1, 3, 6, 8)").where("NOT alive").count() == 0
+
+
+def test_cache_stream_of_many_urls_a_replay_and_rows_without_a_time(spark, tmp_path):
+    """60,000 URLs in two batches: one Python call a URL and batch took minutes."""
+    landing, log, cp = (str(tmp_path / n) for n in ("in", "log", "cp"))
+    n = 60_000
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, {})"
+    first = spark.range(n).selectExpr("'u' || id url", "id event_id", f"{at.format(0)} cached_at", f"if(id % 3 = 0, NULL, {at.format(1)}) expires_at")
+    # every second URL anew, after the others' end
+    second = spark.range(0, n, 2).selectExpr("'u' || id url", f"id + {n} event_id", f"{at.format(3)} cached_at", f"{at.format(9)} expires_at")
+    # without a time: older than any, and late never
+    bare = spark.sql("SELECT * FROM VALUES ('u0', -1L, CAST(NULL AS timestamp), CAST(NULL AS timestamp)), ('bare', -2L, NULL, NULL) v(url, event_id, cached_at, expires_at)")
+    began = time.time()
+    for part in (first, second.unionByName(bare)):
+        part.coalesce(2).write.mode("append").parquet(landing)
+        J.ttl_cache_stream(spark.readStream.schema(ENTRY).parquet(landing), log, cp).awaitTermination()
+    took = time.time() - began
+    want = {(f"u{k}", k + n) for k in range(0, n, 2)} | {(f"u{k}", k) for k in range(3, n, 6)} | {("bare", -2)}
+
+    def alive():
+        return {(r.url, r.row_id) for r in J.ttl_cache_state(spark.read.parquet(log)).collect()}
+
+    assert alive() == want
+    changes = spark.read.parquet(log).groupBy("alive").count().collect()
+    gone = sum(1 for k in range(1, n, 2) if k % 3)
+    assert {r["alive"]: r["count"] for r in changes} == {True: n + n // 2 + 1, False: gone}
+    # the last batch was written, but its commit was lost
+    last = max(int(f) for f in os.listdir(f"{cp}/commits") if f.isdigit())
+    for f in (f"{last}", f".{last}.crc"):
+        if os.path.exists(f"{cp}/commits/{f}"):
+            os.remove(f"{cp}/commits/{f}")
+    J.ttl_cache_stream(spark.readStream.schema(ENTRY).parquet(landing), log, cp).awaitTermination()
+    assert alive() == want and spark.read.parquet(log).count() == n + n // 2 + 1 + gone
+    assert took < 60
+
+
+def test_cache_query_on_odd_events(spark, tmp_path):
+    """Events without an id, a user or a time, and none at all."""
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    rows = [(None, "2024-01-01 00:00:00", 1), (None, "2024-01-29 23:00:00", 2), (3, None, 3), (4, "2024-01-30 00:00:00", None), (5, "2024-01-01 00:00:00", 5), (6, "2024-01-30 01:00:00", 6)]
+    for k, some in enumerate((rows, [])):
+        folder = f"{tmp_path}/{k}"
+        events = spark.createDataFrame([(e, t, u, None, None, None) for e, t, u in some], schema.replace("timestamp", "string"))
+        events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{folder}/out")
+        part = next(f for f in os.listdir(f"{folder}/out") if f.endswith(".parquet"))
+        shutil.copy(f"{folder}/out/{part}", f"{folder}/events.parquet")
+        con = duckdb.connect()
+        con.execute("SET TimeZone='UTC'")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+        oracle = all_oracles()["ttl_cache_stream"]
+        assert compare(all_queries()["ttl_cache_stream"](spark, folder), con, oracle) is None

@@ -94,7 +94,7 @@ def ttl_cache_stream(spark, sf_dir):
         at = F.col("ts").cast("timestamp")
         entries = events.select(
             F.col("user_id").alias("url"), "event_id", at.alias("cached_at"),
-            F.when(F.col("event_id") % 5 != 0, at + F.expr("INTERVAL '6' HOUR")).alias("expires_at"),
+            F.when(F.col("event_id") % 5 == 0, None).otherwise(at + F.expr("INTERVAL '6' HOUR")).alias("expires_at"),
         )
         J.ttl_cache_stream(entries, log, checkpoint, "1 hour").awaitTermination()
     return J.ttl_cache_state(spark.read.parquet(log)).select("url", F.col("row_id").alias("event_id"))

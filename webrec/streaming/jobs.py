@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webrec.operators.dedup import first_per_key
 
@@ -27,6 +23,12 @@ def _store(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stream_new_urls(sightings: DataFrame, store: str, checkpoint: str, url: str = "url", ts: str = "ts", row_id: str = "event_id") -> StreamingQuery:
     """Insert-if-absent by URL, for all time. Each micro-batch keeps its first
     sighting per URL and drops URLs stored by other batches. The store is
@@ -73,52 +75,49 @@ def ttl_cache_lookup(cache: DataFrame, as_of: str, url: str = "url") -> DataFram
     return latest.where(F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(as_of).cast("timestamp")))
 
 
-def _cache_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One URL: the newest entry is its state, its expiry the timer. A change
-    of the state is one row."""
-
-    def change(entry: tuple, alive: bool) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *entry, alive)], columns=["url", "cached_us", "row_id", "expires_ms", "alive"])
-
-    if state.hasTimedOut:
-        entry = state.get
-        state.remove()
-        yield change(entry, False)
-        return
-    held = state.get if state.exists else None
-    entry = max(t for b in batches for t in zip(b["cached_us"].tolist(), b["row_id"].tolist(), b["expires_ms"].tolist()))
-    if held is not None and held[:2] >= entry[:2]:
-        entry = held
-    else:
-        yield change(entry, True)
-    expires, now = entry[2], state.getCurrentWatermarkMs()
-    if expires < now:  # over before it came
-        if state.exists:
-            state.remove()
-        yield change(entry, False)
-        return
-    state.update(entry)
-    if expires < NEVER:
-        state.setTimeoutTimestamp(max(expires, now + 1))
-
-
 def ttl_cache_stream(entries: DataFrame, log: str, checkpoint: str, delay: str = "10 minutes", url: str = "url", row_id: str = "event_id") -> StreamingQuery:
     """The cache with expiry over a stream of ``url, row_id, cached_at,
-    expires_at``. Keyed state holds the newest entry of each URL until event
-    time passes its expiry, then its timer removes it; an entry without an
-    expiry stays. Each change is one row of the table ``log``: an entry that
+    expires_at``. The state holds the newest entry of each URL until event time
+    (the newest ``cached_at`` less ``delay``) passes its expiry; an entry without
+    an expiry stays. Each change is one row of the table ``log``: an entry that
     came (``alive``) or went. Entries later than ``delay`` are dropped. So the
     state grows with the live URLs, not with the entries; read the table with
-    ``ttl_cache_state``."""
-    slim = entries.withWatermark("cached_at", delay).select(
-        F.col(url).alias("url"), F.col(row_id).cast("long").alias("row_id"), "cached_at", F.unix_micros("cached_at").alias("cached_us"),
+    ``ttl_cache_state``.
+
+    A micro-batch is one aggregate of its entries and the state before it, to
+    which a task sends at most one row a URL. The state lies with the checkpoint,
+    one folder a batch, of which the last two are kept. A batch only reads the
+    one before it and owns its folders, so a replay overwrites itself."""
+    state = f"{checkpoint.rstrip('/')}/cache"
+    slim = entries.select(
+        F.col(url).alias("url"), F.unix_micros("cached_at").alias("cached_us"), F.col(row_id).cast("long").alias("row_id"),
         F.coalesce(F.unix_millis("expires_at"), F.lit(NEVER)).alias("expires_ms"),
     )
-    entry = "cached_us long, row_id long, expires_ms long"
-    changes = slim.groupBy("url").applyInPandasWithState(
-        _cache_step, f"url {slim.schema['url'].dataType.simpleString()}, {entry}, alive boolean", entry, "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return changes.writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    clock = F.unix_millis(F.timestamp_micros(F.max("cached_us")) - F.lit(delay).cast("interval"))
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before, own = f"{state}/batch={n - 1}", f"{state}/batch={n}"
+        rows, now = batch.withColumn("held", F.lit(False)), None
+        if n:
+            now = spark.read.parquet(f"{before}/clock").first()[0]
+            held = spark.read.parquet(f"{before}/entries").withColumn("held", F.lit(True))
+            if now is not None:
+                held = held.where(F.col("expires_ms") >= now)
+                rows = rows.where(F.col("cached_us").isNull() | (F.col("cached_us") > now * 1000))
+            rows = rows.unionByName(held)
+        # of equal entries the one held stays
+        newest = rows.groupBy("url").agg(F.max(F.struct("cached_us", "row_id", "held", "expires_ms")).alias("r")).select("url", "r.*")
+        newest.write.mode("overwrite").parquet(f"{own}/entries")
+        newest = spark.read.parquet(f"{own}/entries")
+        now = max((t for t in (now, newest.agg(clock).first()[0]) if t is not None), default=None)
+        over = F.col("expires_ms") < F.lit(now).cast("long")
+        changes = F.array_compact(F.array(F.when(~F.col("held"), F.lit(True)), F.when(over, F.lit(False))))
+        newest.select("url", "cached_us", "row_id", "expires_ms", F.explode(changes).alias("alive")).write.mode("overwrite").parquet(f"{log.rstrip('/')}/batch={n}")
+        spark.range(1).select(F.lit(now).cast("long").alias("now")).write.mode("overwrite").parquet(f"{own}/clock")
+        _remove(spark, f"{state}/batch={n - 2}")
+
+    return slim.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ttl_cache_state(log: DataFrame) -> DataFrame:
