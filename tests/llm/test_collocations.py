@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,6 +95,24 @@ def test_one_word_longer_than_a_block(spark):
     check(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), min_count=3)
 
 
+def test_a_task_sends_each_phrase_once(monkeypatch):
+    """However often it counts, with the sums and the first and the last text."""
+    monkeypatch.setattr(C, "HELD", 20)
+    texts, keys = ["a b c. a b", "a b", "B c, a B c", "c"] * 30, [7, -3, 9, 1] * 30
+    work, end = C._pointers(C.Polynomials, 3, lambda: C.Marks(np.full(1, 2**64 - 1, np.uint64), 6))()
+    sent = []
+    for k in range(0, 120, 4):
+        sent += work(pa.RecordBatch.from_pydict({"text": texts[k : k + 4], "salt": pa.array([5] * 4, pa.int64()), "text_key": pa.array(keys[k : k + 4], pa.int32())}))
+    sent += end()
+    rows = [dict(zip(C.POINTED, x)) for b in sent for r in b.to_pylist() for x in zip(*(r[c] for c in C.POINTED))]
+    assert len(rows) == len({(r["fp"], r["checked"], r["words"]) for r in rows}) == 7
+    at = {(r["words"], r["n"], r["key_0"], r["at_0"], r["key_1"], r["at_1"]) for r in rows}
+    assert at == {
+        (1, 120, -3, 0, 9, 5), (1, 150, -3, 2, 9, 0), (1, 120, 1, 0, 9, 2),  # a, b, c
+        (2, 120, -3, 0, 9, 5), (2, 90, 7, 2, 9, 0), (3, 60, 7, 0, 9, 5), (0, 390, 1, 0, 1, 0),  # all words, at the last text
+    }
+
+
 def test_collisions_count_apart(spark, sf_dir):
     """Fingerprints of 6 bits: the checks part them. A bitmap of 64 bits: nothing is lost."""
     df = documents(spark, sf_dir)

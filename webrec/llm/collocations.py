@@ -9,8 +9,9 @@ all n-grams', each by one subtraction. The texts are read in turn to
    one stands (``SLOT_BITS``): it may mark too many, never too few.
 2. count those marked again with a second polynomial, modulo a prime, as check,
    and with pointers (hash of language and text, byte offset) to their first
-   and last occurrence in hash order. Both polynomials are the key, so a
-   collision of fingerprints counts apart.
+   and last occurrence in hash order. Both polynomials and the number of words
+   are the key, so a collision of fingerprints counts apart. A task adds up what
+   it reads before it sends it on.
 3. materialise the frequent ones: pointers meet the texts, both occurrences are
    read, hashed again and compared. Two texts under one pointer are told apart
    by this; two phrases under one key fail the job (another seed parts them),
@@ -47,8 +48,11 @@ BUCKET_BITS = 12
 COUNTED_BITS = BUCKET_BITS + 32
 #: Distinct counted fingerprints that a task holds before they go on.
 PACKED = 1 << 20
-#: Bits of a text's pointer; texts that share one are all read.
-KEY_BITS = 40
+#: The same of fingerprints with pointers, of some 150 bytes while they are
+#: sorted: with fewer, a task would send on the same ones several times.
+POINTS = 1 << 21
+#: Bits of a text's pointer, an integer; texts that share one are all read.
+KEY_BITS = 32
 #: Bytes hashed at once, and n-grams held before they are counted and go on.
 BLOCK = 1 << 16
 HELD = 1 << 17
@@ -209,22 +213,13 @@ class Marks:
         return (self.words[(slot >> U(6)).astype(np.int64)] >> (slot & U(63)) & U(1)).astype(bool)
 
 
-def _counted(fp: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct (fingerprint, check), how often each occurs, and the first
-    occurrence's further columns."""
+def _counted(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints and how often each occurs."""
     if not len(fp):
-        return [fp, np.empty(0, np.int64), *others]
-    if not others:
-        fp = np.sort(fp)
-        first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-        return [fp[first], np.diff(np.append(first, len(fp)))]
-    order = np.argsort(fp, kind="stable")
-    f, c = fp[order], others[0][order]
-    if np.any((f[1:] == f[:-1]) & (c[1:] != c[:-1])):  # fingerprints collide
-        order = np.lexsort((others[0], fp))
-        f, c = fp[order], others[0][order]
-    first = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (c[1:] != c[:-1])]))
-    return [f[first], np.diff(np.append(first, len(f))), *(o[order[first]] for o in others)]
+        return fp, np.empty(0, np.int64)
+    fp = np.sort(fp)
+    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+    return fp[first], np.diff(np.append(first, len(fp)))
 
 
 def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,13 +231,34 @@ def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return fp[first], np.add.reduceat(count, first)
 
 
-def _packed(fp: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket: the rest of its fingerprints and their counts."""
-    bucket = (fp >> U(32)).astype(np.int32)
+def _pointed(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """One run of distinct (fingerprint, tag), sorted, with the sums of their
+    counts, the first pointer (text, offset) and the last."""
+    fp, tag, n, key_0, at_0, key_1, at_1 = (np.concatenate(x) for x in zip(*runs))
+    if not len(fp):
+        return [fp, tag, n, key_0, at_0, key_1, at_1]
+    order = np.argsort(fp, kind="stable")
+    f, t = fp[order], tag[order]
+    if np.any((f[1:] == f[:-1]) & (t[1:] != t[:-1])):  # fingerprints collide
+        order = np.lexsort((tag, fp))
+        f, t = fp[order], tag[order]
+    new = np.concatenate([[True], (f[1:] != f[:-1]) | (t[1:] != t[:-1])])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    out = [f[first], t[first], np.add.reduceat(n[order], first)]
+    for key, at, least in ((key_0[order], at_0[order], np.minimum), (key_1[order], at_1[order], np.maximum)):
+        best = least.reduceat(key, first)
+        hit = np.flatnonzero(key == best[group])
+        # of several in that text, the one that stands first
+        out += [best, at[hit[np.concatenate([[True], group[hit[1:]] != group[hit[:-1]]])]]]
+    return out
+
+
+def _packed(bucket: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket, with the columns as arrays; sorted by bucket."""
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    cuts = pa.array(np.append(first, len(fp)), pa.int32())
-    low = pa.array(fp.astype(np.uint32).view(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.ListArray.from_arrays(cuts, low), pa.ListArray.from_arrays(cuts, pa.array(count))], ["bucket", "low", "n"])
+    cuts = pa.array(np.append(first, len(bucket)), pa.int32())
+    arrays = [pa.array(bucket[first], pa.int32()), *(pa.ListArray.from_arrays(cuts, pa.array(c)) for c in cols.values())]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", *cols])
 
 
 def _fingerprints(poly_of, max_words: int, n: int, marks_of):
@@ -254,7 +270,7 @@ def _fingerprints(poly_of, max_words: int, n: int, marks_of):
         poly, marks, held, runs = poly_of(), marks_of() if n > 2 else None, [], []
 
         def count():
-            fp, times = _counted(np.concatenate(held) >> U(64 - COUNTED_BITS), [])
+            fp, times = _counted(np.concatenate(held) >> U(64 - COUNTED_BITS))
             held.clear()
             if len(fp):
                 runs.append((fp, times))
@@ -263,7 +279,8 @@ def _fingerprints(poly_of, max_words: int, n: int, marks_of):
             """The sums of all runs, where they have so many fingerprints."""
             runs[:] = [_summed(runs)]
             if len(runs[0][0]) >= least:
-                yield _packed(*runs.pop())
+                fp, times = runs.pop()
+                yield _packed((fp >> U(32)).astype(np.int32), {"low": fp.astype(np.uint32).view(np.int32), "n": times})
 
         def work(batch):
             salts = batch.column("salt").to_numpy().view(U)
@@ -291,20 +308,31 @@ def _fingerprints(poly_of, max_words: int, n: int, marks_of):
     return make
 
 
+#: What travels of each fingerprint that is marked, by bucket.
+POINTED = {"fp": "long", "checked": "int", "words": "smallint", "n": "long", "key_0": "int", "at_0": "int", "key_1": "int", "at_1": "int"}
+
+
 def _pointers(poly_of, max_words: int, marks_of):
-    """Counts, checks and pointers of what is marked. ``place`` holds the
-    offset and the number of words."""
-    names = ["fp", "checked", "n", "text_key", "place"]
+    """Counts, checks and pointers of what is marked."""
 
     def make():
-        poly, marks, held, total = poly_of(), marks_of(), [], {}
+        poly, marks, held, runs, total = poly_of(), marks_of(), [], [], {}
 
-        def flush():
-            if held:
-                fp, check, key, place = (np.concatenate(x) for x in zip(*held))
-                held.clear()
-                fp, count, check, key, place = _counted(fp, [check, key, place])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (fp.view(np.int64), check, count, key, place))], names)
+        def count():
+            fp, tag, key, at = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            if len(fp):
+                runs.append(_pointed([[fp, tag, np.ones(len(fp), np.int64), key, at, key, at]]))
+
+        def pack(fp, tag, n, *pointers):
+            check, words = np.divmod(tag, max_words + 1)
+            cols = [fp.view(np.int64), check.astype(np.int32), words.astype(np.int16), n, *(p.astype(np.int32) for p in pointers)]
+            return _packed((fp >> U(64 - BUCKET_BITS)).astype(np.int32), dict(zip(POINTED, cols)))
+
+        def flush(least: int):
+            runs[:] = [_pointed(runs)]
+            if len(runs[0][0]) >= least:
+                yield pack(*runs.pop())
 
         def work(batch):
             salts, keys = batch.column("salt").to_numpy(), batch.column("text_key").to_numpy()
@@ -316,15 +344,22 @@ def _pointers(poly_of, max_words: int, marks_of):
                             words, key = total.get(salts[k], (0, 0))
                             total[salts[k]] = words + int(size[k]), int(keys[k])
                     good = new & marks.has(fp)
-                    held.append((fp[good], check[good], keys[text[good]], offset[good] * (max_words + 1) + n))
+                    held.append((fp[good], check[good] * (max_words + 1) + n, keys[text[good]], offset[good]))
                 if sum(len(x[0]) for x in held) >= HELD:
-                    yield from flush()
+                    count()
+                    if sum(len(run[0]) for run in runs) >= POINTS:
+                        yield from flush(POINTS * 3 // 4)
 
         def end():
-            yield from flush()
-            # all words of a language: the count of the phrase of no words
-            cols = [[*total], [WHOLE] * len(total), [w for w, _ in total.values()], [k for _, k in total.values()], [0] * len(total)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            if held:
+                count()
+            if runs:
+                yield from flush(1)
+            if total:
+                # all words of a language: the count of the phrase of no words
+                fp = np.sort(np.array([*total], np.int64).view(U))
+                words, key = (np.array([total[s][k] for s in fp.view(np.int64)], np.int64) for k in (0, 1))
+                yield pack(fp, np.full(len(fp), WHOLE * (max_words + 1)), words, key, 0 * key, key, 0 * key)
 
         return work, end
 
@@ -358,7 +393,7 @@ def _materialise(rows: DataFrame, poly_of, max_words: int) -> DataFrame:
             for lang, salt, text, pointers in zip(*(batch.column(c).to_pylist() for c in ("lang", "salt")), raw(batch, "text"), batch.column("pointers").to_pylist()):
                 text = text.translate(LOWER)
                 for p in pointers:
-                    at, n = divmod(p["place"], max_words + 1)
+                    at, n = p["at"], p["words"]
                     if n not in patterns:
                         patterns[n] = re.compile(WORD + rb"(?:[ \t]+" + WORD + rb"){%d}" % (n - 1) if n else b"")
                     if hit := patterns[n].match(text, at):
@@ -406,7 +441,7 @@ def frequent_phrases(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang")
-    rows = docs.select(lang, text).select("lang", "text", F.xxhash64("lang").alias("salt"), F.shiftrightunsigned(F.xxhash64("lang", "text"), 64 - KEY_BITS).alias("text_key"))
+    rows = docs.select(lang, text).select("lang", "text", F.xxhash64("lang").alias("salt"), F.shiftright(F.xxhash64("lang", "text"), 64 - KEY_BITS).cast("int").alias("text_key"))
 
     def poly_of():
         return Polynomials(seed, bits)
@@ -417,15 +452,18 @@ def frequent_phrases(
         _marked(_stream(rows.select("text", "salt"), _fingerprints(poly_of, max_words, n, lambda s=shared: Marks(s.value, slot_bits)), "bucket int, low array<int>, n array<long>"), min_count, bitmap, slot_bits)
     shared = spark.sparkContext.broadcast(bitmap)
     found = _stream(
-        rows.select("text", "salt", "text_key"), _pointers(poly_of, max_words, lambda: Marks(shared.value, slot_bits)), "fp long, checked long, n long, text_key long, place long"
-    ).groupBy("fp", "checked").agg(
+        rows.select("text", "salt", "text_key"), _pointers(poly_of, max_words, lambda: Marks(shared.value, slot_bits)),
+        ", ".join(["bucket int", *(f"{c} array<{t}>" for c, t in POINTED.items())]),
+    ).repartition("bucket").select("bucket", F.inline(F.arrays_zip(*POINTED)))
+    # a partition has whole buckets here too
+    found = found.groupBy("bucket", "fp", F.col("checked").cast("long").alias("checked"), F.col("words").cast("int").alias("words")).agg(
         F.sum("n").alias("n"),
-        F.min("text_key").alias("key_0"), F.min_by("place", "text_key").alias("place_0"), F.max("text_key").alias("key_1"), F.max_by("place", "text_key").alias("place_1"),
+        F.min("key_0").alias("key_0"), F.min_by("at_0", "key_0").alias("at_0"), F.max("key_1").alias("key_1"), F.max_by("at_1", "key_1").alias("at_1"),
     )
-    often = stored(found.filter((F.col("checked") == WHOLE) | (F.col("n") >= min_count)))
-    both = F.array(*[F.struct(F.col(f"key_{k}").alias("text_key"), F.col(f"place_{k}").alias("place")) for k in (0, 1)])
-    pointer = F.struct("fp", "checked", "n", "place").alias("pointer")
-    wanted = often.select("fp", "checked", "n", F.inline(F.array_distinct(both))).groupBy("text_key").agg(F.collect_list(pointer).alias("pointers"))
+    often = stored(found.drop("bucket").filter((F.col("checked") == WHOLE) | (F.col("n") >= min_count)))
+    both = F.array(*[F.struct(F.col(f"key_{k}").alias("text_key"), F.col(f"at_{k}").alias("at")) for k in (0, 1)])
+    pointer = F.struct("fp", "checked", "words", "n", "at").alias("pointer")
+    wanted = often.select("fp", "checked", "words", "n", F.inline(F.array_distinct(both))).groupBy("text_key").agg(F.collect_list(pointer).alias("pointers"))
     # copies become one before they travel
     once = rows.groupBy("text_key").agg(F.collect_set(F.struct("lang", "salt", "text")).alias("texts"))
     read = _materialise(once.join(wanted, "text_key").select(F.inline("texts"), "pointers"), poly_of, max_words)
