@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,6 +114,24 @@ def test_a_task_sends_each_phrase_once(monkeypatch):
     }
 
 
+def test_memory_of_a_task(monkeypatch):
+    """600,000 n-grams, all different: 40 bytes each, and a sixteenth of them copied at once."""
+    monkeypatch.setattr(C, "HELD", 1 << 14)
+    texts = [" ".join(f"w{k}" for k in range(at, at + 1000)) + "." for at in range(0, 200_000, 1000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "salt": pa.array([5] * 200, pa.int64()), "text_key": pa.array(range(200), pa.int32())})
+    for make in (C._pointers(C.Polynomials, 3, lambda: C.Marks(np.full(1, 2**64 - 1, np.uint64), 6)), C._fingerprints(C.Polynomials, 3, 2, None)):
+        work, end = make()
+        sent = 0
+        tracemalloc.start()
+        for b in (b for part in (work(batch), end()) for b in part):
+            sent += len(b.column("n").values)
+            del b
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sent in (200_000 + 199_800 + 199_600 + 1, 200_000 + 199_800)
+        assert peak < 60 * sent
+
+
 def test_collisions_count_apart(spark, sf_dir):
     """Fingerprints of 6 bits: the checks part them. A bitmap of 64 bits: nothing is lost."""
     df = documents(spark, sf_dir)

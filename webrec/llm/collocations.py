@@ -48,9 +48,12 @@ BUCKET_BITS = 12
 COUNTED_BITS = BUCKET_BITS + 32
 #: Distinct counted fingerprints that a task holds before they go on.
 PACKED = 1 << 20
-#: The same of fingerprints with pointers, of some 150 bytes while they are
-#: sorted: with fewer, a task would send on the same ones several times.
+#: The same of fingerprints with pointers, of 40 bytes: with fewer, a task would
+#: send on the same ones several times.
 POINTS = 1 << 21
+#: What a task holds lies apart by so many first bits of the fingerprints and is
+#: sorted and added up one such part at a time, so that only a part is copied.
+PART_BITS = 4
 #: Bits of a text's pointer, an integer; texts that share one are all read.
 KEY_BITS = 32
 #: Bytes hashed at once, and n-grams held before they are counted and go on.
@@ -253,6 +256,34 @@ def _pointed(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
+class Runs:
+    """Runs of fingerprints of so many bits, sorted, and what goes with them;
+    ``add_up`` makes one run of several."""
+
+    def __init__(self, add_up, bits: int):
+        self.add_up, self.parts = add_up, [[] for _ in range(1 << PART_BITS)]
+        self.edges = np.arange(1, 1 << PART_BITS, dtype=U) << U(bits - PART_BITS)
+
+    def __len__(self) -> int:
+        return sum(len(run[0]) for runs in self.parts for run in runs)
+
+    def add(self, run) -> None:
+        cuts = [0, *np.searchsorted(run[0], self.edges).tolist(), len(run[0])]
+        for runs, start, end in zip(self.parts, cuts, cuts[1:]):
+            if start < end:
+                runs.append([x[start:end].copy() for x in run])  # a view would hold the whole run
+
+    def flush(self, least: int):
+        """The sums, a run for each part, where they have so many fingerprints; else they stay."""
+        for runs in self.parts:
+            if len(runs) > 1:
+                runs[:] = [self.add_up(runs)]
+        if len(self) >= least:
+            for runs in self.parts:
+                if runs:
+                    yield runs.pop()
+
+
 def _packed(bucket: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row per bucket, with the columns as arrays; sorted by bucket."""
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -267,19 +298,14 @@ def _fingerprints(poly_of, max_words: int, n: int, marks_of):
     widths = [k for k in (1, 2) if k <= max_words] if n == 2 else [n - 1, n]
 
     def make():
-        poly, marks, held, runs = poly_of(), marks_of() if n > 2 else None, [], []
+        poly, marks, held, runs = poly_of(), marks_of() if n > 2 else None, [], Runs(_summed, COUNTED_BITS)
 
         def count():
-            fp, times = _counted(np.concatenate(held) >> U(64 - COUNTED_BITS))
+            runs.add(_counted(np.concatenate(held) >> U(64 - COUNTED_BITS)))
             held.clear()
-            if len(fp):
-                runs.append((fp, times))
 
         def flush(least: int):
-            """The sums of all runs, where they have so many fingerprints."""
-            runs[:] = [_summed(runs)]
-            if len(runs[0][0]) >= least:
-                fp, times = runs.pop()
+            for fp, times in runs.flush(least):
                 yield _packed((fp >> U(32)).astype(np.int32), {"low": fp.astype(np.uint32).view(np.int32), "n": times})
 
         def work(batch):
@@ -294,7 +320,7 @@ def _fingerprints(poly_of, max_words: int, n: int, marks_of):
                     held.append(fp[new & may[at] & may[at + 1]])
                 if sum(map(len, held)) >= HELD:
                     count()
-                    if sum(len(fp) for fp, _ in runs) >= PACKED:
+                    if len(runs) >= PACKED:
                         yield from flush(PACKED // 2)
 
         def end():
@@ -316,13 +342,12 @@ def _pointers(poly_of, max_words: int, marks_of):
     """Counts, checks and pointers of what is marked."""
 
     def make():
-        poly, marks, held, runs, total = poly_of(), marks_of(), [], [], {}
+        poly, marks, held, runs, total = poly_of(), marks_of(), [], Runs(_pointed, 64), {}
 
         def count():
             fp, tag, key, at = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            if len(fp):
-                runs.append(_pointed([[fp, tag, np.ones(len(fp), np.int64), key, at, key, at]]))
+            runs.add(_pointed([[fp, tag, np.ones(len(fp), np.int64), key, at, key, at]]))
 
         def pack(fp, tag, n, *pointers):
             check, words = np.divmod(tag, max_words + 1)
@@ -330,9 +355,8 @@ def _pointers(poly_of, max_words: int, marks_of):
             return _packed((fp >> U(64 - BUCKET_BITS)).astype(np.int32), dict(zip(POINTED, cols)))
 
         def flush(least: int):
-            runs[:] = [_pointed(runs)]
-            if len(runs[0][0]) >= least:
-                yield pack(*runs.pop())
+            for run in runs.flush(least):
+                yield pack(*run)
 
         def work(batch):
             salts, keys = batch.column("salt").to_numpy(), batch.column("text_key").to_numpy()
@@ -344,10 +368,10 @@ def _pointers(poly_of, max_words: int, marks_of):
                             words, key = total.get(salts[k], (0, 0))
                             total[salts[k]] = words + int(size[k]), int(keys[k])
                     good = new & marks.has(fp)
-                    held.append((fp[good], check[good] * (max_words + 1) + n, keys[text[good]], offset[good]))
+                    held.append((fp[good], check[good] * (max_words + 1) + n, keys[text[good]], offset[good].astype(np.int32)))
                 if sum(len(x[0]) for x in held) >= HELD:
                     count()
-                    if sum(len(run[0]) for run in runs) >= POINTS:
+                    if len(runs) >= POINTS:
                         yield from flush(POINTS * 3 // 4)
 
         def end():
