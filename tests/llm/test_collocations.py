@@ -140,6 +140,12 @@ def test_collisions_count_apart(spark, sf_dir):
     assert plain == {tuple(r) for r in C.collocations(df, slot_bits=6).collect()}
 
 
+def test_texts_share_a_pointer(spark, monkeypatch):
+    """Offsets of one text fall within characters of another."""
+    monkeypatch.setattr(C, "KEY_BITS", 1)
+    assert check(spark.createDataFrame([(i, "é" * (i % 7) + "x" * (i % 3) + " à bé ç", "fr") for i in range(60)], "doc_id long, text string, lang string"))
+
+
 def test_collisions_of_both_are_seen(spark, monkeypatch):
     """Where the checks collide too, the texts tell and the job fails."""
     monkeypatch.setattr(C, "PRIME", np.int64(3))

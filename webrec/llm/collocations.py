@@ -435,9 +435,10 @@ def _materialise(rows: DataFrame, poly_of, max_words: int) -> DataFrame:
                 of = np.flatnonzero(words == n)
                 f, c = poly.grams(prefixes, int(n), first[of], salt[of].view(U))
                 same[of] = (f.view(np.int64) == fp[of]) & (c == checked[of])
-            cols = [pa.array(out["lang"], pa.string()), pa.array(words, pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("fp", "checked", "n"))]
-            got = pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.binary()).cast(pa.string())], ["lang", "words", "fp", "checked", "n", "phrase"])
-            return got.filter(pa.array(same))
+            cols = [pa.array(out["lang"], pa.string()), pa.array(words, pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("fp", "checked", "n")), pa.array(lines, pa.binary())]
+            cols = [c.filter(pa.array(same)) for c in cols]
+            # what another text has there may begin within a character
+            return pa.RecordBatch.from_arrays([*cols[:-1], cols[-1].cast(pa.string())], ["lang", "words", "fp", "checked", "n", "phrase"])
 
         return work
 
