@@ -1,8 +1,11 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -159,3 +162,70 @@ def test_bounds_lose_nothing(seed, dims, threshold):
     assert np.array_equal(got[clear], (cosine >= threshold)[clear])
     i, j, _ = tiles.linked(a, a, threshold)
     assert np.all(i < j) and len({*zip(i.tolist(), j.tolist())}) == len(i)
+
+
+def compared(sides):
+    """What a task returns for tiles of unit vectors, by block, and its peak in MB."""
+    names = [f.split()[0] for f in tiles.TILES.split(", ")]
+    rows = [dict(zip(names, tiles._tile((b << 30) + (k << 11), [], x))) | {"block": b} for b, parts in sides.items() for k, x in enumerate(parts)]
+    group = pa.Table.from_pylist([{c: v for c, v in r.items() if c != "ids"} for r in rows])
+    tracemalloc.start()
+    out = tiles._compare(0.95)((pa.scalar(min(sides)), pa.scalar(max(sides))), group)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return {r["row"]: (r["links"], r["other"]) for r in out.to_pylist()}, peak
+
+
+def test_memory_does_not_grow_with_links():
+    """Blocks of 4,096 copies: 8 and 17 million links in a task."""
+    r = np.random.default_rng(1)
+    x = tiles.unit_rows(r.normal(size=(1, 64)) + r.normal(size=(8192, 64)) * 0.01)
+    a, b = np.split(x[:4096], 2), np.split(x[4096:], 2)
+    for sides, links in (({0: a}, 4095), ({0: a, 1: b}, 4096)):
+        got, peak = compared(sides)
+        assert len(got) == 4096 * len(sides) and {*got.values()} == {(links, 0)}
+        assert peak < 150
+
+
+def test_stripes_find_every_link():
+    """Two blocks of more rows than a stripe has, in tiles of odd sizes and of two lengths."""
+    r = np.random.default_rng(2)
+    groups = r.normal(size=(40, 8))
+    x = tiles.unit_rows(groups[r.integers(0, 40, 3000)] + r.normal(size=(3000, 8)) * r.choice([0.01, 0.2, 1.0], (3000, 1)))
+    other = tiles.unit_rows(r.normal(size=(5, 9)))
+    sides = {0: [x[:1300], other[:3], x[1300:1307]], 1: [x[1307:1400], x[1400:], other[2:]]}
+    got, _ = compared(sides)
+    rows = np.concatenate([(b << 30) + (k << 11) + np.arange(len(p)) for b, parts in sides.items() for k, p in enumerate(parts) if p.shape[1] == 8])
+    near = x[:1307] @ x[1307:].T >= 0.95
+    links = np.concatenate([near.sum(1), near.sum(0)])
+    least = np.arange(3000)
+    while True:
+        low = np.where(near, least[1307:], 3000).min(1), np.where(near, least[:1307, None], 3000).min(0)
+        new = np.minimum(least, np.concatenate(low))
+        if np.array_equal(new, least):
+            break
+        least = new
+    want = {int(rows[k]): (int(links[k]), int(rows[least[k]])) for k in range(3000) if links[k]}
+    extra = {(0 << 30) + (1 << 11) + 2: (1, (1 << 11) + 2), (1 << 30) + (2 << 11): (1, (1 << 11) + 2)}
+    assert got == want | extra
+
+
+def test_tiles_are_small(monkeypatch):
+    """A tile is at most so many bytes and no more than its vectors; tiles that
+    do not fill leave before they are many."""
+    monkeypatch.setattr(tiles, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    r = np.random.default_rng(3)
+    for lengths, held in (([64] * 3000 + [30000] * 9 + [200000], 1 << 25), ([*range(1, 900)], 1 << 12)):
+        monkeypatch.setattr(tiles, "HELD_BYTES", held)
+        vectors = [r.normal(size=n).astype(np.float32) for n in lengths]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(lengths))), pa.array(vectors, pa.list_(pa.float32()))], ["vec_id", "vector"])
+        got = [row for b in tiles._tiled("f4")(iter([batch])) for row in b.to_pylist()]
+        assert sorted(i for t in got for i in t["ids"]) == [*range(len(lengths))] and len({t["tile"] for t in got}) == len(got)
+        before = 0
+        for t in got:
+            x = np.frombuffer(t["vectors"], np.float32).reshape(t["n"], t["dims"])
+            assert all(np.array_equal(vectors[i], v) for i, v in zip(t["ids"], x))
+            assert (t["before"], t["bytes"]) == (before, x.nbytes) and (x.nbytes <= tiles.TILE_BYTES or t["n"] == 1)
+            before += x.nbytes
+    x = r.normal(size=(1000, 64)).astype(np.float32)
+    assert sum(len(v) for v in tiles._tile(0, [], x) if isinstance(v, bytes)) == x.nbytes

@@ -40,13 +40,13 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str | int) -> DataFrame:
     """The rows as a table in the shared folder: for wide or many rows, where
     columns compress and later passes read few of them. Deleted at the end of
-    the session."""
+    the session. Options are those of the Parquet writer."""
     spark = df.sparkSession
     path = scratch(spark, "rows")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.parquet(path)

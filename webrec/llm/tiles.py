@@ -1,8 +1,9 @@
 """Embedding near-duplicates by products of int8 tiles.
 
-Vectors of unit length are stored in tiles of ``TILE`` rows: int8 codes with a
-scale per vector, next to the vectors themselves. A code ``q`` with scale ``s``
-stands for ``s q``; its error ``e = |u - s q|`` is measured, so for two vectors
+Vectors are stored in tiles of at most ``TILE_BYTES``, as they came. Where tiles
+meet, each vector is brought to unit length and to int8 codes with a scale. A
+code ``q`` with scale ``s`` stands for ``s q``; its error ``e = |u - s q|`` is
+measured, so for two vectors
 
     |u.v - s t q.r|  <=  (|s q| + e) (|t r| + f) - |s q| |t r|
 
@@ -12,10 +13,13 @@ below 2**24. Only pairs whose upper bound reaches the threshold are looked at,
 and of those only pairs whose lower bound does not are computed again in double
 precision from the vectors. Nothing is approximate.
 
-Tiles are dealt to blocks by hash; a task compares two blocks, so each tile
-travels once per block. No pair leaves a task: it returns, per vector, how many
-links it found and one other vector of its component there, which keeps a
-group of copies linear. Vectors of different lengths are not compared.
+Tiles are dealt to blocks in the order of their bytes; a task compares two
+blocks, so each tile travels once per block. Products are made a stripe of
+``STRIPE`` numbers at a time, and the links of a stripe are counted and joined
+into components before the next, so a task holds its two blocks and one stripe,
+however many links there are. No pair leaves a task: it returns, per vector,
+how many links it found and one other vector of its component there, which
+keeps a group of copies linear. Vectors of different lengths are not compared.
 """
 
 from __future__ import annotations
@@ -25,26 +29,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from webrec.llm.base import cut_lineage, stored
+from webrec.llm.base import SLICE, cut_lineage, stored
 from webrec.llm.components import components
 from webrec.llm.vector_rows import flat, usable
 
 THRESHOLD = 0.95
-#: Rows of a tile at most (2**ROW_BITS), and vectors of a block on average.
+#: Rows (2**ROW_BITS) and bytes of a tile at most, and bytes of tiles not yet
+#: full that a task holds.
 ROW_BITS = 11
+TILE_BYTES = 1 << 18
+HELD_BYTES = 1 << 25
+#: Vectors of a block where the table is small, blocks up to which blocks grow
+#: with the table instead of their number, and bytes of a block at most.
 BLOCK = 4096
+BLOCKS = 24
+BLOCK_BYTES = 1 << 23
+#: Bytes that one task deals out, and numbers of a product held at once.
+DEALT_BYTES = 1 << 26
+STRIPE = 1 << 19
 #: Integer sums of so many products of codes stay below 2**24.
 EXACT_DIMS = 1024
 
-TILES = "tile long, dims int, n int, ids array<long>, codes binary, scale binary, norm binary, error binary, unit binary"
+TILES = "tile long, dims int, n int, ids array<long>, before long, bytes long, vectors binary"
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
-    """Rows at length one; they may not be zero. Large and tiny components
-    neither overflow nor vanish."""
+    """Rows at length one, in double precision; they may not be zero. Large and
+    tiny components neither overflow nor vanish."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -59,102 +75,135 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, scale, np.sqrt((back * back).sum(1)) * up, np.sqrt(((u - back) ** 2).sum(1)) * up + 1e-15
 
 
-def _tile(key: int, ids: list, u: np.ndarray) -> list:
-    codes, scale, norm, error = quantise(u)
-    return [key, u.shape[1], len(u), ids, codes.tobytes(), scale.tobytes(), norm.tobytes(), error.tobytes(), u.tobytes()]
+def _tile(key: int, ids: list, x: np.ndarray, before: int = 0) -> list:
+    return [key, x.shape[1], len(x), ids, before, x.nbytes, x.tobytes()]
 
 
-def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiled(dtype: str):
     """Rows of one length, at most a tile of them, to a row; a tile's number
     comes from the task's and its own within the task, shifted so that a row
-    number in the tile fits."""
+    number in the tile fits. Next to it are the bytes of the task's tiles before."""
     names = [f.split()[0] for f in TILES.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5]
-    task, made, held = TaskContext.get().partitionId(), 0, {}
-    size = 1 << ROW_BITS
-
-    def out(ids, u):
-        nonlocal made
-        row = _tile((task << 28 | made) << ROW_BITS, ids, u)
-        made += 1
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
-
-    for batch in batches:
-        values, sizes = flat(batch.column("vector"))
-        ends, ids = np.cumsum(sizes), batch.column("vec_id").to_pylist()
-        for dims in np.unique(sizes):
-            at = np.flatnonzero(sizes == dims)
-            x = values[(ends[at] - dims)[:, None] + np.arange(dims)]
-            got_ids, got = held.pop(dims, ([], np.empty((0, dims))))
-            got_ids, got = got_ids + [ids[k] for k in at], np.concatenate([got, unit_rows(x)])
-            whole = len(got) - len(got) % size
-            for k in range(0, whole, size):
-                yield out(got_ids[k : k + size], got[k : k + size])
-            held[dims] = got_ids[whole:], got[whole:]
-    for ids, u in held.values():
-        if ids:
-            yield out(ids, u)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, before, held, held_bytes = TaskContext.get().partitionId(), 0, 0, {}, 0
+
+        def out(ids, x):
+            nonlocal made, before
+            row = _tile((task << 28 | made) << ROW_BITS, ids, x, before)
+            made, before = made + 1, before + x.nbytes
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+
+        def rest():
+            for ids, parts in held.values():
+                if ids:
+                    yield out(ids, np.concatenate(parts))
+            held.clear()
+
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            values, sizes = flat(batch.column("vector"))
+            ends, all_ids = np.cumsum(sizes), batch.column("vec_id").to_pylist()
+            for dims in np.unique(sizes):
+                at = np.flatnonzero(sizes == dims)
+                x = values[(ends[at] - dims)[:, None] + np.arange(dims)].astype(dtype)
+                size = max(1, min(1 << ROW_BITS, TILE_BYTES // (x.itemsize * dims)))
+                ids, parts = held.setdefault(dims, ([], []))
+                while len(at):
+                    room = size - len(ids)
+                    ids += [all_ids[k] for k in at[:room]]
+                    parts.append(x[:room])
+                    held_bytes += parts[-1].nbytes
+                    at, x = at[room:], x[room:]
+                    if len(ids) == size:
+                        held_bytes -= sum(p.nbytes for p in parts)
+                        yield out(ids, np.concatenate(parts))
+                        ids, parts = held[dims] = [], []
+            if held_bytes > HELD_BYTES:
+                yield from rest()
+                held_bytes = 0
+        yield from rest()
+
+    return work
 
 
 class Tile:
-    """A stored tile, read."""
+    """Stored tiles of one vector length, read as one."""
+
+    def __init__(self, *rows: dict):
+        self.dims, self.n = rows[0]["dims"], sum(r["n"] for r in rows)
+        self.row = np.concatenate([r["tile"] + np.arange(r["n"]) for r in rows])
+        self.unit, self.codes = np.empty((self.n, self.dims)), np.empty((self.n, self.dims), np.float32)
+        self.scale, self.norm, self.error = (np.empty(self.n) for _ in range(3))
+        at = 0
+        for r in rows:
+            part, width = slice(at, at := at + r["n"]), len(r["vectors"]) // (r["n"] * self.dims)
+            self.unit[part] = unit_rows(np.frombuffer(r["vectors"], f"f{width}").reshape(r["n"], -1))
+            self.codes[part], self.scale[part], self.norm[part], self.error[part] = quantise(self.unit[part])
+        self.links = np.zeros(self.n, np.int64)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All products of codes, exact."""
+    if a.shape[1] <= EXACT_DIMS:
+        return a @ b.T
+    parts = (a[:, k : k + EXACT_DIMS] @ b[:, k : k + EXACT_DIMS].T for k in range(0, a.shape[1], EXACT_DIMS))
+    return sum(p.astype(np.float64) for p in parts)
+
+
+def _stripe(a: Tile, b: Tile, x: slice, y: slice, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """``linked`` for some rows of both."""
+    near = _product(a.codes[x], b.codes[y])
+    near *= b.scale[y].astype(near.dtype)
+    # an upper bound for all pairs at once; the slack covers the single precision of the scaling
+    e, f = a.error[x].max(), b.error[y].max()
+    widest = e * b.norm[y].max() + f * a.norm[x].max() + e * f
+    at = np.flatnonzero(near >= ((threshold - widest - 1e-5) / a.scale[x]).astype(near.dtype)[:, None])
+    i, j = np.divmod(at, near.shape[1])
+    i, j, near = i + x.start, j + y.start, near.ravel()[at]
+    if a is b:
+        i, j, near = i[i < j], j[i < j], near[i < j]
+    estimate = near.astype(np.float64) * a.scale[i]
+    bound = (a.norm[i] + a.error[i]) * (b.norm[j] + b.error[j]) - a.norm[i] * b.norm[j] + 1e-5
+    sure = estimate - bound >= threshold
+    open_ = np.flatnonzero(~sure & (estimate + bound >= threshold))
+    step = max(1, (1 << 20) // a.dims)
+    for at in range(0, len(open_), step):
+        k = open_[at : at + step]
+        sure[k] = np.einsum("ij,ij->i", a.unit[i[k]], b.unit[j[k]]) >= threshold
+    return i[sure], j[sure], len(open_)
 
-    def __init__(self, row: dict):
-        self.first, self.dims, self.n = row["tile"], row["dims"], row["n"]
-        self.codes = np.frombuffer(row["codes"], np.int8).reshape(self.n, -1).astype(np.float32)
-        self.scale, self.norm, self.error = (np.frombuffer(row[c], np.float64) for c in ("scale", "norm", "error"))
-        self.unit = np.frombuffer(row["unit"], np.float64).reshape(self.n, -1)
-        self.links, self.other = np.zeros(self.n, np.int64), self.first + np.arange(self.n)
 
-    def product(self, tile: Tile) -> np.ndarray:
-        """All products of codes, exact."""
-        if self.dims <= EXACT_DIMS:
-            return self.codes @ tile.codes.T
-        parts = (self.codes[:, k : k + EXACT_DIMS] @ tile.codes[:, k : k + EXACT_DIMS].T for k in range(0, self.dims, EXACT_DIMS))
-        return sum(p.astype(np.float64) for p in parts)
+def _stripes(a: Tile, b: Tile, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """``linked``, a stripe of pairs at a time."""
+    if a.dims != b.dims:
+        return
+    down = 512
+    across = STRIPE // down
+    for x in range(0, a.n, down):
+        for y in range(x if a is b else 0, b.n, across):
+            yield _stripe(a, b, slice(x, min(x + down, a.n)), slice(y, min(y + across, b.n)), threshold)
 
 
 def linked(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows of ``a`` and ``b`` with a cosine of at least the threshold, pair by
     pair (each once where the tiles are the same), and how many pairs were
     computed in full precision."""
-    if a.dims != b.dims:
-        return np.empty(0, np.int64), np.empty(0, np.int64), 0
-    near = a.product(b)
-    near *= b.scale.astype(near.dtype)
-    # an upper bound for all pairs at once; the slack covers the single precision of the scaling
-    widest = a.error.max() * b.norm.max() + b.error.max() * a.norm.max() + a.error.max() * b.error.max()
-    i, j = np.nonzero(near >= ((threshold - widest - 1e-5) / a.scale).astype(near.dtype)[:, None])
-    if a is b:
-        i, j = i[i < j], j[i < j]
-    estimate = near[i, j].astype(np.float64) * a.scale[i]
-    bound = (a.norm[i] + a.error[i]) * (b.norm[j] + b.error[j]) - a.norm[i] * b.norm[j] + 1e-5
-    sure = estimate - bound >= threshold
-    open_ = np.flatnonzero(~sure & (estimate + bound >= threshold))
-    for at in range(0, len(open_), 1 << 14):
-        k = open_[at : at + (1 << 14)]
-        sure[k] = np.einsum("ij,ij->i", a.unit[i[k]], b.unit[j[k]]) >= threshold
-    return i[sure], j[sure], len(open_)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), 0), *_stripes(a, b, threshold)]
+    i, j, n = zip(*found)
+    return np.concatenate(i), np.concatenate(j), sum(n)
 
 
-def _together(tiles: list[Tile], pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """The least row that each row of the tiles reaches over the pairs."""
-    rows = np.unique(np.concatenate([t.first + np.arange(t.n) for t in tiles]))
-    a, b = (np.searchsorted(rows, np.concatenate(x)) for x in zip(*pairs))
-    least = np.arange(len(rows))
-    while True:
-        both = np.minimum(least[a], least[b])
-        new = least.copy()
-        np.minimum.at(new, a, both)
-        np.minimum.at(new, b, both)
-        np.minimum.at(new, least[a], both)
-        np.minimum.at(new, least[b], both)
-        new = new[new]
-        if np.array_equal(new, least):
-            break
-        least = new
-    for t in tiles:
-        t.other = rows[least[np.searchsorted(rows, t.first + np.arange(t.n))]]
+def _together(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of ``a`` and ``b``, pair by pair; ``least`` is the least
+    member of everyone's group, before and after."""
+    a, b = least[a], least[b]
+    while (apart := a != b).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(new := least[least], least):
+            least[:] = new
+        a, b = least[a], least[b]
 
 
 def _compare(threshold: float):
@@ -162,24 +211,24 @@ def _compare(threshold: float):
 
     def work(key: tuple, group: pa.Table) -> pa.Table:
         g, h = (k.as_py() for k in key)
-        sides = {g: [], h: []}
-        for row in group.sort_by("tile").to_pylist():
-            sides[row["block"]].append(Tile(row))
-        one, two = sides[g], sides[h]
-        pairs = [], []
-        for x, a in enumerate(one):
-            for b in two[x:] if g == h else two:
-                i, j, _ = linked(a, b, threshold)
-                if len(i):
-                    a.links += np.bincount(i, minlength=a.n)
-                    b.links += np.bincount(j, minlength=b.n)
-                    pairs[0].append(a.first + i)
-                    pairs[1].append(b.first + j)
-        tiles = one if g == h else one + two
-        if pairs[0]:
-            _together(tiles, [*zip(*pairs)])
-        out = [np.concatenate([getattr(t, c)[t.links > 0] if c != "row" else (t.first + np.arange(t.n))[t.links > 0] for t in tiles]) for c in names]
-        return pa.table(dict(zip(names, out)))
+        sides: dict = {g: {}, h: {}}
+        for row in sorted(group.to_pylist(), key=lambda r: r["tile"]):
+            sides[row["block"]].setdefault(row["dims"], []).append(row)
+        for of in sides.values():
+            of.update({dims: Tile(*rows) for dims, rows in of.items()})
+        tiles = [t for of in sides.values() for t in of.values()]
+        rows = np.sort(np.concatenate([t.row for t in tiles]))
+        least = np.arange(len(rows))
+        place = {id(t): np.searchsorted(rows, t.row) for t in tiles}
+        for dims, a in sides[g].items():
+            if b := sides[h].get(dims):
+                for i, j, _ in _stripes(a, b, threshold):
+                    if len(i):
+                        a.links += np.bincount(i, minlength=a.n)
+                        b.links += np.bincount(j, minlength=b.n)
+                        _together(least, place[id(a)][i], place[id(b)][j])
+        out = [[t.row[t.links > 0], t.links[t.links > 0], rows[least[place[id(t)][t.links > 0]]]] for t in tiles]
+        return pa.table({c: np.concatenate(x) for c, x in zip(names, zip(*out))})
 
     return work
 
@@ -197,17 +246,30 @@ def near_vectors(
     take part; they are a component's id only where it has no other. An empty
     table gives no rows; other columns are not read.
 
-    Work grows with the square of the table, as every two vectors are compared;
-    what travels, with the square over ``block``."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    ``block`` is the number of vectors that a task compares with as many others
+    in a small table; in a larger one it is a share of ``1 / BLOCKS``, up to
+    ``BLOCK_BYTES``. Work grows with the square of the table, as every two
+    vectors are compared; what travels is ``BLOCKS`` times the table, beyond
+    ``BLOCKS`` times ``BLOCK_BYTES`` its square over ``BLOCK_BYTES``."""
+    kind = df.select(vector_col).schema[0].dataType
+    kind = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     rows = rows.withColumn("usable", usable("vector") & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)))
-    tiles = stored(rows.filter("usable").select("vec_id", "vector").mapInArrow(_tiled, TILES))
+    tiles = rows.filter("usable").select("vec_id", "vector").mapInArrow(_tiled("f4" if kind == "float" else "f8"), TILES)
+    tiles = stored(tiles, **{"parquet.block.size": TILE_BYTES * 64})
     alone = rows.filter("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
-    n = tiles.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-n // block))
-    mine, other = F.pmod(F.xxhash64("tile"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")
-    dealt = tiles.drop("ids").select("*", mine).select("*", other).select("*", F.least("block", "with").alias("g"), F.greatest("block", "with").alias("h"))
+    task = F.shiftright("tile", 28 + ROW_BITS).alias("task")
+    n, size = tiles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    part = max(1, min(BLOCK_BYTES, max(block, n // BLOCKS) * size // max(1, n)))
+    blocks = max(1, -(-size // part))
+    # one row per task that made tiles
+    earlier = F.sum("size").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = tiles.groupBy(task).agg(F.sum("bytes").alias("size")).select("task", F.coalesce(earlier, F.lit(0)).alias("start"))
+    mine, other = F.floor((F.col("start") + F.col("before")) / part).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")
+    deals = max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size * blocks // DEALT_BYTES), 100_000))
+    placed = tiles.select("tile", "dims", "n", "before", "vectors", task).repartition(deals).join(F.broadcast(starts), "task")
+    dealt = placed.select("tile", "dims", "n", "vectors", mine).select("*", other).select("*", F.least("block", "with").alias("g"), F.greatest("block", "with").alias("h"))
     tasks = min(blocks * (blocks + 1) // 2, 100_000)
     found = dealt.drop("with").repartition(tasks, "g", "h").groupBy("g", "h").applyInArrow(_compare(threshold), "row long, links long, other long")
     found = stored(found)
