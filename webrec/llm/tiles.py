@@ -48,8 +48,11 @@ HELD_BYTES = 1 << 25
 BLOCK = 4096
 BLOCKS = 24
 BLOCK_BYTES = 1 << 23
-#: Bytes that one task deals out, and numbers of a product held at once.
+#: Bytes that one task deals out, tasks at most that compare (each may compare
+#: several pairs of blocks, one after the other; what is known of each task's
+#: share by each that deals stays small), and numbers of a product held at once.
 DEALT_BYTES = 1 << 26
+TASKS = 10_000
 STRIPE = 1 << 19
 #: Integer sums of so many products of codes stay below 2**24.
 EXACT_DIMS = 1024
@@ -270,7 +273,7 @@ def near_vectors(
     deals = max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size * blocks // DEALT_BYTES), 100_000))
     placed = tiles.select("tile", "dims", "n", "before", "vectors", task).repartition(deals).join(F.broadcast(starts), "task")
     dealt = placed.select("tile", "dims", "n", "vectors", mine).select("*", other).select("*", F.least("block", "with").alias("g"), F.greatest("block", "with").alias("h"))
-    tasks = min(blocks * (blocks + 1) // 2, 100_000)
+    tasks = min(blocks * (blocks + 1) // 2, TASKS)
     found = dealt.drop("with").repartition(tasks, "g", "h").groupBy("g", "h").applyInArrow(_compare(threshold), "row long, links long, other long")
     found = stored(found)
 
